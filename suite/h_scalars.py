@@ -149,14 +149,12 @@ def num_clamp(d):
 
 @query(
     "num_round",
-    "SELECT order_no, line_no, CAST(ROUND(CAST(price * 5 AS DECIMAL(18,3)) / 1000, 2) AS DOUBLE) "
-    "AS rounded FROM (SELECT order_no, line_no, price FROM showtimes) AS s",
+    "SELECT order_no, line_no, CAST(ROUND(price * CAST(0.5 AS DECIMAL(2,1)), 2) AS DOUBLE) "
+    "AS rounded FROM showtimes",
 )
 def num_round(d):
-    scaled = (F.col("price") * 5).cast("decimal(18,3)") / F.lit(1000).cast("decimal(4,0)")
-    return d.showtimes.select(
-        "order_no", "line_no", fn.round2(scaled).cast("double").alias("rounded")
-    )
+    half = F.col("price") * F.lit("0.5").cast("decimal(2,1)")
+    return d.showtimes.select("order_no", "line_no", fn.round2(half).cast("double").alias("rounded"))
 
 
 @query("num_modulo", "SELECT id, id % 2 AS parity FROM team_members")

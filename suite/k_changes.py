@@ -1 +1,479 @@
+"""Bulk changes and generators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marquee.functions import literal_stamp
+from marquee.operators import changes
+from marquee.operators.payloads import normalize, split
+from marquee.operators.ranking import assign_ids as new_ids
+from marquee.operators.ranking import highest_id
+from marquee.plans import accounts, schedules
+from marquee.plans.bookings import backfill_payments as backfill
+from marquee.plans.bookings import fan_out
+from suite.c_joins import CLICKS, clicked
+from suite.domain import mail
+from suite.registry import query
+
+NOW = "2001-08-01 12:00:00"
+
+
+@query(
+    "insert_missing",
+    "SELECT user_id, movie_id FROM watchlist UNION ALL SELECT c.user_id, c.movie_id FROM clicks c "
+    "WHERE NOT EXISTS (SELECT 1 FROM watchlist w WHERE w.user_id = c.user_id "
+    "AND w.movie_id = c.movie_id)",
+    let={"clicks": CLICKS},
+)
+def insert_missing(d):
+    return changes.insert_missing(d.watchlist, clicked(d), ["user_id", "movie_id"])
+
+
+_INCOMING = (
+    "SELECT LOWER(CONCAT(REPLACE(s_name, '#', '.'), '@example.com')) AS email, "
+    "s_name AS first_name, '111' AS phone, 'STAFF' AS role, 'new.jpg' AS profile_photo "
+    "FROM supplier UNION ALL SELECT email, UPPER(first_name), CAST(NULL AS VARCHAR), 'ADMIN', "
+    "'new.jpg' FROM users WHERE role = 'STAFF'"
+)
+
+
+def incoming(d):
+    hired = d.supplier.select(
+        mail("s_name").alias("email"),
+        F.col("s_name").alias("first_name"),
+        F.lit("111").alias("phone"),
+        F.lit("STAFF").alias("role"),
+        F.lit("new.jpg").alias("profile_photo"),
+    )
+    known = d.users.where(F.col("role") == "STAFF").select(
+        "email",
+        F.upper("first_name").alias("first_name"),
+        F.lit(None).cast("string").alias("phone"),
+        F.lit("ADMIN").alias("role"),
+        F.lit("new.jpg").alias("profile_photo"),
+    )
+    return hired.unionByName(known)
+
+
+@query(
+    "upsert",
+    "SELECT u.id, CASE WHEN i.email IS NULL THEN u.first_name ELSE i.first_name END AS first_name, "
+    "u.email, CASE WHEN i.email IS NULL THEN u.phone ELSE i.phone END AS phone, u.profile_photo, "
+    "CASE WHEN i.email IS NULL THEN u.role ELSE i.role END AS role, "
+    f"CASE WHEN i.email IS NULL THEN u.updated_at ELSE CAST('{NOW}' AS TIMESTAMP) END AS updated_at "
+    "FROM users u LEFT JOIN incoming i ON i.email = u.email UNION ALL "
+    "SELECT (SELECT MAX(id) FROM users) + ROW_NUMBER() OVER (ORDER BY i.email), i.first_name, "
+    f"i.email, i.phone, i.profile_photo, i.role, CAST('{NOW}' AS TIMESTAMP) FROM incoming i "
+    "WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.email = i.email)",
+    let={"incoming": _INCOMING},
+)
+def upsert(d):
+    return changes.upsert(d.users, incoming(d), "email", ["first_name", "phone", "role"], NOW)
+
+
+@query(
+    "update_full",
+    "SELECT m.id, COALESCE(c.title, m.title) AS title, COALESCE(c.duration_min, m.duration_min) "
+    "AS duration_min, CASE WHEN c.id IS NULL THEN m.rating END AS rating, "
+    "COALESCE(c.status, m.status) AS status FROM movies m LEFT JOIN changes c ON c.id = m.id",
+    let={
+        "changes": "SELECT CASE WHEN status = 'ARCHIVED' THEN id + 1000000000 ELSE id END AS id, "
+        "UPPER(title) AS title, duration_min + 1 AS duration_min, CAST(NULL AS VARCHAR) AS rating, "
+        "'NOW_SHOWING' AS status FROM movies WHERE status <> 'NOW_SHOWING'"
+    },
+)
+def update_full(d):
+    changed = d.movies.where(F.col("status") != "NOW_SHOWING").select(
+        F.when(F.col("status") == "ARCHIVED", F.col("id") + 1000000000)
+        .otherwise(F.col("id"))
+        .alias("id"),
+        F.upper("title").alias("title"),
+        (F.col("duration_min") + 1).alias("duration_min"),
+        F.lit(None).cast("string").alias("rating"),
+        F.lit("NOW_SHOWING").alias("status"),
+    )
+    return changes.update_full(d.movies, changed, ["title", "duration_min", "rating", "status"], NOW)
+
+
+@query(
+    "update_sparse",
+    "SELECT u.id, COALESCE(p.first_name, u.first_name) AS first_name, u.email, "
+    "COALESCE(p.phone, u.phone) AS phone, CASE WHEN p.provided THEN p.photo "
+    "ELSE u.profile_photo END AS profile_photo, u.role, CASE WHEN p.id IS NULL "
+    f"THEN u.updated_at ELSE CAST('{NOW}' AS TIMESTAMP) END AS updated_at FROM users u "
+    "LEFT JOIN patch p ON p.id = u.id",
+    let={
+        "patch": "SELECT c_custkey AS id, CASE WHEN c_acctbal < 2000 THEN UPPER(c_name) END "
+        "AS first_name, CASE WHEN c_acctbal > 6000 THEN '999' END AS phone, c_acctbal > 4000 "
+        "AS provided, CASE WHEN c_acctbal > 8000 THEN '' WHEN c_acctbal > 4000 THEN 'p.jpg' END "
+        "AS photo FROM customer WHERE c_mktsegment <> 'FURNITURE'"
+    },
+)
+def update_sparse(d):
+    balance = F.col("c_acctbal")
+    patch = d.customer.where(F.col("c_mktsegment") != "FURNITURE").select(
+        F.col("c_custkey").alias("id"),
+        F.when(balance < 2000, F.upper("c_name")).alias("first_name"),
+        F.when(balance > 6000, "999").alias("phone"),
+        (balance > 4000).alias("photo_given"),
+        F.when(balance > 8000, "").when(balance > 4000, "p.jpg").alias("profile_photo"),
+    )
+    flags = {"profile_photo": "photo_given"}
+    return changes.update_sparse(d.users, patch, ["first_name", "phone"], flags, NOW)
+
+
+@query(
+    "update_derived",
+    "SELECT 'task' AS kind, id AS key, status, CASE WHEN status = 'COMPLETED' "
+    f"THEN CAST('{NOW}' AS TIMESTAMP) END AS at FROM staff_tasks UNION ALL "
+    "SELECT 'payment', booking_id, status, CASE WHEN status = 'PAID' "
+    f"THEN CAST('{NOW}' AS TIMESTAMP) END FROM payments",
+)
+def update_derived(d):
+    tasks = changes.with_completed_at(d.staff_tasks, NOW).select(
+        F.lit("task").alias("kind"),
+        F.col("id").alias("key"),
+        "status",
+        F.col("completed_at").alias("at"),
+    )
+    paid = changes.with_paid_at(d.payments, NOW).select(
+        F.lit("payment").alias("kind"),
+        F.col("booking_id").alias("key"),
+        "status",
+        F.col("paid_at").alias("at"),
+    )
+    return tasks.unionByName(paid)
+
+
+@query(
+    "delete_keys",
+    "SELECT r.id, r.team_member_id, (SELECT CAST(COUNT(*) AS INT) FROM staff_time_off_requests x "
+    "JOIN asked a ON a.id = x.id AND a.team_member_id = x.team_member_id) AS deleted "
+    "FROM staff_time_off_requests r WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.id = r.id "
+    "AND a.team_member_id = r.team_member_id)",
+    let={
+        "asked": "SELECT event_id AS id, CASE WHEN value < 50 THEN user_id ELSE user_id + 1 END "
+        "AS team_member_id FROM events"
+    },
+)
+def delete_keys(d):
+    owner = F.when(F.col("value") < 50, F.col("user_id")).otherwise(F.col("user_id") + 1)
+    asked = d.events.select(F.col("event_id").alias("id"), owner.alias("team_member_id"))
+    kept, hit = changes.delete_keys(d.staff_time_off_requests, asked, ("id", "team_member_id"))
+    return kept.select("id", "team_member_id").withColumn("deleted", hit.scalar())
+
+
+
+_DOCS = (
+    "SELECT doc_id, CAST(regexp_extract(user_raw, '^\\d+', 0) AS BIGINT) AS user_id, "
+    "CAST(total_raw AS DECIMAL(10,2)) AS total, COALESCE(UPPER(TRIM(status_raw)), 'CONFIRMED') "
+    "AS status, NULLIF(UPPER(TRIM(method_raw)), '') AS method FROM raw_bookings b "
+    "WHERE CAST(regexp_extract(user_raw, '^\\d+', 0) AS BIGINT) >= 1 "
+    "AND COALESCE(TRY_CAST(showtime_raw AS BIGINT), 0) >= 1 "
+    "AND CAST(total_raw AS DECIMAL(10,2)) >= 0 AND COALESCE(method_raw, '') <> 'crypto' "
+    "AND NOT EXISTS (SELECT 1 FROM raw_seats s WHERE s.doc_id = b.doc_id "
+    "AND (TRIM(s.label_raw) = '' OR s.price_raw = 'free'))"
+)
+
+
+@query(
+    "booking_fanout",
+    "SELECT 'booking' AS kind, id, user_id AS parent, status AS label, CAST(total AS DOUBLE) "
+    "AS amount FROM numbered UNION ALL SELECT 'seat', 200 + ROW_NUMBER() OVER (ORDER BY n.id, "
+    "s.seat_no), n.id, TRIM(s.label_raw), CAST(s.seat_no AS DOUBLE) * 10 + 0.5 FROM numbered n "
+    "JOIN raw_seats s ON s.doc_id = n.doc_id UNION ALL SELECT 'payment', "
+    "300 + ROW_NUMBER() OVER (ORDER BY id), id, method, CAST(total AS DOUBLE) FROM numbered "
+    "WHERE method IS NOT NULL",
+    let={
+        "docs": _DOCS,
+        "numbered": "SELECT 100 + ROW_NUMBER() OVER (ORDER BY doc_id) AS id, docs.* FROM docs",
+    },
+)
+def booking_fanout(d):
+    valid, _ = split(normalize(d.raw_bookings, "bookings", ["doc_id"]))
+    out = fan_out(valid, "doc_id", NOW, (100, 200, 300))
+
+    def flat(kind, df, parent, label, amount):
+        return df.select(
+            F.lit(kind).alias("kind"),
+            "id",
+            F.col(parent).alias("parent"),
+            F.col(label).alias("label"),
+            F.col(amount).cast("double").alias("amount"),
+        )
+
+    return (
+        flat("booking", out.bookings, "user_id", "status", "total_amount")
+        .unionByName(flat("seat", out.booking_seats, "booking_id", "seat_label", "price"))
+        .unionByName(flat("payment", out.payments, "booking_id", "method", "amount"))
+    )
+
+
+@query(
+    "insert_idempotent_ref",
+    "SELECT o.seq, COALESCE(k.id, f.id) AS id, k.id IS NOT NULL OR f.seq <> o.seq AS existed "
+    "FROM batch o LEFT JOIN known k ON k.ref = o.ref LEFT JOIN fresh f "
+    "ON f.seq = o.first_seq",
+    let={
+        "known": "SELECT c_custkey AS id, CONCAT('REF-', CAST(c_custkey AS VARCHAR)) AS ref "
+        "FROM customer WHERE c_acctbal < 0",
+        "batch": "SELECT seq, ref, CASE WHEN ref IS NULL THEN seq ELSE MIN(seq) OVER "
+        "(PARTITION BY ref) END AS first_seq FROM (SELECT o_orderkey AS seq, CASE o_orderpriority "
+        "WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN NULL "
+        "ELSE CONCAT('REF-', CAST(o_custkey AS VARCHAR)) END AS ref FROM orders) AS o",
+        "fresh": "SELECT seq, (SELECT MAX(id) FROM known) + ROW_NUMBER() OVER (ORDER BY seq) AS id "
+        "FROM batch b WHERE seq = first_seq AND NOT EXISTS "
+        "(SELECT 1 FROM known k WHERE k.ref = b.ref)",
+    },
+)
+def insert_idempotent_ref(d):
+    ref = F.concat(F.lit("REF-"), F.col("c_custkey").cast("string"))
+    known = d.customer.where(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").alias("id"), ref.alias("transaction_ref")
+    )
+    priority = F.col("o_orderpriority")
+    batch = d.orders.select(
+        F.col("o_orderkey").alias("seq"),
+        F.when(priority == "4-NOT SPECIFIED", "")
+        .when(priority != "5-LOW", F.concat(F.lit("REF-"), F.col("o_custkey").cast("string")))
+        .alias("transaction_ref"),
+        F.lit("PAID").alias("status"),
+    )
+    return changes.ingest_payments(known, batch, "seq", NOW)[1]
+
+
+@query(
+    "cascade_delete",
+    "SELECT 'theaters' AS kind, id AS key, CAST(NULL AS BIGINT) AS link FROM theaters "
+    "WHERE city <> 'ASIA' UNION ALL "
+    "SELECT 'screens', id, theater_id FROM screens WHERE theater_id NOT IN (SELECT id FROM asian) "
+    "UNION ALL SELECT 'showtimes', s.order_no, s.screen_id FROM showtimes s JOIN screens sc "
+    "ON sc.id = s.screen_id WHERE sc.theater_id NOT IN (SELECT id FROM asian) UNION ALL "
+    "SELECT 'team_members', id, CASE WHEN theater_id NOT IN (SELECT id FROM asian) "
+    "THEN theater_id END FROM team_members",
+    let={"asian": "SELECT id FROM theaters WHERE city = 'ASIA'"},
+)
+def cascade_delete(d):
+    tables = d.tables("theaters", "screens", "showtimes", "team_members")
+    asian = d.theaters.where(F.col("city") == "ASIA").select("id")
+    left = changes.cascade_delete(tables, "theaters", asian)
+
+    def flat(kind, key, link):
+        link = F.col(link) if link else F.lit(None)
+        return left[kind].select(
+            F.lit(kind).alias("kind"), F.col(key).alias("key"), link.cast("bigint").alias("link")
+        )
+
+    return (
+        flat("theaters", "id", None)
+        .unionByName(flat("screens", "id", "theater_id"))
+        .unionByName(flat("showtimes", "order_no", "screen_id"))
+        .unionByName(flat("team_members", "id", "theater_id"))
+    )
+
+
+@query(
+    "assign_ids",
+    "SELECT (SELECT MAX(id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY user_id, movie_id) AS id, "
+    "user_id, movie_id FROM watchlist",
+)
+def assign_ids(d):
+    fresh = d.watchlist.select(F.lit(None).cast("bigint").alias("id"), "user_id", "movie_id")
+    return new_ids(fresh, highest_id(d.bookings), ["user_id", "movie_id"])
+
+
+_CHANGED = (
+    "SELECT id, UPPER(first_name) AS first_name, CASE WHEN status = 'INACTIVE' "
+    "THEN CONCAT('former.', email) ELSE email END AS email, '555' AS phone, "
+    "CASE WHEN role = 'ADMIN' THEN 'ADMIN' ELSE 'STAFF' END AS role, email AS old_email "
+    "FROM team_members"
+)
+
+
+@query(
+    "sync_accounts",
+    "SELECT a.id, COALESCE(c.first_name, a.first_name) AS first_name, COALESCE(c.email, a.email) "
+    "AS email, COALESCE(c.phone, a.phone) AS phone, COALESCE(c.role, a.role) AS role, "
+    "CAST(NULL AS VARCHAR) AS password_hash FROM accounts a LEFT JOIN changed c "
+    "ON c.old_email = a.email UNION ALL SELECT (SELECT MAX(id) FROM accounts) + "
+    "ROW_NUMBER() OVER (ORDER BY c.email), c.first_name, c.email, c.phone, c.role, 'hash' "
+    "FROM changed c WHERE c.old_email NOT IN (SELECT email FROM accounts)",
+    let={
+        "accounts": "SELECT * FROM users WHERE role = 'CUSTOMER'",
+        "changed": _CHANGED,
+    },
+)
+def sync_accounts(d):
+    customers = d.users.where(F.col("role") == "CUSTOMER").select(
+        "id",
+        "first_name",
+        F.lit("").alias("last_name"),
+        "email",
+        "phone",
+        "role",
+        F.lit(None).cast("string").alias("password_hash"),
+    )
+    members = d.team_members
+    gone = F.col("status") == "INACTIVE"
+    edited = members.select(
+        "id",
+        F.upper("first_name").alias("first_name"),
+        "last_name",
+        F.when(gone, F.concat(F.lit("former."), "email")).otherwise(F.col("email")).alias("email"),
+        F.lit("555").alias("phone"),
+        "role",
+    )
+    return accounts.sync_users(customers, members, edited, "hash", NOW).drop("last_name")
+
+
+@query(
+    "backfill_payments",
+    "SELECT b.id AS booking_id, 'ONLINE_BANKING' AS method, CAST(b.total_amount AS DOUBLE) "
+    "AS amount, 'PAID' AS status, b.booked_at AS paid_at, "
+    "CONCAT('AUTO-PAY-', CAST(b.id AS VARCHAR)) AS transaction_ref FROM bookings b "
+    "WHERE b.status = 'CONFIRMED' AND NOT EXISTS (SELECT 1 FROM payments p "
+    "WHERE p.booking_id = b.id)",
+)
+def backfill_payments(d):
+    rows = backfill(d.bookings, d.payments, NOW)
+    return rows.withColumn("amount", F.col("amount").cast("double"))
+
+
+@query(
+    "generate_showtimes",
+    "SELECT x.movie_id, x.screen_id, x.start_time, "
+    "x.start_time + x.duration_min * INTERVAL '1' MINUTE AS end_time FROM (SELECT m.id AS movie_id, "
+    "sc.id AS screen_id, t.duration_min, CAST(d.day AS TIMESTAMP) + INTERVAL '24' HOUR "
+    "AS start_time FROM templates t CROSS JOIN days d JOIN movies m ON m.title = t.movie_title "
+    "JOIN theaters th ON th.name = t.theater_name JOIN screens sc ON sc.theater_id = th.id "
+    "AND sc.name = t.screen_name) AS x WHERE NOT EXISTS (SELECT 1 FROM showtimes st "
+    "WHERE st.movie_id = x.movie_id AND st.screen_id = x.screen_id "
+    "AND st.start_time = x.start_time)",
+    let={
+        "days": "SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', "
+        "INTERVAL '1' DAY)) AS DATE) AS day",
+        "templates": "SELECT DISTINCT m.title AS movie_title, th.name AS theater_name, "
+        "sc.name AS screen_name, m.duration_min FROM showtimes st JOIN movies m "
+        "ON m.id = st.movie_id JOIN screens sc ON sc.id = st.screen_id JOIN theaters th "
+        "ON th.id = sc.theater_id WHERE st.start_time >= TIMESTAMP '1998-02-01' "
+        "AND st.start_time < TIMESTAMP '1998-03-01'",
+    },
+)
+def generate_showtimes(d):
+    # Templates: every film and screen of one month, 17:00 local, seven hours added.
+    month = d.showtimes.where(
+        (F.col("start_time") >= literal_stamp("1998-02-01"))
+        & (F.col("start_time") < literal_stamp("1998-03-01"))
+    )
+    named = (
+        month.select("movie_id", "screen_id")
+        .distinct()
+        .join(d.movies.withColumnRenamed("id", "movie_id"), "movie_id")
+        .join(
+            d.screens.select(
+                F.col("id").alias("screen_id"), "theater_id", F.col("name").alias("screen_name")
+            ),
+            "screen_id",
+        )
+        .join(
+            d.theaters.select(F.col("id").alias("theater_id"), F.col("name").alias("theater_name")),
+            "theater_id",
+        )
+    )
+    templates = named.select(
+        F.col("title").alias("movie_title"),
+        "theater_name",
+        "screen_name",
+        F.lit(17 * 3600).alias("start_sec"),
+        "duration_min",
+    )
+    return schedules.generate_showtimes(
+        templates,
+        "1998-02-01",
+        "1998-02-28",
+        d.movies,
+        d.screens,
+        d.theaters,
+        d.showtimes,
+        shift_hours=7,
+    )
+
+
+_MORNING = (
+    "((m.id % 2 = 0 AND EXTRACT(ISODOW FROM d.day) IN (1, 3, 5)) OR "
+    "(m.id % 2 = 1 AND EXTRACT(ISODOW FROM d.day) IN (2, 4, 6)))"
+)
+
+
+@query(
+    "generate_shifts",
+    f"SELECT m.id AS team_member_id, d.day AS shift_date, CASE WHEN {_MORNING} THEN 32400 "
+    f"ELSE 50400 END AS start_sec, CASE WHEN {_MORNING} THEN 61200 ELSE 79200 END AS end_sec, "
+    "CASE WHEN m.department ILIKE '%box%' THEN 'Box Office' WHEN m.department ILIKE '%floor%' "
+    "THEN 'Floor Staff' ELSE 'Guest Support' END AS role_on_shift, "
+    f"CASE WHEN {_MORNING} THEN 'Morning shift' ELSE 'Evening shift' END AS notes, "
+    "'SCHEDULED' AS status FROM team_members m CROSS JOIN days d WHERE m.role = 'STAFF' "
+    "AND m.status = 'ACTIVE' AND EXTRACT(ISODOW FROM d.day) BETWEEN 1 AND 6 AND NOT EXISTS "
+    "(SELECT 1 FROM staff_schedules s WHERE s.team_member_id = m.id AND s.shift_date = d.day "
+    f"AND s.start_sec = CASE WHEN {_MORNING} THEN 32400 ELSE 50400 END)",
+    let={
+        "days": "SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', "
+        "INTERVAL '1' DAY)) AS DATE) AS day"
+    },
+)
+def generate_shifts(d):
+    return schedules.generate_shifts(
+        d.team_members, "1998-02-01", "1998-02-28", d.staff_schedules
+    )
+
+
+@query(
+    "fallback_slots",
+    "SELECT m.id AS movie_id, (SELECT MIN(id) FROM screens) AS screen_id, m.start_time, "
+    "m.start_time + INTERVAL '2' HOUR AS end_time, CAST(180 AS DOUBLE) AS price, 'English' AS language, "
+    "'2D' AS format FROM (SELECT id, TIMESTAMP '2026-12-01 05:00:00' + CAST(ROW_NUMBER() OVER "
+    "(ORDER BY id) - 1 AS INT) * INTERVAL '3' HOUR AS start_time FROM movies WHERE id NOT IN "
+    "(SELECT movie_id FROM recent)) AS m",
+    let={"recent": "SELECT movie_id FROM showtimes WHERE start_time >= TIMESTAMP '2001-10-01'"},
+)
+def fallback_slots(d):
+    recent = d.showtimes.where(F.col("start_time") >= literal_stamp("2001-10-01"))
+    slots = schedules.fallback_slots(d.movies, d.screens, recent, "2026-12-01 05:00:00")
+    return slots.withColumn("price", F.col("price").cast("double"))
+
+
+@query(
+    "seed_watchlist",
+    "SELECT u.id AS user_id, m.id AS movie_id FROM users u JOIN movies m "
+    "ON m.status IN ('NOW_SHOWING', 'COMING_SOON') WHERE u.role = 'CUSTOMER' AND m.id IN "
+    "(SELECT id FROM movies WHERE status IN ('NOW_SHOWING', 'COMING_SOON') ORDER BY id LIMIT 3) "
+    "AND NOT EXISTS (SELECT 1 FROM watchlist w WHERE w.user_id = u.id AND w.movie_id = m.id)",
+)
+def seed_watchlist(d):
+    return schedules.seed_watchlist(d.users, d.movies, d.watchlist)
+
+
+@query(
+    "assign_members",
+    "SELECT m.id AS team_member_id, s.priority, s.due_date, s.due_sec FROM team_members m "
+    "CROSS JOIN (VALUES ('LOW', DATE '2024-01-05', 32400), ('HIGH', DATE '2024-01-05', "
+    "CAST(NULL AS INT)), ('MEDIUM', CAST(NULL AS DATE), 36000), ('LOW', CAST(NULL AS DATE), "
+    "CAST(NULL AS INT))) AS s(priority, due_date, due_sec) WHERE m.role = 'STAFF' "
+    "AND m.status = 'ACTIVE' AND NOT EXISTS (SELECT 1 FROM staff_tasks t "
+    "WHERE t.team_member_id = m.id AND t.priority = s.priority "
+    "AND t.due_date IS NOT DISTINCT FROM s.due_date AND t.due_sec IS NOT DISTINCT FROM s.due_sec)",
+)
+def assign_members(d):
+    day, no_day = F.lit("2024-01-05").cast("date"), F.lit(None).cast("date")
+    no_time = F.lit(None).cast("int")
+    rows = [
+        [F.lit("LOW"), day, F.lit(32400)],
+        [F.lit("HIGH"), day, no_time],
+        [F.lit("MEDIUM"), no_day, F.lit(36000)],
+        [F.lit("LOW"), no_day, no_time],
+    ]
+    names = ["priority", "due_date", "due_sec"]
+    return schedules.assign_members(
+        d.team_members, rows, names, d.staff_tasks, names, null_safe=["due_date", "due_sec"]
+    )

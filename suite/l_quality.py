@@ -1 +1,157 @@
+"""Input checks and data quality."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marquee.operators import quality
+from marquee.operators.payloads import bad_seats, normalize
+from marquee.schema import TASK_STATUS
+from suite.domain import mail
+from suite.registry import query
+
+SPACE = "' ' || chr(9) || chr(160) || chr(8195)"
+
+_CLEAN = (
+    f"SELECT doc_id, COALESCE(TRIM(first_raw, {SPACE}), '') AS first_name, "
+    f"TRIM(last_raw, {SPACE}) AS last_name, LOWER(TRIM(email_raw, {SPACE})) AS email, "
+    "NULLIF(TRIM(phone_raw), '') AS phone, UPPER(TRIM(role_raw)) AS role, "
+    "CAST(NULL AS VARCHAR) AS department, COALESCE(UPPER(status_raw), 'ACTIVE') AS status, "
+    "TRY_CAST(regexp_extract(theater_raw, '^\\s*([+-]?\\d+)', 1) AS BIGINT) AS theater_id, "
+    "TRY_CAST(TRIM(hired_raw) AS DATE) AS hired_at, TRIM(hired_raw) AS hired_text FROM raw_members"
+)
+
+
+@query(
+    "normalize_input",
+    "SELECT doc_id, first_name, last_name, email, phone, role, department, status, theater_id, "
+    "hired_at FROM clean",
+    let={"clean": _CLEAN},
+)
+def normalize_input(d):
+    return normalize(d.raw_members, "team_members", ["doc_id"]).drop("error")
+
+
+@query(
+    "validate_first_error",
+    "SELECT doc_id, CASE WHEN first_name = '' OR last_name = '' OR email = '' OR role = '' "
+    "THEN 'firstName, lastName, email, and role are required.' "
+    "WHEN NOT regexp_matches(email, '\\S+@\\S+\\.\\S+') THEN 'Invalid email.' "
+    "WHEN role NOT IN ('ADMIN', 'MANAGER', 'STAFF') THEN 'Invalid role.' "
+    "WHEN status NOT IN ('ACTIVE', 'INACTIVE', 'ON_LEAVE') THEN 'Invalid status.' "
+    "WHEN hired_at IS NULL AND hired_text <> '' THEN 'Invalid hiredAt.' END AS error FROM clean",
+    let={"clean": _CLEAN},
+)
+def validate_first_error(d):
+    return normalize(d.raw_members, "team_members", ["doc_id"]).select("doc_id", "error")
+
+
+@query(
+    "validate_children",
+    "SELECT b.doc_id, EXISTS (SELECT 1 FROM raw_seats s WHERE s.doc_id = b.doc_id "
+    "AND (TRIM(s.label_raw) = '' OR s.price_raw = 'free')) AS rejected FROM raw_bookings b",
+)
+def validate_children(d):
+    return d.raw_bookings.select("doc_id", bad_seats(F.col("seats")).alias("rejected"))
+
+
+@query(
+    "check_enums",
+    "SELECT event_id, UPPER(event_type) AS status FROM events WHERE UPPER(event_type) NOT IN "
+    "('VIEW', 'CLICK', 'PURCHASE') UNION ALL SELECT id, status FROM staff_tasks "
+    "WHERE status NOT IN ('PENDING', 'IN_PROGRESS', 'COMPLETED')",
+)
+def check_enums(d):
+    typed = d.events.select("event_id", F.upper("event_type").alias("status"))
+    strange = quality.enum_violations(typed, "status", ["VIEW", "CLICK", "PURCHASE"])
+    open_list = [s for s in TASK_STATUS if s != "CANCELLED"]
+    tasks = quality.enum_violations(d.staff_tasks, "status", open_list)
+    return strange.union(tasks.select("id", "status"))
+
+
+@query(
+    "check_ranges",
+    "SELECT id, CONCAT_WS(',', CASE WHEN NOT (break_minutes < 45) THEN 'break_minutes < 45' END, "
+    "CASE WHEN NOT (clock_out_at > clock_in_at) THEN 'clock_out_at > clock_in_at' END) AS broken "
+    "FROM staff_time_records WHERE NOT (break_minutes < 45) OR NOT (clock_out_at > clock_in_at)",
+)
+def check_ranges(d):
+    rules = ["break_minutes < 45", "clock_out_at > clock_in_at"]
+    return quality.range_violations(d.staff_time_records, rules).select("id", "broken")
+
+
+@query(
+    "check_unique",
+    "SELECT transaction_ref, COUNT(*) AS occurrences FROM payments "
+    "WHERE transaction_ref IS NOT NULL GROUP BY transaction_ref HAVING COUNT(*) > 1",
+)
+def check_unique(d):
+    return quality.duplicates(d.payments, ["transaction_ref"])
+
+
+@query(
+    "check_foreign_keys",
+    "SELECT m.id, m.theater_id FROM team_members m WHERE m.theater_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM theaters t WHERE t.city <> 'ASIA' AND t.id = m.theater_id)",
+)
+def check_foreign_keys(d):
+    elsewhere = d.theaters.where(F.col("city") != "ASIA")
+    return quality.orphans(d.team_members, elsewhere, "theater_id").select("id", "theater_id")
+
+
+@query(
+    "check_not_null",
+    "SELECT id, CONCAT_WS(',', CASE WHEN due_date IS NULL THEN 'due_date' END, "
+    "CASE WHEN due_sec IS NULL THEN 'due_sec' END) AS missing FROM staff_tasks "
+    "WHERE due_date IS NULL OR due_sec IS NULL",
+)
+def check_not_null(d):
+    rows = quality.null_violations(d.staff_tasks, ["due_date", "due_sec", "team_member_id"])
+    return rows.select("id", "missing")
+
+
+@query(
+    "reject_existing",
+    "SELECT n.seq, n.email, CASE WHEN n.seq <> MIN(n.seq) OVER (PARTITION BY n.email) OR EXISTS "
+    "(SELECT 1 FROM users u WHERE u.role = 'CUSTOMER' AND u.email = n.email) "
+    "THEN 'An account with this email already exists.' END AS error FROM (SELECT o_orderkey AS seq, "
+    "LOWER(REPLACE(c_name, '#', '.')) || '@example.com' AS email FROM orders JOIN customer "
+    "ON c_custkey = o_custkey) AS n",
+)
+def reject_existing(d):
+    new = d.orders.join(d.customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        F.col("o_orderkey").alias("seq"), mail("c_name").alias("email")
+    )
+    customers = d.users.where(F.col("role") == "CUSTOMER")
+    return quality.reject_existing(new, customers, "seq")
+
+
+@query(
+    "audit",
+    "SELECT 'screens' AS \"table\", rule, violations FROM (SELECT COUNT(*) FILTER (WHERE id IS NULL) "
+    "AS a, COUNT(*) FILTER (WHERE theater_id IS NULL) AS b, COUNT(*) FILTER (WHERE name IS NULL) "
+    "AS c, COUNT(*) FILTER (WHERE total_seats IS NULL) AS d, COUNT(*) FILTER (WHERE NOT "
+    "(total_seats > 0)) AS e FROM western) AS s, LATERAL (VALUES ('id is required', a), "
+    "('theater_id is required', b), ('name is required', c), ('total_seats is required', d), "
+    "('total_seats > 0', e)) AS r(rule, violations) UNION ALL "
+    "SELECT 'screens', 'unique theater_id, name', (SELECT COUNT(*) FROM (SELECT 1 FROM western "
+    "GROUP BY theater_id, name HAVING COUNT(*) > 1)) UNION ALL "
+    "SELECT 'showtimes', rule, violations FROM (SELECT COUNT(*) FILTER (WHERE movie_id IS NULL) "
+    "AS a, COUNT(*) FILTER (WHERE screen_id IS NULL) AS b, COUNT(*) FILTER (WHERE start_time "
+    "IS NULL) AS c, COUNT(*) FILTER (WHERE end_time IS NULL) AS d, COUNT(*) FILTER (WHERE price "
+    "IS NULL) AS e, COUNT(*) FILTER (WHERE NOT (price >= 0)) AS f, COUNT(*) FILTER (WHERE NOT "
+    "(end_time > start_time)) AS g FROM showtimes) AS s, LATERAL (VALUES "
+    "('movie_id is required', a), ('screen_id is required', b), ('start_time is required', c), "
+    "('end_time is required', d), ('price is required', e), ('price >= 0', f), "
+    "('end_time > start_time', g)) AS r(rule, violations) UNION ALL "
+    "SELECT 'showtimes', 'screen_id in screens', (SELECT COUNT(*) FROM showtimes s WHERE NOT "
+    "EXISTS (SELECT 1 FROM western b WHERE b.id = s.screen_id))",
+    let={
+        "western": "SELECT s.* FROM screens s JOIN theaters t ON t.id = s.theater_id "
+        "WHERE t.city <> 'ASIA'"
+    },
+)
+def audit(d):
+    western = d.theaters.where(F.col("city") != "ASIA")
+    halls = d.screens.join(western, F.col("theater_id") == western["id"], "left_semi")
+    return quality.audit({"screens": halls, "showtimes": d.showtimes})
