@@ -15,6 +15,7 @@ from marquee.functions import empty_to_null, literal_stamp
 from marquee.operators.joins import missing_in
 from marquee.operators.ranking import assign_ids, highest_id
 from marquee.schema import children_of
+from marquee.session import durable
 
 
 def last_per_key(batch: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -143,9 +144,10 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     """Delete rows of one table and everything that refers to them, through all levels.
 
     References declared as "null" are cleared instead.  Tables not passed in are skipped.
+    The ids deleted at each level are checkpointed, so no level is worked out again below.
     """
     out = dict(tables)
-    pending = [(table, "id", ids.select(F.col("id").alias("_dead")).distinct())]
+    pending = [(table, "id", durable(ids.select(F.col("id").alias("_dead")).distinct()))]
     while pending:
         name, column, dead = pending.pop(0)
         match = F.col(column) == F.col("_dead")
@@ -154,7 +156,7 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
         below = [c for c in children_of(name) if c[0] in out]
         if not below:
             continue
-        gone = before.join(dead, match, "left_semi").select(F.col("id").alias("_dead"))
+        gone = durable(before.join(dead, match, "left_semi").select(F.col("id").alias("_dead")))
         for child, fk, action in below:
             if action == "cascade":
                 pending.append((child, fk, gone))

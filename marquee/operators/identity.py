@@ -38,7 +38,8 @@ def resolve_user(requests: DataFrame, users: DataFrame) -> DataFrame:
     hit = left.join(_by_id(users, "_hit"), F.col("_id") == F.col("_hit"), "left")
     # The email is tried only where the id found nobody.
     tried = hit.withColumn("_try", F.when(F.col("_hit").isNull(), F.col("_mail")))
-    both = join_unique(tried, _by_email(users, "_found"), "_try", "_email")
+    mails = left.select(F.col("_mail").alias("_try"))
+    both = join_unique(tried, _by_email(users, "_found"), "_try", "_email", counted=mails)
     return both.select(*requests.columns, F.coalesce("_hit", "_found").alias("user_id"))
 
 
@@ -47,7 +48,8 @@ def resolve_user_strict(requests: DataFrame, users: DataFrame) -> DataFrame:
     left = _prepared(requests).withColumn("_id", F.when(F.col("_id") >= 1, F.col("_id")))
     hit = left.join(_by_id(users, "_hit"), F.col("_id") == F.col("_hit"), "left")
     tried = hit.withColumn("_try", F.when(F.col("_id").isNull(), F.col("_mail")))
-    both = join_unique(tried, _by_email(users, "_found"), "_try", "_email")
+    mails = left.select(F.when(F.col("_id").isNull(), F.col("_mail")).alias("_try"))
+    both = join_unique(tried, _by_email(users, "_found"), "_try", "_email", counted=mails)
     return both.select(*requests.columns, F.coalesce("_hit", "_found").alias("user_id"))
 
 

@@ -9,10 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators.ranking import number_rows
+
 # Page size when none is asked for, and the largest one.
 DEFAULT_LIMIT, MAX_LIMIT = 50, 200
 ITEMS_DEFAULT_LIMIT, ITEMS_MAX_LIMIT = 100, 500
 
+DEEP_OFFSET = 100_000
+
 
 def leading_int(value) -> int | None:
     """Integer at the start of a parameter, None if there is none."""
@@ -38,9 +42,18 @@ def paginate(
     default: int = DEFAULT_LIMIT,
     cap: int = MAX_LIMIT,
 ) -> DataFrame:
-    """One page of an ordering.  Give a unique key last, or pages are not reproducible."""
+    """One page of an ordering.  Give a unique key last, or pages are not reproducible.
+
+    A top-k keeps all rows up to the end of the page in one task, so pages that begin
+    beyond ``DEEP_OFFSET`` are found by row number instead.
+    """
     size = clamp_limit(limit, default, cap)
-    return df.orderBy(*order).offset((clamp_page(page) - 1) * size).limit(size)
+    skipped = (clamp_page(page) - 1) * size
+    if skipped <= DEEP_OFFSET:
+        return df.orderBy(*order).offset(skipped).limit(size)
+    numbered = number_rows(df, order, "_rn")
+    inside = F.col("_rn").between(skipped + 1, skipped + size)
+    return numbered.where(inside).orderBy("_rn").drop("_rn")
 
 
 def total(df: DataFrame) -> DataFrame:
