@@ -204,9 +204,10 @@ def _profile() -> tuple[Fields, Rules]:
             "phone": _optional("phone"),
             "profile_photo": F.when(given, _text("profilePhoto")),
             "profile_photo_provided": given,
+            "_nothing": nothing,
         },
         [
-            (nothing, "No updatable fields provided."),
+            (F.col("_nothing"), "No updatable fields provided."),
             (
                 F.coalesce(_blank("first_name"), F.lit(False))
                 | F.coalesce(_blank("last_name"), F.lit(False)),
@@ -394,10 +395,15 @@ def first_error(rules: Rules) -> Column:
 
 
 def normalize(df: DataFrame, kind: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, the normalized fields, and ``error`` (null for a valid row)."""
+    """``keep`` columns, the normalized fields, and ``error`` (null for a valid row).
+
+    Fields are computed from the raw columns, rules from the fields.  A field named with a
+    leading underscore serves the rules only.
+    """
     fields, rules = KINDS[kind]()
     judged = df.withColumns(fields).withColumn("error", first_error(rules))
-    return judged.select(*[c for c in keep if c not in fields], *fields, "error")
+    shown = [f for f in fields if not f.startswith("_")]
+    return judged.select(*[c for c in keep if c not in fields], *shown, "error")
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
