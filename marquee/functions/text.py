@@ -15,7 +15,7 @@ WHITESPACE = (
 
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only spaces."""
-    return F.trim(c, F.lit(WHITESPACE))
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def lower_trim(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Bulk changes: current table and a batch in, new table out.
 
-Nothing is overwritten in place; write the result to a new path.  A batch may name a key
-several times only where a sequence column is given, and then the last one counts.
+Nothing is overwritten in place; write the result to a new path.  A batch names a key once,
+or else has a sequence column ``seq``; its rows then take effect in that order.
 """
 
 from __future__ import annotations
@@ -25,6 +25,15 @@ def last_per_key(batch: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return latest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*batch.columns)
 
 
+def _in_sequence(
+    batch: DataFrame, key: str, seq: str, last: Sequence[str], first: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key: ``last`` columns of its last row, ``first`` columns of its first."""
+    return batch.groupBy(key).agg(
+        *[F.max_by(c, seq).alias(c) for c in last], *[F.min_by(c, seq).alias(c) for c in first]
+    )
+
+
 def insert_missing(
     current: DataFrame,
     new: DataFrame,
@@ -62,9 +71,16 @@ def beside(current: DataFrame, batch: DataFrame, key: str, columns: Sequence[str
 
 
 def update_full(
-    current: DataFrame, changes: DataFrame, columns: Sequence[str], now: str, key: str = "id"
+    current: DataFrame,
+    changes: DataFrame,
+    columns: Sequence[str],
+    now: str,
+    key: str = "id",
+    seq: str | None = None,
 ) -> DataFrame:
     """Replace all given columns of the rows named by the changes, omitted values by null."""
+    if seq:
+        changes = _in_sequence(changes, key, seq, columns)
     joined = beside(current, changes, key, columns)
     new = {c: F.col(f"_new_{c}") for c in columns}
     return joined.select(*stamped(current, F.col("_key").isNotNull(), now, new))
@@ -82,11 +98,19 @@ def update_sparse(
     flagged: dict[str, str],
     now: str,
     key: str = "id",
+    seq: str | None = None,
 ) -> DataFrame:
     """Patch rows: null keeps the old value, except where a column's flag says it was given.
 
     ``flagged`` maps a column to its boolean "provided" column; it may be set to null or ''.
     """
+    if seq:
+        # A null order is passed over, so each column takes its last value that was given.
+        given = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in columns]
+        for c, flag in flagged.items():
+            given.append(F.max_by(c, F.when(F.col(flag), F.col(seq))).alias(c))
+            given.append(F.bool_or(flag).alias(flag))
+        patch = patch.groupBy(key).agg(*given)
     joined = beside(current, patch, key, [*columns, *flagged, *flagged.values()])
     new = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns}
     for c, flag in flagged.items():
@@ -113,12 +137,16 @@ def upsert(
     key: str,
     update_columns: Sequence[str],
     now: str,
+    seq: str | None = None,
 ) -> DataFrame:
     """Update the rows whose key is there, insert the others with new ids.
 
-    ``new`` has one row per key.  ``update_columns`` are overwritten on a match; the other
-    columns of ``new`` are used for inserted rows only.
+    ``update_columns`` are overwritten on a match; the other columns of ``new`` are used for
+    inserted rows only.
     """
+    if seq:
+        others = [c for c in new.columns if c not in (key, seq, *update_columns)]
+        new = _in_sequence(new, key, seq, update_columns, others)
     updated = update_full(current, new, update_columns, now, key)
     fresh = missing_in(new, current, [key]).withColumn("id", F.lit(None).cast("bigint"))
     for stamp in ("created_at", "updated_at"):
@@ -144,7 +172,7 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     """Delete rows of one table and everything that refers to them, through all levels.
 
     References declared as "null" are cleared instead.  Tables not passed in are skipped.
-    The ids deleted at each level are checkpointed, so no level is worked out again below.
+    The ids deleted at each level are written once, so no level is worked out again below.
     """
     out = dict(tables)
     pending = [(table, "id", durable(ids.select(F.col("id").alias("_dead")).distinct()))]

@@ -314,29 +314,26 @@ def _payment() -> tuple[Fields, Rules]:
     )
 
 
-def _bad_seat(seat: Column) -> Column:
-    price = parse_money(seat["price"])
-    label = F.coalesce(strip(seat["seatLabel"]), F.lit(""))
-    return (label == "") | price.isNull() | (price < 0)
-
-
-def bad_seats(seats: Column) -> Column:
-    """True if any seat of a document lacks a label or has no price of 0 or more."""
-    return F.coalesce(F.exists(seats, _bad_seat), F.lit(False))
-
-
 def clean_seats(seats: Column) -> Column:
     """Seats as (seat_label, price); an absent list is an empty one."""
 
     def clean(seat: Column) -> Column:
-        return F.struct(
-            strip(seat["seatLabel"]).alias("seat_label"), parse_money(seat["price"]).alias("price")
-        )
+        label = F.coalesce(strip(seat["seatLabel"]), F.lit(""))
+        return F.struct(label.alias("seat_label"), parse_money(seat["price"]).alias("price"))
 
     none = F.array().cast("array<struct<seat_label:string,price:decimal(10,2)>>")
     return F.coalesce(F.transform(seats, clean), none)
 
 
+def bad_seats(cleaned: Column) -> Column:
+    """True if any cleaned seat lacks a label or has no price of 0 or more."""
+
+    def bad(seat: Column) -> Column:
+        return (seat["seat_label"] == "") | seat["price"].isNull() | (seat["price"] < 0)
+
+    return F.exists(cleaned, bad)
+
+
 def _booking() -> tuple[Fields, Rules]:
     pays = F.col("payment_method").isNotNull()
     return (
@@ -357,7 +354,7 @@ def _booking() -> tuple[Fields, Rules]:
             (_outside("status", schema.BOOKING_STATUS), "Invalid status."),
             (_outside("payment_method", schema.PAYMENT_METHOD), "Invalid paymentMethod."),
             (pays & _outside("payment_status", schema.PAYMENT_STATUS), "Invalid paymentStatus."),
-            (bad_seats(F.col("seats")), "Each seat must include seatLabel and non-negative price."),
+            (bad_seats(F.col("clean_seats")), "Each seat must include seatLabel and non-negative price."),
         ],
     )
 
@@ -401,7 +398,11 @@ def normalize(df: DataFrame, kind: str, keep: list[str]) -> DataFrame:
     leading underscore serves the rules only.
     """
     fields, rules = KINDS[kind]()
-    judged = df.withColumns(fields).withColumn("error", first_error(rules))
+    # Generated rather than projected, so that a later filter on the error, which Catalyst
+    # pushes through projections, does not parse every field a second time.
+    once = F.inline(F.array(F.struct(*[c.alias(f) for f, c in fields.items()])))
+    raw = [c for c in df.columns if c not in fields]
+    judged = df.select(*raw, once).withColumn("error", first_error(rules))
     shown = [f for f in fields if not f.startswith("_")]
     return judged.select(*[c for c in keep if c not in fields], *shown, "error")
 

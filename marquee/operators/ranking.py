@@ -18,13 +18,11 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "rn")
 
     Rows are range-partitioned and sorted inside each partition; the position is the row
     number there plus the sizes of the partitions before it.  The partitioned rows are
-    checkpointed, so sizes and rows come from the same partitioning even when an executor
-    is lost.  Only the sizes, one row per partition, meet in one place.
+    written to the shared folder, so sizes and rows come from the same partitioning even
+    when an executor is lost.  Only the sizes, one row per partition, meet in one place.
     """
-    conf = df.sparkSession.conf
-    parts = int(conf.get("spark.sql.shuffle.partitions"))
     placed = durable(
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_slot", _LOCAL_BITS))
@@ -35,7 +33,7 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "rn")
         .agg(F.count("*").alias("_size"))
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    # At most one row per partition, so the broadcast is bounded by `parts`.
+    # At most one row per shuffle partition, so the broadcast is bounded.
     local = F.col("_slot").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return placed.join(F.broadcast(starts), "_part").select(
         *df.columns, (F.col("_start") + local + 1).alias(name)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from marquee.functions import user_role
 from marquee.operators.changes import stamped, update_sparse, upsert
 from marquee.operators.identity import resolve_user_strict
+from marquee.operators.payloads import normalize, split
+from marquee.operators.quality import reject_existing
+from marquee.operators.ranking import assign_ids, highest_id
+from marquee.sources import conform
 
 # Payload name of each column that is handed out; the password hash never is.
 USER_PAYLOAD = {
@@ -31,6 +35,47 @@ def to_user_payload(users: DataFrame) -> DataFrame:
     )
 
 
+def register(
+    users: DataFrame, raw: DataFrame, seq: str, now: str, kept: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Registrations in the order of ``seq``: (new account rows, rejected ones with the error).
+
+    ``kept`` names further raw columns to carry into the accounts, such as password_hash.
+    """
+    checked = normalize(raw, "accounts", [seq, *(kept or [])])
+    good, bad = split(checked)
+    fresh, taken = split(reject_existing(good, users, seq))
+    rows = assign_ids(fresh.withColumn("id", F.lit(None)), highest_id(users), [seq])
+    rejected = bad.select(seq, "error").unionByName(taken.select(seq, "error"))
+    return conform(rows, "users", now), rejected
+
+
+ACCOUNT_UPDATES = ["first_name", "last_name", "phone", "role"]
+
+
+def add_members(
+    members: DataFrame, users: DataFrame, new: DataFrame, password_hash: str, now: str
+) -> tuple[DataFrame, DataFrame]:
+    """Normalized new team members: (all members, all accounts).
+
+    Every new member gets an account; one with the same email is updated but keeps its
+    password.  Emails are unique within ``new`` and not yet among the members.
+    """
+    added = assign_ids(new.withColumn("id", F.lit(None)), highest_id(members), ["email"])
+    linked = new.select(
+        "email",
+        "first_name",
+        "last_name",
+        "phone",
+        user_role(F.col("role")).alias("role"),
+        F.lit(password_hash).alias("password_hash"),
+    )
+    return (
+        members.unionByName(conform(added, "team_members", now), allowMissingColumns=True),
+        upsert(users, linked, "email", ACCOUNT_UPDATES, now),
+    )
+
+
 def patch_profiles(users: DataFrame, requests: DataFrame, now: str) -> DataFrame:
     """Apply validated profile patches, each addressed by id or else by email.
 
@@ -78,4 +123,4 @@ def sync_users(
 
     rest = exact.where(F.col("_u").isNull()).select(*fields)
     rest = rest.withColumn("password_hash", F.lit(password_hash))
-    return upsert(updated, rest, "email", ["first_name", "last_name", "phone", "role"], now)
+    return upsert(updated, rest, "email", ACCOUNT_UPDATES, now)

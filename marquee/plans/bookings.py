@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 
 from marquee.functions import join_skipping_nulls, literal_stamp
 from marquee.operators.changes import with_paid_at
-from marquee.operators.joins import missing_in
+from marquee.operators.joins import missing_in, nest_children
 from marquee.operators.ranking import assign_ids
+from marquee.plans.listings import booking_listing
+
+
+def booking_with_seats(
+    bookings: DataFrame,
+    users: DataFrame,
+    showtimes: DataFrame,
+    movies: DataFrame,
+    seats: DataFrame,
+) -> DataFrame:
+    """Each booking as listed, with its seats in id order as an array."""
+    listing = booking_listing(bookings, users, showtimes, movies)
+    fields = ["id", "seat_label", "price", "created_at"]
+    return nest_children(listing, seats, "booking_id", ["id"], fields, "seats")
 
 
 class FanOut(NamedTuple):

@@ -35,6 +35,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from reliable storage from then on."""
-    durable_root(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, computed once, written to the shared folder and read from there on.
+
+    A Parquet table rather than an RDD checkpoint: later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators import quality
-from marquee.operators.payloads import bad_seats, normalize
+from marquee.operators.payloads import bad_seats, clean_seats, normalize
 from marquee.schema import TASK_STATUS
 from suite.domain import mail
 from suite.registry import query
@@ -52,7 +52,7 @@ def validate_first_error(d):
     "AND (TRIM(s.label_raw) = '' OR s.price_raw = 'free')) AS rejected FROM raw_bookings b",
 )
 def validate_children(d):
-    return d.raw_bookings.select("doc_id", bad_seats(F.col("seats")).alias("rejected"))
+    return d.raw_bookings.select("doc_id", bad_seats(clean_seats(F.col("seats"))).alias("rejected"))
 
 
 @query(
