@@ -12,6 +12,7 @@ from marquee.operators.ranking import highest_id
 from marquee.plans import accounts, schedules
 from marquee.plans.bookings import backfill_payments as backfill
 from marquee.plans.bookings import fan_out
+from marquee.plans.listings import showtime_listing
 from suite.c_joins import CLICKS, clicked
 from suite.domain import mail
 from suite.registry import query
@@ -351,38 +352,22 @@ def backfill_payments(d):
     "WHERE st.movie_id = x.movie_id AND st.screen_id = x.screen_id "
     "AND st.start_time = x.start_time)",
     let={
-        "days": "SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', "
+        "days": "SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', "
         "INTERVAL '1' DAY)) AS DATE) AS day",
-        "templates": "SELECT DISTINCT m.title AS movie_title, th.name AS theater_name, "
-        "sc.name AS screen_name, m.duration_min FROM showtimes st JOIN movies m "
-        "ON m.id = st.movie_id JOIN screens sc ON sc.id = st.screen_id JOIN theaters th "
-        "ON th.id = sc.theater_id WHERE st.start_time >= TIMESTAMP '1998-02-01' "
-        "AND st.start_time < TIMESTAMP '1998-03-01'",
+        "templates": "SELECT m.title AS movie_title, th.name AS theater_name, "
+        "sc.name AS screen_name, m.duration_min FROM (SELECT screen_id, MIN(movie_id) AS movie_id "
+        "FROM showtimes GROUP BY screen_id) AS st JOIN movies m ON m.id = st.movie_id "
+        "JOIN screens sc ON sc.id = st.screen_id JOIN theaters th ON th.id = sc.theater_id",
     },
 )
 def generate_showtimes(d):
-    # Templates: every film and screen of one month, 17:00 local, seven hours added.
-    month = d.showtimes.where(
-        (F.col("start_time") >= literal_stamp("1998-02-01"))
-        & (F.col("start_time") < literal_stamp("1998-03-01"))
-    )
-    named = (
-        month.select("movie_id", "screen_id")
-        .distinct()
-        .join(d.movies.withColumnRenamed("id", "movie_id"), "movie_id")
-        .join(
-            d.screens.select(
-                F.col("id").alias("screen_id"), "theater_id", F.col("name").alias("screen_name")
-            ),
-            "screen_id",
-        )
-        .join(
-            d.theaters.select(F.col("id").alias("theater_id"), F.col("name").alias("theater_name")),
-            "theater_id",
-        )
+    # Templates: one film on every screen, 17:00 local, seven hours added.
+    shown = d.showtimes.groupBy("screen_id").agg(F.min("movie_id").alias("movie_id"))
+    named = showtime_listing(shown, d.movies, d.screens, d.theaters).join(
+        d.movies.select(F.col("id").alias("movie_id"), "duration_min"), "movie_id"
     )
     templates = named.select(
-        F.col("title").alias("movie_title"),
+        "movie_title",
         "theater_name",
         "screen_name",
         F.lit(17 * 3600).alias("start_sec"),
@@ -390,8 +375,8 @@ def generate_showtimes(d):
     )
     return schedules.generate_showtimes(
         templates,
-        "1998-02-01",
-        "1998-02-28",
+        "1995-01-01",
+        "2001-12-31",
         d.movies,
         d.screens,
         d.theaters,
