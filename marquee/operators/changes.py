@@ -218,7 +218,8 @@ def ingest_payments(
         highest_id(current),
         [seq],
     )
-    answers = known.withColumn("_seq", F.lit(None).cast("bigint")).unionByName(
+    no_seq = F.lit(None).cast(ready.schema[seq].dataType)
+    answers = known.withColumn("_seq", no_seq).unionByName(
         added.where(has_ref).select(
             F.col("transaction_ref").alias("_ref"), "id", F.col(seq).alias("_seq")
         )

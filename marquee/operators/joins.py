@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators.ranking import number_rows
 from marquee.operators.skew import join_unique
+from marquee.session import durable
 
 
 def prefixed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -36,19 +37,28 @@ def missing_in(
     ci: Sequence[str] = (),
     null_safe: Sequence[str] = (),
     computed: dict[str, Column] | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``.
 
     ``ci`` keys compare without letter case, ``null_safe`` keys treat null as a value, and
     ``computed`` replaces a key of ``a`` by an expression.  The keys of ``b`` are reduced
     to distinct ones first, so a key that fills a third of ``b`` costs one row.
+
+    Set ``repeats`` when one key may fill a large part of ``a``: the distinct keys are then
+    shuffled once more for the join, which lets adaptive execution split the partition.
     """
     computed = computed or {}
 
     def folded(name: str, c: Column) -> Column:
         return F.lower(c) if name in ci else c
 
-    wanted = b.select(*[folded(k, F.col(k)).alias(f"_b_{k}") for k in on]).distinct()
+    keys = [f"_b_{k}" for k in on]
+    wanted = b.select(*[folded(k, F.col(k)).alias(f"_b_{k}") for k in on])
+    if repeats:
+        # Grouped by a hash as well, so the grouping does not already place rows by key.
+        wanted = wanted.withColumn("_hash", F.xxhash64(*keys))
+    wanted = wanted.distinct()
     marked = a.withColumns({f"_a_{k}": folded(k, computed.get(k, F.col(k))) for k in on})
     condition = [
         F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}"))
@@ -100,7 +110,8 @@ def nest_children(
     entry = F.struct(*order, *[f for f in fields if f not in order])
     rows = children.select(fk, entry.alias("_child"))
     sizes = rows.groupBy(fk).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > page_size).select(fk)
+    # Kept, so the counting is done once and the size of the key list is known to Catalyst.
+    large = durable(sizes.where(F.col("_n") > page_size).select(fk))
     if large.isEmpty():
         paged = rows.withColumn("_page", F.lit(1).cast("bigint"))
     else:

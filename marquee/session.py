@@ -9,17 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def durable_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and written tables.
+    """Shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only a local session, as in tests,
     falls back to a fresh temporary folder.
     """
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
         return configured
+    context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         if not context.master.startswith("local"):

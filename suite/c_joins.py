@@ -174,8 +174,8 @@ def join_lateral_top1(d):
 
 @query(
     "join_anti",
-    "SELECT id, user_id FROM bookings b WHERE status = 'CONFIRMED' AND NOT EXISTS "
-    "(SELECT 1 FROM payments p WHERE p.booking_id = b.id)",
+    "SELECT b.id, b.user_id FROM bookings b LEFT JOIN payments p ON p.booking_id = b.id "
+    "WHERE b.status = 'CONFIRMED' AND p.booking_id IS NULL",
 )
 def join_anti(d):
     confirmed = d.bookings.where(F.col("status") == "CONFIRMED").select("id", "user_id")
@@ -194,8 +194,7 @@ def clicked(d):
 
 @query(
     "join_anti_composite",
-    "SELECT c.user_id, c.movie_id FROM clicks c WHERE NOT EXISTS (SELECT 1 FROM watchlist w "
-    "WHERE w.user_id = c.user_id AND w.movie_id = c.movie_id)",
+    "SELECT user_id, movie_id FROM clicks EXCEPT SELECT user_id, movie_id FROM watchlist",
     let={"clicks": CLICKS},
 )
 def join_anti_composite(d):
@@ -231,6 +230,7 @@ def join_anti_null_safe(d):
         d.staff_tasks.where(~pending),
         ["team_member_id", "due_date", "due_sec"],
         null_safe=["due_date", "due_sec"],
+        repeats=True,
     )
 
 
@@ -238,10 +238,8 @@ def join_anti_null_safe(d):
     "join_anti_expr",
     "SELECT r.id, r.team_member_id, r.work_date FROM staff_time_records r WHERE NOT EXISTS "
     "(SELECT 1 FROM taken s WHERE s.team_member_id = r.team_member_id "
-    "AND s.work_date = r.work_date AND s.start_sec = CASE WHEN "
-    "(r.team_member_id % 2 = 0 AND EXTRACT(ISODOW FROM r.work_date) IN (1, 3, 5)) OR "
-    "(r.team_member_id % 2 = 1 AND EXTRACT(ISODOW FROM r.work_date) IN (2, 4, 6)) "
-    "THEN 32400 ELSE 50400 END)",
+    "AND s.work_date = r.work_date AND s.start_sec = CASE WHEN isodow(r.work_date) < 7 "
+    "AND (r.team_member_id + isodow(r.work_date)) % 2 = 1 THEN 32400 ELSE 50400 END)",
     let={
         "taken": "SELECT team_member_id, due_date AS work_date, CASE WHEN due_sec < 43200 "
         "THEN 32400 ELSE 50400 END AS start_sec FROM staff_tasks"

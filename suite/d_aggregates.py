@@ -72,11 +72,15 @@ def revenue_range(d):
 
 @query(
     "profile_metrics",
-    "SELECT u.id, u.email, CAST((SELECT COUNT(*) FROM watchlist w WHERE w.user_id = u.id) AS INT) "
-    "AS watchlist_total, CAST((SELECT COUNT(*) FROM bookings b WHERE b.user_id = u.id) AS INT) "
-    "AS booking_total, CAST(COALESCE((SELECT ROUND(SUM(p.amount), 2) FROM payments p "
-    "JOIN bookings b2 ON b2.id = p.booking_id WHERE b2.user_id = u.id AND p.status = 'PAID'), 0) "
-    "AS DOUBLE) AS paid_total FROM users u",
+    "SELECT u.id, u.email, CAST(COALESCE(SUM(f.listed), 0) AS INT) AS watchlist_total, "
+    "CAST(COALESCE(SUM(f.booked), 0) AS INT) AS booking_total, "
+    "CAST(COALESCE(ROUND(SUM(f.paid), 2), 0) AS DOUBLE) AS paid_total FROM users u "
+    "LEFT JOIN facts f ON f.user_id = u.id GROUP BY u.id, u.email",
+    let={
+        "facts": "SELECT user_id, 1 AS listed, 0 AS booked, 0 AS paid FROM watchlist UNION ALL "
+        "SELECT user_id, 0, 1, 0 FROM bookings UNION ALL SELECT b.user_id, 0, 0, p.amount "
+        "FROM bookings b JOIN payments p ON p.booking_id = b.id AND p.status = 'PAID'"
+    },
 )
 def profile_metrics(d):
     return metrics.profile_metrics(d.users, d.watchlist, d.bookings, d.payments)
@@ -84,19 +88,26 @@ def profile_metrics(d):
 
 @query(
     "work_summary",
-    "SELECT m.id AS team_member_id, "
-    f"COALESCE((SELECT {_HOURS} FROM staff_time_records r WHERE r.team_member_id = m.id "
-    "AND r.status = 'COMPLETED'), 0) AS total_hours, "
-    "CAST((SELECT COUNT(*) FROM staff_schedules s WHERE s.team_member_id = m.id "
-    "AND s.status = 'COMPLETED') AS INT) AS shifts_completed, "
-    "CAST((SELECT COUNT(*) FROM staff_tasks t WHERE t.team_member_id = m.id "
-    "AND t.status = 'COMPLETED') AS INT) AS tasks_completed, "
-    "CAST((SELECT COUNT(*) FROM staff_time_off_requests o WHERE o.team_member_id = m.id "
-    "AND o.status = 'PENDING') AS INT) AS pending_time_off_requests, "
-    "CAST((SELECT COUNT(*) FROM staff_schedules s2 WHERE s2.team_member_id = m.id "
-    f"AND s2.status = 'SCHEDULED' AND s2.shift_date >= DATE '{EVENTS_AS_OF}') AS INT) "
-    "AS upcoming_shifts, CAST((SELECT COUNT(*) FROM staff_tasks t2 WHERE t2.team_member_id = m.id "
-    "AND t2.status IN ('PENDING', 'IN_PROGRESS')) AS INT) AS open_tasks FROM team_members m",
+    "SELECT m.id AS team_member_id, COALESCE(CAST(ROUND(CAST(SUM(f.micros) AS DECIMAL(28,0)) "
+    "/ 3600000000, 2) AS DOUBLE), 0) AS total_hours, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'shift done') AS INT) AS shifts_completed, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'task done') AS INT) AS tasks_completed, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'time off') AS INT) AS pending_time_off_requests, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'shift ahead') AS INT) AS upcoming_shifts, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'task open') AS INT) AS open_tasks "
+    "FROM team_members m LEFT JOIN facts f ON f.member = m.id GROUP BY m.id",
+    let={
+        "facts": "SELECT team_member_id AS member, 'record' AS kind, CASE WHEN clock_out_at "
+        "IS NULL THEN 0 ELSE GREATEST(0, date_diff('microsecond', clock_in_at, clock_out_at) "
+        "- CAST(break_minutes AS BIGINT) * 60000000) END AS micros FROM staff_time_records "
+        "WHERE status = 'COMPLETED' UNION ALL SELECT team_member_id, 'shift done', 0 "
+        "FROM staff_schedules WHERE status = 'COMPLETED' UNION ALL "
+        "SELECT team_member_id, 'shift ahead', 0 FROM staff_schedules WHERE status = 'SCHEDULED' "
+        f"AND shift_date >= DATE '{EVENTS_AS_OF}' UNION ALL SELECT team_member_id, "
+        "CASE status WHEN 'COMPLETED' THEN 'task done' WHEN 'CANCELLED' THEN 'task off' "
+        "ELSE 'task open' END, 0 FROM staff_tasks UNION ALL SELECT team_member_id, 'time off', 0 "
+        "FROM staff_time_off_requests WHERE status = 'PENDING'"
+    },
 )
 def work_summary(d):
     return metrics.work_summary(

@@ -22,9 +22,7 @@ NOW = "2001-08-01 12:00:00"
 
 @query(
     "insert_missing",
-    "SELECT user_id, movie_id FROM watchlist UNION ALL SELECT c.user_id, c.movie_id FROM clicks c "
-    "WHERE NOT EXISTS (SELECT 1 FROM watchlist w WHERE w.user_id = c.user_id "
-    "AND w.movie_id = c.movie_id)",
+    "SELECT user_id, movie_id FROM watchlist UNION SELECT user_id, movie_id FROM clicks",
     let={"clicks": CLICKS},
 )
 def insert_missing(d):
@@ -333,8 +331,7 @@ def sync_accounts(d):
     "SELECT b.id AS booking_id, 'ONLINE_BANKING' AS method, CAST(b.total_amount AS DOUBLE) "
     "AS amount, 'PAID' AS status, b.booked_at AS paid_at, "
     "CONCAT('AUTO-PAY-', CAST(b.id AS VARCHAR)) AS transaction_ref FROM bookings b "
-    "WHERE b.status = 'CONFIRMED' AND NOT EXISTS (SELECT 1 FROM payments p "
-    "WHERE p.booking_id = b.id)",
+    "WHERE b.status = 'CONFIRMED' AND b.id NOT IN (SELECT booking_id FROM payments)",
 )
 def backfill_payments(d):
     rows = backfill(d.bookings, d.payments, NOW)
@@ -385,26 +382,21 @@ def generate_showtimes(d):
     )
 
 
-_MORNING = (
-    "((m.id % 2 = 0 AND EXTRACT(ISODOW FROM d.day) IN (1, 3, 5)) OR "
-    "(m.id % 2 = 1 AND EXTRACT(ISODOW FROM d.day) IN (2, 4, 6)))"
-)
-
-
 @query(
     "generate_shifts",
-    f"SELECT m.id AS team_member_id, d.day AS shift_date, CASE WHEN {_MORNING} THEN 32400 "
-    f"ELSE 50400 END AS start_sec, CASE WHEN {_MORNING} THEN 61200 ELSE 79200 END AS end_sec, "
-    "CASE WHEN m.department ILIKE '%box%' THEN 'Box Office' WHEN m.department ILIKE '%floor%' "
-    "THEN 'Floor Staff' ELSE 'Guest Support' END AS role_on_shift, "
-    f"CASE WHEN {_MORNING} THEN 'Morning shift' ELSE 'Evening shift' END AS notes, "
-    "'SCHEDULED' AS status FROM team_members m CROSS JOIN days d WHERE m.role = 'STAFF' "
-    "AND m.status = 'ACTIVE' AND EXTRACT(ISODOW FROM d.day) BETWEEN 1 AND 6 AND NOT EXISTS "
-    "(SELECT 1 FROM staff_schedules s WHERE s.team_member_id = m.id AND s.shift_date = d.day "
-    f"AND s.start_sec = CASE WHEN {_MORNING} THEN 32400 ELSE 50400 END)",
+    "SELECT g.team_member_id, g.shift_date, g.start_sec, g.start_sec + 28800 AS end_sec, "
+    "g.role_on_shift, CASE g.start_sec WHEN 32400 THEN 'Morning shift' ELSE 'Evening shift' END "
+    "AS notes, 'SCHEDULED' AS status FROM shifts g LEFT JOIN staff_schedules s "
+    "ON s.team_member_id = g.team_member_id AND s.shift_date = g.shift_date "
+    "AND s.start_sec = g.start_sec WHERE s.id IS NULL",
     let={
         "days": "SELECT CAST(unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', "
-        "INTERVAL '1' DAY)) AS DATE) AS day"
+        "INTERVAL '1' DAY)) AS DATE) AS day",
+        "shifts": "SELECT m.id AS team_member_id, d.day AS shift_date, "
+        "50400 - (m.id + isodow(d.day)) % 2 * 18000 AS start_sec, CASE m.department "
+        "WHEN 'Box Office' THEN 'Box Office' WHEN 'Floor' THEN 'Floor Staff' "
+        "ELSE 'Guest Support' END AS role_on_shift FROM days d, team_members m "
+        "WHERE isodow(d.day) <> 7 AND m.role = 'STAFF' AND m.status = 'ACTIVE'",
     },
 )
 def generate_shifts(d):
@@ -430,10 +422,9 @@ def fallback_slots(d):
 
 @query(
     "seed_watchlist",
-    "SELECT u.id AS user_id, m.id AS movie_id FROM users u JOIN movies m "
-    "ON m.status IN ('NOW_SHOWING', 'COMING_SOON') WHERE u.role = 'CUSTOMER' AND m.id IN "
-    "(SELECT id FROM movies WHERE status IN ('NOW_SHOWING', 'COMING_SOON') ORDER BY id LIMIT 3) "
-    "AND NOT EXISTS (SELECT 1 FROM watchlist w WHERE w.user_id = u.id AND w.movie_id = m.id)",
+    "SELECT u.id AS user_id, m.id AS movie_id FROM users u, (SELECT id FROM movies "
+    "WHERE status <> 'ARCHIVED' ORDER BY id LIMIT 3) AS m WHERE u.role = 'CUSTOMER' "
+    "EXCEPT SELECT user_id, movie_id FROM watchlist",
 )
 def seed_watchlist(d):
     return schedules.seed_watchlist(d.users, d.movies, d.watchlist)
@@ -441,13 +432,11 @@ def seed_watchlist(d):
 
 @query(
     "assign_members",
-    "SELECT m.id AS team_member_id, s.priority, s.due_date, s.due_sec FROM team_members m "
-    "CROSS JOIN (VALUES ('LOW', DATE '2024-01-05', 32400), ('HIGH', DATE '2024-01-05', "
-    "CAST(NULL AS INT)), ('MEDIUM', CAST(NULL AS DATE), 36000), ('LOW', CAST(NULL AS DATE), "
-    "CAST(NULL AS INT))) AS s(priority, due_date, due_sec) WHERE m.role = 'STAFF' "
-    "AND m.status = 'ACTIVE' AND NOT EXISTS (SELECT 1 FROM staff_tasks t "
-    "WHERE t.team_member_id = m.id AND t.priority = s.priority "
-    "AND t.due_date IS NOT DISTINCT FROM s.due_date AND t.due_sec IS NOT DISTINCT FROM s.due_sec)",
+    "SELECT m.id AS team_member_id, s.priority, s.due_date, s.due_sec FROM team_members m, "
+    "(VALUES ('LOW', DATE '2024-01-05', 32400), ('HIGH', DATE '2024-01-05', CAST(NULL AS INT)), "
+    "('MEDIUM', CAST(NULL AS DATE), 36000), ('LOW', CAST(NULL AS DATE), CAST(NULL AS INT))) "
+    "AS s(priority, due_date, due_sec) WHERE m.role = 'STAFF' AND m.status = 'ACTIVE' "
+    "EXCEPT SELECT team_member_id, priority, due_date, due_sec FROM staff_tasks",
 )
 def assign_members(d):
     day, no_day = F.lit("2024-01-05").cast("date"), F.lit(None).cast("date")
