@@ -67,6 +67,10 @@ def parse_stamp(c: Column) -> Column:
 
 def parse_clock(c: Column) -> Column:
     """'HH:MM' or 'HH:MM:SS' as seconds since midnight; null if out of range."""
-    part = lambda i: F.regexp_extract(c, r"^(\d{1,2}):(\d{2})(?::(\d{2}))?$", i).try_cast("int")
+    pattern = r"^(\d{1,2}):(\d{2})(?::(\d{2}))?$"
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(c, pattern, i).try_cast("int")
+
     h, m, s = part(1), part(2), F.coalesce(part(3), F.lit(0))
     return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)

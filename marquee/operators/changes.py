@@ -53,7 +53,7 @@ def insert_missing(
 
 
 def stamped(current: DataFrame, hit: Column, now: str, values: dict[str, Column]) -> list[Column]:
-    """Select list that replaces columns where ``hit`` holds; ``updated_at``, if there is one, becomes now."""
+    """Select list replacing columns where ``hit`` holds; ``updated_at``, if any, becomes now."""
     if "updated_at" in current.columns:
         values = {**values, "updated_at": literal_stamp(now)}
     return [

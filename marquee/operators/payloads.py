@@ -354,7 +354,10 @@ def _booking() -> tuple[Fields, Rules]:
             (_outside("status", schema.BOOKING_STATUS), "Invalid status."),
             (_outside("payment_method", schema.PAYMENT_METHOD), "Invalid paymentMethod."),
             (pays & _outside("payment_status", schema.PAYMENT_STATUS), "Invalid paymentStatus."),
-            (bad_seats(F.col("clean_seats")), "Each seat must include seatLabel and non-negative price."),
+            (
+                bad_seats(F.col("clean_seats")),
+                "Each seat must include seatLabel and non-negative price.",
+            ),
         ],
     )
 
@@ -398,11 +401,7 @@ def normalize(df: DataFrame, kind: str, keep: list[str]) -> DataFrame:
     leading underscore serves the rules only.
     """
     fields, rules = KINDS[kind]()
-    # Generated rather than projected, so that a later filter on the error, which Catalyst
-    # pushes through projections, does not parse every field a second time.
-    once = F.inline(F.array(F.struct(*[c.alias(f) for f, c in fields.items()])))
-    raw = [c for c in df.columns if c not in fields]
-    judged = df.select(*raw, once).withColumn("error", first_error(rules))
+    judged = df.withColumns(fields).withColumn("error", first_error(rules))
     shown = [f for f in fields if not f.startswith("_")]
     return judged.select(*[c for c in keep if c not in fields], *shown, "error")
 

@@ -48,7 +48,7 @@ def highest_id(df: DataFrame, column: str = "id") -> Column:
 def assign_ids(
     df: DataFrame, start: Column | int, order: Sequence[str | Column], name: str = "id"
 ) -> DataFrame:
-    """New ids ``start + 1, start + 2, …`` in the given (unique) order."""
+    """New ids ``start + 1, start + 2, ...`` in the given (unique) order."""
     base = F.lit(start) if isinstance(start, int) else start
     numbered = number_rows(df.drop(name), order, "_rn")
     return numbered.select((base + F.col("_rn")).alias(name), *[c for c in df.columns if c != name])

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from marquee.functions import join_skipping_nulls, literal_stamp
 from marquee.operators.changes import with_paid_at
 from marquee.operators.joins import missing_in, nest_children
+from marquee.operators.payloads import normalize, split
 from marquee.operators.ranking import assign_ids
 from marquee.plans.listings import booking_listing
+from marquee.session import durable
 
 
 def booking_with_seats(
@@ -40,7 +42,7 @@ def fan_out(
 
     ``after`` holds the highest ids present in the three tables; ids follow the order of
     ``seq``, and of the seats inside a document.  A payment row, over the booking's total,
-    is made only where a payment method is given.
+    is made only where a payment method is given.  The documents are read twice.
     """
     numbered = assign_ids(docs, after[0], [seq])
     bookings = numbered.select(
@@ -64,6 +66,17 @@ def fan_out(
     )
 
 
+def take_bookings(
+    raw: DataFrame, seq: str, now: str, after: tuple[Column | int, Column | int, Column | int]
+) -> tuple[FanOut, DataFrame]:
+    """Raw booking documents: (new rows of the three tables, rejected documents with the error).
+
+    The parsed documents are kept, because both halves and the numbering read them.
+    """
+    good, bad = split(durable(normalize(raw, "bookings", [seq])))
+    return fan_out(good, seq, now, after), bad.select(seq, "error")
+
+
 def backfill_payments(bookings: DataFrame, payments: DataFrame, now: str) -> DataFrame:
     """One paid payment for every confirmed booking that has no payment at all."""
     confirmed = bookings.where(F.col("status") == "CONFIRMED")

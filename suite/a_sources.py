@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.operators.joins import with_parent
 from marquee.operators.paging import page_to_json
 from marquee.plans.bookings import backfill_payments
 from marquee.plans.listings import list_items

@@ -12,7 +12,6 @@ from marquee.operators.joins import (
     nest_children,
     semi_topk,
     with_each,
-    with_parent,
 )
 from marquee.operators.metrics import paid_by_user
 from marquee.plans.listings import (
@@ -35,9 +34,11 @@ from suite.registry import query
 def join_inner(d):
     screens = with_theater(d.screens, d.theaters)
     tasks = with_member(d.staff_tasks, d.team_members)
-    return screens.select(F.lit("screen").alias("kind"), "id", F.col("theater_name").alias("parent")).unionByName(
-        tasks.select(F.lit("task").alias("kind"), "id", F.col("email").alias("parent"))
-    )
+
+    def flat(df, kind, parent):
+        return df.select(F.lit(kind).alias("kind"), "id", F.col(parent).alias("parent"))
+
+    return flat(screens, "screen", "theater_name").unionByName(flat(tasks, "task", "email"))
 
 
 @query(
@@ -286,9 +287,8 @@ def join_then_aggregate(d):
     "LEFT JOIN booking_seats s ON s.booking_id = b.id GROUP BY b.id, b.status",
 )
 def nest_children_query(d):
-    nested = nest_children(
-        d.bookings, d.booking_seats, "booking_id", ["seat_label", "price"], ["seat_label", "price"], "seats"
-    )
+    shown = ["seat_label", "price"]
+    nested = nest_children(d.bookings, d.booking_seats, "booking_id", shown, shown, "seats")
     zero = F.lit(0).cast("decimal(20,2)")
     total = F.aggregate("seats", zero, lambda acc, s: (acc + s["price"]).cast("decimal(20,2)"))
     return nested.select(

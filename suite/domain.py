@@ -38,7 +38,7 @@ MONEY = "decimal(10,2)"
 
 
 def pick(c, cases: dict, otherwise=None):
-    """CASE c WHEN … THEN … ELSE …"""
+    """CASE c WHEN ... THEN ... ELSE ..."""
     out = None
     for value, result in cases.items():
         result = result if hasattr(result, "alias") else F.lit(result)

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from marquee.functions import literal_stamp
 from marquee.operators import changes
-from marquee.operators.payloads import normalize, split
 from marquee.operators.ranking import assign_ids as new_ids
 from marquee.operators.ranking import highest_id
 from marquee.plans import accounts, schedules
 from marquee.plans.bookings import backfill_payments as backfill
-from marquee.plans.bookings import fan_out
+from marquee.plans.bookings import take_bookings
 from marquee.plans.listings import showtime_listing
 from suite.c_joins import CLICKS, clicked
 from suite.domain import mail
@@ -190,8 +189,7 @@ _DOCS = (
     },
 )
 def booking_fanout(d):
-    valid, _ = split(normalize(d.raw_bookings, "bookings", ["doc_id"]))
-    out = fan_out(valid, "doc_id", NOW, (100, 200, 300))
+    out, _ = take_bookings(d.raw_bookings, "doc_id", NOW, (100, 200, 300))
 
     def flat(kind, df, parent, label, amount):
         return df.select(
@@ -408,8 +406,8 @@ def generate_shifts(d):
 @query(
     "fallback_slots",
     "SELECT m.id AS movie_id, (SELECT MIN(id) FROM screens) AS screen_id, m.start_time, "
-    "m.start_time + INTERVAL '2' HOUR AS end_time, CAST(180 AS DOUBLE) AS price, 'English' AS language, "
-    "'2D' AS format FROM (SELECT id, TIMESTAMP '2026-12-01 05:00:00' + CAST(ROW_NUMBER() OVER "
+    "m.start_time + INTERVAL '2' HOUR AS end_time, CAST(180 AS DOUBLE) AS price, "
+    "'English' AS language, '2D' AS format FROM (SELECT id, TIMESTAMP '2026-12-01 05:00:00' + CAST(ROW_NUMBER() OVER "
     "(ORDER BY id) - 1 AS INT) * INTERVAL '3' HOUR AS start_time FROM movies WHERE id NOT IN "
     "(SELECT movie_id FROM recent)) AS m",
     let={"recent": "SELECT movie_id FROM showtimes WHERE start_time >= TIMESTAMP '2001-10-01'"},

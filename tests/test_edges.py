@@ -14,7 +14,7 @@ from marquee.functions.text import WHITESPACE
 from marquee.operators import changes, filters, identity, metrics, paging, quality
 from marquee.operators.payloads import normalize, split
 from marquee.plans import accounts, listings
-from marquee.plans.bookings import fan_out
+from marquee.plans.bookings import take_bookings
 from marquee.sources import conform, date_series, values_df
 
 NOW = "2026-02-18 09:00:00"
@@ -336,7 +336,7 @@ def test_booking_documents(spark):
         (11, "1", "2", None, "10", [], None, "lost", None),
     ]
     docs = spark.createDataFrame(rows, BOOKING)
-    good, bad = split(normalize(docs, "bookings", ["doc_id"]))
+    out, bad = take_bookings(docs, "doc_id", NOW, (100, 200, 300))
     seats = "Each seat must include seatLabel and non-negative price."
     assert {r.doc_id: r.error for r in bad.collect()} == {
         2: seats,
@@ -347,7 +347,6 @@ def test_booking_documents(spark):
         9: "Invalid paymentMethod.",
         10: "Invalid paymentStatus.",
     }
-    out = fan_out(good, "doc_id", NOW, (100, 200, 300))
     booked = out.bookings.orderBy("id").collect()
     assert [(r.id, r.status) for r in booked] == [
         (101, "CONFIRMED"),
