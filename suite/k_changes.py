@@ -347,7 +347,7 @@ def backfill_payments(d):
     "WHERE st.movie_id = x.movie_id AND st.screen_id = x.screen_id "
     "AND st.start_time = x.start_time)",
     let={
-        "days": "SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', "
+        "days": "SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', "
         "INTERVAL '1' DAY)) AS DATE) AS day",
         "templates": "SELECT m.title AS movie_title, th.name AS theater_name, "
         "sc.name AS screen_name, m.duration_min FROM (SELECT screen_id, MIN(movie_id) AS movie_id "
@@ -370,8 +370,8 @@ def generate_showtimes(d):
     )
     return schedules.generate_showtimes(
         templates,
-        "1995-01-01",
-        "2001-12-31",
+        "1998-01-01",
+        "1998-12-31",
         d.movies,
         d.screens,
         d.theaters,

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import changes, identity, metrics, ranking, skew
-from marquee.operators.joins import nest_children
+from marquee.operators import changes, identity, metrics, quality, ranking, skew
+from marquee.operators.joins import missing_in, nest_children, with_parent
 from marquee.operators.ranking import number_rows
 from marquee.session import durable, new_folder
 from marquee.sources import append, conform, read_table
@@ -142,3 +142,37 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "struct<booking_id:bigint,amount:decimal(10,2),status:string>" in payments
     bookings = next(line for line in scans if "amount" not in line)
     assert "struct<id:bigint,user_id:bigint>" in bookings
+
+
+ADAPTIVE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+def test_plain_joins_are_split_at_run_time(spark):
+    """A parent of a third of all rows, once too large to broadcast, is split by Spark."""
+    child = spark.range(3_000_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100_000).cast("bigint").alias("k"),
+        F.concat(F.lit("x"), "id").alias("s"),
+    )
+    parent = spark.range(200_000).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    keys = spark.range(400_000).select((F.col("id") % 90_000).alias("k"))
+    before = {k: spark.conf.get(k, None) for k in ADAPTIVE}
+    try:
+        for k, v in ADAPTIVE.items():
+            spark.conf.set(k, v)
+        for joined in (
+            with_parent(child, parent, "k", {"name": "parent"}, "left"),
+            quality.orphans(child, parent, "k"),
+            missing_in(child, keys, ["k"], repeats=True),
+        ):
+            total = joined.agg(F.count("*"), F.max("s"))
+            total.collect()
+            assert "skew=true" in plan_of(total)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
