@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +43,15 @@ def join_skipping_nulls(*parts: Column) -> Column:
 
 
 def contains_like(c: Column, needle: str) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` in the needle are wildcards."""
-    return F.lower(c).like(f"%{needle.lower()}%")
+    """Case-insensitive substring test; ``%`` and ``_`` in the needle are wildcards.
+
+    A backslash makes the next character literal, whichever it is.
+    """
+
+    def unescape(match: re.Match) -> str:
+        return match[0] if match[1] in "%_\\" else match[1]
+
+    return F.lower(c).like(re.sub(r"\\(.)", unescape, f"%{needle.lower()}%"))
 
 
 def email_like(c: Column) -> Column:

@@ -59,9 +59,9 @@ def parse_stamp(c: Column) -> Column:
     """ISO clock text as UTC; a zone offset in the text is honoured.  Null if unreadable."""
     zoned = c.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$") & c.rlike(r"\d{1,2}:\d{2}")
     bare = c.try_cast(STAMP)
-    shifted = F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), c.try_cast("timestamp").cast(STAMP)
-    )
+    # Counted from the epoch, because local clock readings repeat when summer time ends.
+    micros = F.unix_micros(c.try_cast("timestamp")).cast("decimal(18,0)")
+    shifted = add_seconds(literal_stamp("1970-01-01"), micros / F.lit(1_000_000).cast("decimal(7,0)"))
     return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.when(zoned, shifted).otherwise(bare))
 
 

@@ -20,7 +20,7 @@ DEEP_OFFSET = 100_000
 
 def leading_int(value) -> int | None:
     """Integer at the start of a parameter, None if there is none."""
-    match = re.match(r"\s*([+-]?\d+)", str(value)) if value is not None else None
+    match = re.match(r"\s*([+-]?[0-9]+)", str(value)) if value is not None else None
     return int(match.group(1)) if match else None
 
 

@@ -98,6 +98,11 @@ def test_zoned_text_is_read_as_utc(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         df = texts(spark, "2026-02-19T10:00:00+07:00", "2026-02-19T03:00:00Z", "2026-02-19 03:00:00")
+        # In New York both are 01:30, before and after the clock goes back.
+        twice = texts(spark, "2026-11-01T05:30:00.25Z", "2026-11-01T06:30:00.25Z").orderBy("n")
+        assert column(twice.select(fn.parse_stamp(F.col("c")).alias("t")), "t") == [
+            datetime(2026, 11, 1, hour, 30, 0, 250_000) for hour in (5, 6)
+        ]
         out = column(df.select(fn.parse_stamp(F.col("c")).alias("t")), "t")
         # 02:30 does not exist in New York that night; plain clock readings keep it.
         odd = texts(spark, "2026-03-08 02:30:00")
@@ -171,6 +176,10 @@ def test_search(members):
     assert found("100%") == [2]
     assert found("y_d") == [2, 3]
     assert found(" floor ") == [3]
+    assert found("box 100\\%") == [2]
+    assert found("f\\loor") == [3]
+    assert found("y\\_d") == [2, 3]
+    assert found("\\\\a") == []
     assert found("") == [1, 2, 3]
 
 
