@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.dedup import exact_dedup
 from marquee.llm.mixing import mix
+from marquee.llm.quality import score_quality
 from marquee.llm.shared import read
+from marquee.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +27,11 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    return score_toxicity(read(spark, directory, "documents"), read(spark, directory, "labels"))
+
+
 @query("op4_mix_sources")
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     documents = mix(read(spark, directory, "documents")).documents
@@ -36,6 +43,11 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
     return contaminated(read(spark, directory, "documents"), read(spark, directory, "benchmark"))
 
 
+@query("op9_quality")
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    return score_quality(read(spark, directory, "documents"), read(spark, directory, "labels"))
+
+
 @query(
     "op10_exact_dedup",
     """
