@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.dedup import exact_dedup
+from marquee.llm.html_text import extract_text
 from marquee.llm.mixing import mix
 from marquee.llm.quality import score_quality
 from marquee.llm.shared import read
 from marquee.llm.toxicity import score_toxicity
+from marquee.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,12 +34,24 @@ def op2(spark: SparkSession, directory: str) -> DataFrame:
     return score_toxicity(read(spark, directory, "documents"), read(spark, directory, "labels"))
 
 
+@query("op3_warc")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    archives = write_archives(read(spark, directory, "pages"))
+    found = read_archives(archives, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_mix_sources")
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     documents = mix(read(spark, directory, "documents")).documents
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_html_text")
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    return extract_text(read(spark, directory, "pages"))
+
+
 @query("op8_decontaminate")
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     return contaminated(read(spark, directory, "documents"), read(spark, directory, "benchmark"))
