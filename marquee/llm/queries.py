@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.dedup import exact_dedup
 from marquee.llm.html_text import extract_text
+from marquee.llm.jaccard import jaccard_components
 from marquee.llm.mixing import mix
 from marquee.llm.quality import score_quality
 from marquee.llm.shared import read
@@ -47,6 +48,11 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, directory: str) -> DataFrame:
+    return jaccard_components(read(spark, directory, "documents"), width=3, num=90, den=100)
+
+
 @query("op7_html_text")
 def op7(spark: SparkSession, directory: str) -> DataFrame:
     return extract_text(read(spark, directory, "pages"))
