@@ -10,9 +10,11 @@ from marquee.llm.decontaminate import contaminated
 from marquee.llm.dedup import exact_dedup
 from marquee.llm.html_text import extract_text
 from marquee.llm.jaccard import jaccard_components
+from marquee.llm.lm_score import score_lm
 from marquee.llm.mixing import mix
 from marquee.llm.quality import score_quality
 from marquee.llm.shared import read
+from marquee.llm.tokens import read_tokens, write_tokens
 from marquee.llm.toxicity import score_toxicity
 from marquee.llm.warc import read_archives, write_archives
 
@@ -30,6 +32,18 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_token_ids")
+def op1(spark: SparkSession, directory: str) -> DataFrame:
+    written = write_tokens(read(spark, directory, "documents"), tokenizer_path())
+    return read_tokens(written, with_ids=False)
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, directory: str) -> DataFrame:
     return score_toxicity(read(spark, directory, "documents"), read(spark, directory, "labels"))
@@ -48,6 +62,12 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_lm_score")
+def op5(spark: SparkSession, directory: str) -> DataFrame:
+    trusted = read(spark, directory, "labels").where("quality = 1")
+    return score_lm(read(spark, directory, "documents"), trusted)
+
+
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_components(read(spark, directory, "documents"), width=3, num=90, den=100)
