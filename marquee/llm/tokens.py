@@ -64,7 +64,7 @@ def word_tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndar
         if len(known) > CACHE:
             known.clear()
             used = 0
-        new = list({w for ws in words for w in ws} - known.keys())
+        new = [w for w in {w for ws in words for w in ws} if w not in known]
         if new:
             found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             ids = [e.ids for e in found]
