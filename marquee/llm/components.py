@@ -22,20 +22,17 @@ def connected(edges: DataFrame) -> DataFrame:
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     labels = durable(first.select("node", F.least("node", "label").alias("label")))
     while True:
-        near = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy("a")
-            .agg(F.min("label").alias("_near"))
+        # The least label of the neighbours and the own one, which is remembered.
+        near = both.join(labels, both["b"] == labels["node"]).select(
+            F.col("a").alias("node"), "label", F.lit(None).cast("string").alias("_own")
         )
+        own = labels.select("node", "label", F.col("label").cast("string").alias("_own"))
         lower = durable(
-            labels.join(near, labels["node"] == near["a"]).select(
-                "node", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
-            )
+            near.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("_own").alias("_old"))
         )
+        if lower.where("label != _old").isEmpty():
+            return labels
         of_label = lower.select(F.col("node").alias("_at"), F.col("label").alias("_next"))
-        jumped = durable(
-            lower.join(of_label, lower["label"] == of_label["_at"]).select("node", "_old", F.col("_next").alias("label"))
+        labels = durable(
+            lower.join(of_label, lower["label"] == of_label["_at"]).select("node", F.col("_next").alias("label"))
         )
-        labels = jumped.select("node", "label")
-        if jumped.where("label != _old").isEmpty():
-            return labels

@@ -21,7 +21,7 @@ SAMPLE = 3
 #: Shingles of one bucket of the repeat test.
 BUCKET_SHINGLES = 2_000_000
 #: A tree holds about so many sets, and so many shingles.
-TREE_SETS, TREE_SHINGLES = 1_000, 2_000_000
+TREE_SETS, TREE_SHINGLES = 4_000, 4_000_000
 LEAF, FAN = 16, 8
 
 
@@ -155,14 +155,30 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
         alone[1:] &= ~same
         alone[:-1] &= ~same
         totals = np.bincount(owner[alone], minlength=len(known))
+        # Packed again, by set: the part of a set that names the place where its counts meet.
         hit = np.flatnonzero(totals)
-        return pd.DataFrame({"_set": [known[i].tobytes().hex() for i in hit], "_lonely": totals[hit]})
+        names, totals = known[hit], totals[hit]
+        place = names.view(np.uint64).reshape(-1, 2)[:, 0] % low_bits if len(hit) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(place, kind="stable")
+        edges = np.flatnonzero(np.diff(place[order].astype(np.int64), prepend=-1, append=-1))
+        rows = [
+            (int(place[order[a]]), names[order[a:b]].tobytes(), totals[order[a:b]].astype("<u4").tobytes())
+            for a, b in zip(edges[:-1], edges[1:], strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["_place", "_names", "_counts"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        names = np.frombuffer(b"".join(frame["_names"]), dtype="V16")
+        counts = np.frombuffer(b"".join(frame["_counts"]), dtype="<u4")
+        known, owner = np.unique(names, return_inverse=True)
+        totals = np.bincount(owner.ravel(), weights=counts, minlength=len(known)).astype(np.int64)
+        return pd.DataFrame({"_set": [n.tobytes().hex() for n in known], "_lonely": totals})
 
     sent = docs.select(F.col(text).alias("_text")).mapInPandas(
         send, "_bucket long, _names binary, _who binary, _hashes binary"
     )
-    counted = sent.groupBy("_bucket").applyInPandas(count, "_set string, _lonely long")
-    return counted.groupBy("_set").agg(F.sum("_lonely").alias("_lonely"))
+    counted = sent.groupBy("_bucket").applyInPandas(count, "_place long, _names binary, _counts binary")
+    return counted.groupBy("_place").applyInPandas(add, "_set string, _lonely long")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -362,9 +378,11 @@ def _linker(num: int, den: int, every: bool, across: bool):
         names = frame["_set"].tolist()
         sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in frame["_shingles"]]
         side = frame["_side"].to_numpy() if across else None
-        rows = [
-            (min(names[i], names[j]), max(names[i], names[j]), n) for i, j, n in links(sets, num, den, every, side)
-        ]
+        pairs = links(sets, num, den, every, side)
+        if every:
+            rows = [(min(names[i], names[j]), max(names[i], names[j]), n) for i, j, n in pairs]
+        else:
+            rows = _stars(pairs, names)
         return pd.DataFrame(rows, columns=["a", "b", "common"])
 
     return link
@@ -373,8 +391,26 @@ def _linker(num: int, den: int, every: bool, across: bool):
 SCHEMA = "a string, b string, common long"
 
 
+def _stars(pairs: list[tuple[int, int, int]], names: list[str]) -> list[tuple[str, str, int]]:
+    """Links that connect what ``pairs`` connect, from the least name of each component."""
+    root = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j, _ in pairs:
+        one, two = find(i), find(j)
+        if names[one] > names[two]:
+            one, two = two, one
+        root[two] = one
+    return [(names[find(i)], names[i], 0) for i in range(len(names)) if find(i) != i]
+
+
 def set_links(sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Links (a, b, common) between sets: all of them, or enough to connect what they connect.
+    """Links (a, b, common) between sets: all of them, or stars that connect what they connect.
 
     A family makes one signature tree; a large one is dealt into several by a hash.  Each
     tree is traversed against itself, and then every two trees of a family against each other,
@@ -403,7 +439,7 @@ def set_links(sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
         placed.groupBy("_family", "_tree").applyInPandas(_linker(num, den, every, False), SCHEMA)
     )
     split = placed.where("_trees > 1")
-    if split.isEmpty():
+    if split.isEmpty():  # every family is one tree: no trees are left to compare
         return inner
     if not every:
         first = split.groupBy("_family", "_tree").agg(F.min("_set").alias("_set")).select("_set")
