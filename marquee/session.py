@@ -38,5 +38,5 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, "kept")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
