@@ -51,8 +51,9 @@ def to_utc(local: Column, zone: str) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """ISO date text as a date; null when it is not one."""
-    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), c.try_cast("date"))
+    """ISO date text, with or without a clock reading, as a date; null when it is not one."""
+    clock = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?"
+    return F.when(c.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}({clock})?$"), c.try_cast("date"))
 
 
 def parse_stamp(c: Column) -> Column:

@@ -164,7 +164,7 @@ def delete_keys(
     hit = current.join(wanted, list(keys), "left_semi")
     return (
         current.join(wanted, list(keys), "left_anti").select(*current.columns),
-        hit.agg(F.count("*").cast("int").alias("deleted")),
+        hit.agg(F.count("*").alias("deleted")),
     )
 
 

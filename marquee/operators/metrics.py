@@ -19,7 +19,7 @@ def zero_if_none(c: Column, kind: str) -> Column:
 
 
 def count_when(condition: Column, alias: str) -> Column:
-    return F.count(F.when(condition, 1)).cast("int").alias(alias)
+    return F.count(F.when(condition, 1)).alias(alias)
 
 
 def money_sum(amount: Column, condition: Column | None = None) -> Column:
@@ -50,7 +50,7 @@ def revenue(payments: DataFrame, rng: str | None = "all", as_of: str | None = No
     """
     paid = payments.where(F.col("status") == "PAID").where(_within(normal_range(rng), as_of))
     return paid.agg(
-        F.count("*").cast("int").alias("paid_count"),
+        F.count("*").alias("paid_count"),
         money_sum(F.col("amount")).alias("paid_total"),
     )
 

@@ -57,7 +57,7 @@ def paginate(
 
 
 def total(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").cast("int").alias("total"))
+    return df.agg(F.count("*").alias("total"))
 
 
 @dataclass(frozen=True)

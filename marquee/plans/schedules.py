@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +36,9 @@ def resolve_slots(
 def on_each_day(df: DataFrame, first: str, last: str, name: str = "day") -> DataFrame:
     """Every row once per day of a span.
 
-    Over more than a month the few rows are spread first, so they multiply in many tasks.
+    The rows are spread first, so they multiply in many tasks.
     """
-    if date.fromisoformat(last) - date.fromisoformat(first) > timedelta(days=31):
-        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     days = days_between(literal_date(first), literal_date(last))
     return df.withColumn(name, F.explode(days))
 

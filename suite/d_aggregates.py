@@ -19,14 +19,14 @@ _HOURS = (
 )
 
 
-@query("count_all", "SELECT CAST(COUNT(*) AS INT) AS total FROM payments")
+@query("count_all", "SELECT CAST(COUNT(*) AS BIGINT) AS total FROM payments")
 def count_all(d):
     return total(d.payments)
 
 
 @query(
     "count_filtered",
-    "SELECT CAST(COUNT(*) AS INT) AS total FROM staff_tasks WHERE status = 'PENDING' "
+    "SELECT CAST(COUNT(*) AS BIGINT) AS total FROM staff_tasks WHERE status = 'PENDING' "
     "AND team_member_id = 3",
 )
 def count_filtered(d):
@@ -38,7 +38,7 @@ def count_filtered(d):
 
 @query(
     "revenue_summary",
-    "SELECT CAST(COUNT(*) AS INT) AS paid_count, "
+    "SELECT CAST(COUNT(*) AS BIGINT) AS paid_count, "
     "CAST(COALESCE(ROUND(SUM(amount), 2), 0) AS DOUBLE) AS paid_total FROM payments "
     "WHERE status = 'PAID'",
 )
@@ -53,7 +53,7 @@ def _range_sql(name: str, unit: str | None) -> str:
         else ""
     )
     return (
-        f"SELECT '{name}' AS range, CAST(COUNT(*) AS INT) AS paid_count, "
+        f"SELECT '{name}' AS range, CAST(COUNT(*) AS BIGINT) AS paid_count, "
         "CAST(COALESCE(ROUND(SUM(amount), 2), 0) AS DOUBLE) AS paid_total FROM payments "
         f"WHERE status = 'PAID' {bound}"
     )
@@ -72,8 +72,8 @@ def revenue_range(d):
 
 @query(
     "profile_metrics",
-    "SELECT u.id, u.email, CAST(COALESCE(SUM(f.listed), 0) AS INT) AS watchlist_total, "
-    "CAST(COALESCE(SUM(f.booked), 0) AS INT) AS booking_total, "
+    "SELECT u.id, u.email, CAST(COALESCE(SUM(f.listed), 0) AS BIGINT) AS watchlist_total, "
+    "CAST(COALESCE(SUM(f.booked), 0) AS BIGINT) AS booking_total, "
     "CAST(COALESCE(ROUND(SUM(f.paid), 2), 0) AS DOUBLE) AS paid_total FROM users u "
     "LEFT JOIN facts f ON f.user_id = u.id GROUP BY u.id, u.email",
     let={
@@ -90,11 +90,11 @@ def profile_metrics(d):
     "work_summary",
     "SELECT m.id AS team_member_id, COALESCE(CAST(ROUND(CAST(SUM(f.micros) AS DECIMAL(28,0)) "
     "/ 3600000000, 2) AS DOUBLE), 0) AS total_hours, "
-    "CAST(COUNT(*) FILTER (WHERE f.kind = 'shift done') AS INT) AS shifts_completed, "
-    "CAST(COUNT(*) FILTER (WHERE f.kind = 'task done') AS INT) AS tasks_completed, "
-    "CAST(COUNT(*) FILTER (WHERE f.kind = 'time off') AS INT) AS pending_time_off_requests, "
-    "CAST(COUNT(*) FILTER (WHERE f.kind = 'shift ahead') AS INT) AS upcoming_shifts, "
-    "CAST(COUNT(*) FILTER (WHERE f.kind = 'task open') AS INT) AS open_tasks "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'shift done') AS BIGINT) AS shifts_completed, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'task done') AS BIGINT) AS tasks_completed, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'time off') AS BIGINT) AS pending_time_off_requests, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'shift ahead') AS BIGINT) AS upcoming_shifts, "
+    "CAST(COUNT(*) FILTER (WHERE f.kind = 'task open') AS BIGINT) AS open_tasks "
     "FROM team_members m LEFT JOIN facts f ON f.member = m.id GROUP BY m.id",
     let={
         "facts": "SELECT team_member_id AS member, 'record' AS kind, CASE WHEN clock_out_at "
@@ -131,9 +131,9 @@ def net_hours(d):
 
 @query(
     "conditional_counts",
-    "SELECT team_member_id, CAST(COUNT(*) FILTER (WHERE status = 'COMPLETED') AS INT) "
+    "SELECT team_member_id, CAST(COUNT(*) FILTER (WHERE status = 'COMPLETED') AS BIGINT) "
     "AS shifts_completed, CAST(COUNT(*) FILTER (WHERE status = 'SCHEDULED' "
-    f"AND shift_date >= DATE '{EVENTS_AS_OF}') AS INT) AS upcoming_shifts "
+    f"AND shift_date >= DATE '{EVENTS_AS_OF}') AS BIGINT) AS upcoming_shifts "
     "FROM staff_schedules GROUP BY team_member_id",
 )
 def conditional_counts(d):
@@ -142,13 +142,13 @@ def conditional_counts(d):
 
 @query(
     "empty_group_defaults",
-    "SELECT CAST(COALESCE(COUNT(*), 0) AS INT) AS failed_count, "
+    "SELECT CAST(COALESCE(COUNT(*), 0) AS BIGINT) AS failed_count, "
     "CAST(COALESCE(ROUND(SUM(amount), 2), 0) AS DOUBLE) AS failed_total FROM payments "
     "WHERE status = 'FAILED'",
 )
 def empty_group_defaults(d):
     failed = d.payments.where(F.col("status") == "FAILED")
     return failed.agg(
-        F.count("*").cast("int").alias("failed_count"),
+        F.count("*").alias("failed_count"),
         metrics.money_sum(F.col("amount")).alias("failed_total"),
     )

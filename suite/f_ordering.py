@@ -76,7 +76,7 @@ def paginate(d):
 
 @query(
     "page_with_total",
-    "SELECT st.id, st.due_date, st.due_sec, tm.email, (SELECT CAST(COUNT(*) AS INT) "
+    "SELECT st.id, st.due_date, st.due_sec, tm.email, (SELECT CAST(COUNT(*) AS BIGINT) "
     "FROM staff_tasks WHERE status = 'PENDING') AS total FROM staff_tasks st "
     "JOIN team_members tm ON tm.id = st.team_member_id WHERE st.status = 'PENDING' "
     "ORDER BY st.due_date ASC NULLS LAST, st.due_sec ASC NULLS LAST, st.id DESC "

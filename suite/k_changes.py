@@ -146,7 +146,7 @@ def update_derived(d):
 
 @query(
     "delete_keys",
-    "SELECT r.id, r.team_member_id, (SELECT CAST(COUNT(*) AS INT) FROM staff_time_off_requests x "
+    "SELECT r.id, r.team_member_id, (SELECT CAST(COUNT(*) AS BIGINT) FROM staff_time_off_requests x "
     "JOIN asked a ON a.id = x.id AND a.team_member_id = x.team_member_id) AS deleted "
     "FROM staff_time_off_requests r WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.id = r.id "
     "AND a.team_member_id = r.team_member_id)",
