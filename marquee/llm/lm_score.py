@@ -229,7 +229,7 @@ def score_lm(
 
     def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
-            return pd.DataFrame({"_row": [], "_words": [], "_tl": [], "_bl": []})
+            return pd.DataFrame([], columns=["_place", "_rows", "_words", "_tl", "_bl"])
         found = np.frombuffer(b"".join(asked["_pairs"]), dtype=np.uint32)
         row = np.repeat(
             np.frombuffer(b"".join(asked["_rows"]), dtype=np.int64), np.frombuffer(b"".join(asked["_many"]), dtype="<u4")
@@ -248,24 +248,34 @@ def score_lm(
             context = np.where(before == BEGIN, texts, single[before])
             seen = np.where(hit, pair[at], 0) if len(pair) else np.zeros(len(found))
             losses.append(loss(seen, context, single[after], everything))
-        who, place = np.unique(row, return_inverse=True)
-        place = place.ravel()
-        return pd.DataFrame(
-            {
-                "_row": who,
-                "_words": np.bincount(place),
-                "_tl": np.bincount(place, weights=losses[0]),
-                "_bl": np.bincount(place, weights=losses[1]),
-            }
-        )
+        who, at = np.unique(row, return_inverse=True)
+        sums = [np.bincount(at.ravel(), weights=w) for w in (np.ones(len(row)), *losses)]
+        # Packed again, by text: each text's sums meet in the place that its number names.
+        place = (mix64(who.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        edges = np.flatnonzero(np.diff(place[order], prepend=-1, append=-1))
+        packed = [
+            (int(place[order[a]]), who[order[a:b]].tobytes(), *(x[order[a:b]].tobytes() for x in sums))
+            for a, b in zip(edges[:-1], edges[1:], strict=True)
+        ]
+        return pd.DataFrame(packed, columns=["_place", "_rows", "_words", "_tl", "_bl"])
+
+    def together(frame: pd.DataFrame) -> pd.DataFrame:
+        who, at = np.unique(np.frombuffer(b"".join(frame["_rows"]), dtype=np.int64), return_inverse=True)
+        out = {"_row": who}
+        for c in ("_words", "_tl", "_bl"):
+            values = np.frombuffer(b"".join(frame[c]), dtype=np.float64)
+            out[c] = np.bincount(at.ravel(), weights=values, minlength=len(who))
+        out["_words"] = out["_words"].astype(np.int64)
+        return pd.DataFrame(out)
 
     asked = rows.select("_row", "_text").mapInPandas(ask, "_shard long, _rows binary, _many binary, _pairs binary")
     answered = (
         asked.groupBy("_shard")
         .cogroup(model.groupBy("_shard"))
-        .applyInPandas(answer, "_row long, _words long, _tl double, _bl double")
-        .groupBy("_row")
-        .agg(F.sum("_words").alias("_words"), F.sum("_tl").alias("_tl"), F.sum("_bl").alias("_bl"))
+        .applyInPandas(answer, "_place long, _rows binary, _words binary, _tl binary, _bl binary")
+        .groupBy("_place")
+        .applyInPandas(together, "_row long, _words long, _tl double, _bl double")
     )
     words = F.coalesce("_words", F.lit(0))
     each = F.greatest(words, F.lit(1))
