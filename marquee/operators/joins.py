@@ -12,10 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.ranking import number_rows
-from marquee.operators.skew import join_unique
-from marquee.session import durable
-
 
 def prefixed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Select and rename: ``{"name": "theater_name"}``."""
@@ -37,7 +33,6 @@ def missing_in(
     ci: Sequence[str] = (),
     null_safe: Sequence[str] = (),
     computed: dict[str, Column] | None = None,
-    repeats: bool = False,
 ) -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``.
 
@@ -45,8 +40,8 @@ def missing_in(
     ``computed`` replaces a key of ``a`` by an expression.  The keys of ``b`` are reduced
     to distinct ones first, so a key that fills a third of ``b`` costs one row.
 
-    Set ``repeats`` when one key may fill a large part of ``a``: the distinct keys are then
-    shuffled once more for the join, which lets adaptive execution split the partition.
+    They are grouped by a hash as well, so the join shuffles them by key on its own, which lets
+    adaptive execution split the partition of a key that fills a large part of ``a``.
     """
     computed = computed or {}
 
@@ -55,10 +50,7 @@ def missing_in(
 
     keys = [f"_b_{k}" for k in on]
     wanted = b.select(*[folded(k, F.col(k)).alias(f"_b_{k}") for k in on])
-    if repeats:
-        # Grouped by a hash as well, so the grouping does not already place rows by key.
-        wanted = wanted.withColumn("_hash", F.xxhash64(*keys))
-    wanted = wanted.distinct()
+    wanted = wanted.withColumn("_hash", F.xxhash64(*keys)).distinct()
     marked = a.withColumns({f"_a_{k}": folded(k, computed.get(k, F.col(k))) for k in on})
     condition = [
         F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}"))
@@ -92,6 +84,17 @@ def with_each(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[s
     return exploded.select(*df.columns, *[F.col(f"_each.{n}").alias(n) for n in names])
 
 
+def child_facts(
+    parents: DataFrame, children: DataFrame, fk: str, facts: Sequence[Column]
+) -> DataFrame:
+    """Each parent with aggregates of its children, null where it has none.
+
+    Aggregates only, so a parent may have any number of children.
+    """
+    found = children.groupBy(F.col(fk).alias("_fk")).agg(*facts)
+    return parents.join(found, F.col("id") == F.col("_fk"), "left").drop("_fk")
+
+
 def nest_children(
     parents: DataFrame,
     children: DataFrame,
@@ -99,37 +102,19 @@ def nest_children(
     order: Sequence[str],
     fields: Sequence[str],
     name: str,
-    page_size: int = 10_000,
 ) -> DataFrame:
-    """Each parent with its children as an ordered array.
+    """Each parent once, with all its children as one ordered array, empty where it has none.
 
-    A parent with more than ``page_size`` children gets several rows, numbered in ``page``,
-    so that no task ever holds an unbounded array; the others have the one page 1.
-    Children are ordered by ``order``, which must be unique within a parent.
+    The array is for children whose number per parent a rule of the data bounds, as the seats of
+    a booking are (a seat once per booking, so at most those of a screen).  Where no rule does,
+    use ``child_facts``.  Children are ordered by ``order``, which must be unique in a parent.
     """
     entry = F.struct(*order, *[f for f in fields if f not in order])
-    rows = children.select(fk, entry.alias("_child"))
-    sizes = rows.groupBy(fk).agg(F.count("*").alias("_n"))
-    # Kept, so the counting is done once and the size of the key list is known to Catalyst.
-    large = durable(sizes.where(F.col("_n") > page_size).select(fk))
-    if large.isEmpty():
-        paged = rows.withColumn("_page", F.lit(1).cast("bigint"))
-    else:
-        ranked = number_rows(rows.join(large, fk, "left_semi"), [fk, "_child"], "_rn")
-        starts = ranked.groupBy(fk).agg(F.min("_rn").alias("_first"))
-        page = F.floor((F.col("_rn") - F.col("_first")) / page_size) + 1
-        starts = starts.withColumnRenamed(fk, "_start_fk")
-        split = join_unique(ranked, starts, fk, "_start_fk")
-        split = split.select(fk, "_child", page.alias("_page"))
-        rest = rows.join(large, fk, "left_anti").withColumn("_page", F.lit(1).cast("bigint"))
-        paged = rest.unionByName(split)
-    grouped = paged.groupBy(F.col(fk).alias("_fk"), F.col("_page").alias("page")).agg(
-        F.sort_array(F.collect_list("_child")).alias("_children")
+    grouped = children.groupBy(F.col(fk).alias("_fk")).agg(
+        F.sort_array(F.collect_list(entry)).alias("_children")
     )
     shape = lambda c: F.struct(*[c[f].alias(f) for f in fields])
     joined = parents.join(grouped, F.col("id") == F.col("_fk"), "left")
     none = F.array().cast(f"array<{children.select(*fields).schema.simpleString()}>")
     nested = F.coalesce(F.transform("_children", shape), none)
-    return joined.select(
-        *parents.columns, F.coalesce("page", F.lit(1).cast("bigint")).alias("page"), nested.alias(name)
-    )
+    return joined.select(*parents.columns, nested.alias(name))

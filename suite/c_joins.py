@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from marquee.operators import identity
 from marquee.operators.filters import morning_shift
 from marquee.operators.joins import (
+    child_facts,
     first_by,
     missing_in,
-    nest_children,
     semi_topk,
     with_each,
 )
@@ -133,33 +133,27 @@ def join_natural_key(d):
 
 @query(
     "join_cross",
-    "SELECT tm.id AS team_member_id, seed.title, seed.priority FROM team_members tm CROSS JOIN "
-    "(VALUES ('Count stock', 'MEDIUM'), ('Check exits', 'HIGH'), ('Change posters', NULL)) "
-    "AS seed(title, priority)",
+    "SELECT tm.id AS team_member_id, r.code, r.weight FROM team_members tm CROSS JOIN "
+    "(VALUES ('a', 1), ('b', NULL), ('b', 3), ('', 4), (NULL, 5)) AS r(code, weight)",
 )
 def join_cross(d):
-    rows = [
-        [F.lit("Count stock"), F.lit("MEDIUM")],
-        [F.lit("Check exits"), F.lit("HIGH")],
-        [F.lit("Change posters"), F.lit(None).cast("string")],
-    ]
+    pairs = [("a", 1), ("b", None), ("b", 3), ("", 4), (None, 5)]
+    rows = [[F.lit(code).cast("string"), F.lit(weight).cast("int")] for code, weight in pairs]
     members = d.team_members.select(F.col("id").alias("team_member_id"))
-    return with_each(members, rows, ["title", "priority"])
+    return with_each(members, rows, ["code", "weight"])
 
 
 @query(
     "join_constant_on",
-    "SELECT tm.id AS team_member_id, seed.reason, seed.start_date FROM (VALUES "
-    "('Trip', DATE '2024-03-02'), ('Bank', DATE '2024-02-11')) AS seed(reason, start_date) "
-    "JOIN team_members tm ON tm.role = 'STAFF' AND tm.status = 'ACTIVE'",
+    "SELECT tm.id AS team_member_id, r.quarter, r.opens FROM (VALUES "
+    "(1, DATE '1999-01-01'), (2, DATE '1999-04-01'), (3, DATE '1999-07-01'), (4, NULL)) "
+    "AS r(quarter, opens) JOIN team_members tm ON tm.role = 'STAFF' AND tm.status = 'ACTIVE'",
 )
 def join_constant_on(d):
-    rows = [
-        [F.lit("Trip"), F.lit("2024-03-02").cast("date")],
-        [F.lit("Bank"), F.lit("2024-02-11").cast("date")],
-    ]
+    opens = ["1999-01-01", "1999-04-01", "1999-07-01", None]
+    rows = [[F.lit(i), F.lit(day).cast("date")] for i, day in enumerate(opens, start=1)]
     staff = active_staff(d.team_members).select(F.col("id").alias("team_member_id"))
-    return with_each(staff, rows, ["reason", "start_date"])
+    return with_each(staff, rows, ["quarter", "opens"])
 
 
 @query(
@@ -231,7 +225,6 @@ def join_anti_null_safe(d):
         d.staff_tasks.where(~pending),
         ["team_member_id", "due_date", "due_sec"],
         null_safe=["due_date", "due_sec"],
-        repeats=True,
     )
 
 
@@ -287,17 +280,15 @@ def join_then_aggregate(d):
     "LEFT JOIN booking_seats s ON s.booking_id = b.id GROUP BY b.id, b.status",
 )
 def nest_children_query(d):
-    shown = ["seat_label", "price"]
-    nested = nest_children(d.bookings, d.booking_seats, "booking_id", shown, shown, "seats")
-    zero = F.lit(0).cast("decimal(20,2)")
-    total = F.aggregate("seats", zero, lambda acc, s: (acc + s["price"]).cast("decimal(20,2)"))
-    return nested.select(
-        "id",
-        "status",
-        F.size("seats").alias("seats"),
-        F.get("seats", F.lit(0))["seat_label"].alias("first_label"),
-        F.try_element_at("seats", F.lit(-1))["seat_label"].alias("last_label"),
-        total.cast("double").alias("seat_total"),
+    facts = [
+        F.count("seat_label").cast("int").alias("seats"),
+        F.min("seat_label").alias("first_label"),
+        F.max("seat_label").alias("last_label"),
+        F.sum("price").cast("double").alias("seat_total"),
+    ]
+    bookings = d.bookings.select("id", "status")
+    return child_facts(bookings, d.booking_seats, "booking_id", facts).fillna(
+        {"seats": 0, "seat_total": 0.0}
     )
 
 
