@@ -19,6 +19,7 @@ from marquee.functions import (
     lower_trim,
     parse_clock,
     parse_date,
+    parse_float,
     parse_int,
     parse_money,
     parse_stamp,
@@ -47,6 +48,12 @@ def _choice(name: str, default: str | None) -> Column:
     return F.coalesce(upper_trim(F.col(name)), F.lit(default))
 
 
+def _money(c: Column) -> Column:
+    """Two places; an amount below zero that would round to zero has no value."""
+    rounded = parse_money(c)
+    return F.when((rounded != 0) | (parse_float(c) >= 0), rounded)
+
+
 def _blank(*names: str) -> Column:
     out = F.lit(False)
     for n in names:
@@ -134,7 +141,7 @@ def _showtime() -> tuple[Fields, Rules]:
             "screen_id": parse_int(F.col("screenId")),
             "start_time": parse_stamp(F.col("startTime")),
             "end_time": parse_stamp(F.col("endTime")),
-            "price": parse_money(F.col("price")),
+            "price": _money(F.col("price")),
             "language": _optional("language"),
             "format": _optional("format"),
         },
@@ -300,7 +307,7 @@ def _payment() -> tuple[Fields, Rules]:
     return (
         {
             "booking_id": parse_int(F.col("bookingId")),
-            "amount": parse_money(F.col("amount")),
+            "amount": _money(F.col("amount")),
             "method": _choice("method", "WALLET"),
             "status": _choice("status", "PAID"),
             "transaction_ref": _optional("transactionRef"),
@@ -319,7 +326,7 @@ def clean_seats(seats: Column) -> Column:
 
     def clean(seat: Column) -> Column:
         label = F.coalesce(strip(seat["seatLabel"]), F.lit(""))
-        return F.struct(label.alias("seat_label"), parse_money(seat["price"]).alias("price"))
+        return F.struct(label.alias("seat_label"), _money(seat["price"]).alias("price"))
 
     none = F.array().cast("array<struct<seat_label:string,price:decimal(10,2)>>")
     return F.coalesce(F.transform(seats, clean), none)
@@ -341,7 +348,7 @@ def _booking() -> tuple[Fields, Rules]:
             "user_id": parse_int(F.col("userId")),
             "showtime_id": parse_int(F.col("showtimeId")),
             "status": _choice("status", "CONFIRMED"),
-            "total_amount": parse_money(F.col("totalAmount")),
+            "total_amount": _money(F.col("totalAmount")),
             "clean_seats": clean_seats(F.col("seats")),
             "payment_method": empty_to_null(upper_trim(F.col("paymentMethod"))),
             "payment_status": _choice("paymentStatus", "PAID"),
@@ -364,7 +371,7 @@ def _booking() -> tuple[Fields, Rules]:
 
 def _booking_update() -> tuple[Fields, Rules]:
     return (
-        {"status": _choice("status", ""), "total_amount": parse_money(F.col("totalAmount"))},
+        {"status": _choice("status", ""), "total_amount": _money(F.col("totalAmount"))},
         [
             (_outside("status", schema.BOOKING_STATUS), "Invalid status."),
             (_below("total_amount", 0), "totalAmount must be 0 or greater."),

@@ -484,6 +484,14 @@ def test_input_rules(spark, kind):
         assert column(good, "break_minutes") == [0]
 
 
+def test_an_amount_just_below_zero_is_refused(spark):
+    amounts = ["-0.004", "0.004", "-0", "-0.006", None]
+    rows = [(str(i), "1", a, None, None, None) for i, a in enumerate(amounts)]
+    kinds = "n string, bookingId string, amount string, method string, status string, transactionRef string"
+    got = normalize(spark.createDataFrame(rows, kinds), "payments", ["n"]).collect()
+    assert {int(r.n) for r in got if r.error} == {0, 3, 4}
+
+
 def test_payments_with_repeated_refs(spark):
     known = values_df(spark, "id bigint, transaction_ref string", [(7, "a"), (9, None)])
     batch = values_df(
