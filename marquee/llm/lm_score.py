@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.arrays import hash_runs, mix64, owners, parts, runs
+from marquee.llm.shared import HOT_SHARE
 from marquee.session import durable
 
 #: Words of the common vocabulary, at most: the most frequent ones, down to a whole count class.
@@ -204,11 +205,26 @@ def score_lm(
 
     model = durable(flagged.mapInPandas(count, COUNTS).groupBy("_shard").applyInPandas(add, COUNTS))
 
+    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch["_keys"]), dtype=np.uint32)
+            n, t = (np.frombuffer(b"".join(batch[c]), dtype="<i8") for c in ("_n", "_t"))
+            hot = n * HOT_SHARE >= total
+            yield pd.DataFrame({"pair": keys[hot].astype(np.int64), "n": n[hot], "t": t[hot]})
+
+    # Pairs with a thousandth of all pairs or more, so at most HOT_SHARE rows.  Every task knows
+    # their counts, so their occurrences need not meet in the shard that counted them.
+    often = model.mapInPandas(frequent, "pair long, n long, t long").orderBy("pair").collect()
+    hot_keys = np.array([r["pair"] for r in often], dtype=np.uint32)
+    hot_n, hot_t = (np.array([r[c] for r in often], dtype=np.int64) for c in ("n", "t"))
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             row = batch["_row"].to_numpy(dtype=np.int64)
             for a, found, owner in pairs(batch["_text"].tolist()):
-                shard = (mix64(found.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                # A frequent pair is asked for where its text's number says, any other by the pair.
+                by = np.where(np.isin(found, hot_keys), row[a + owner].astype(np.uint64), found.astype(np.uint64))
+                shard = (mix64(by) % np.uint64(shards)).astype(np.int64)
                 order = np.lexsort((owner, shard))
                 edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
                 rows = []
@@ -234,9 +250,11 @@ def score_lm(
         row = np.repeat(
             np.frombuffer(b"".join(asked["_rows"]), dtype=np.int64), np.frombuffer(b"".join(asked["_many"]), dtype="<u4")
         )
-        keys = np.frombuffer(b"".join(counted["_keys"]), dtype=np.uint32)
-        n = np.frombuffer(b"".join(counted["_n"]), dtype="<i8")
-        t = np.frombuffer(b"".join(counted["_t"]), dtype="<i8")
+        keys = np.concatenate((np.frombuffer(b"".join(counted["_keys"]), dtype=np.uint32), hot_keys))
+        n = np.concatenate((np.frombuffer(b"".join(counted["_n"]), dtype="<i8"), hot_n))
+        t = np.concatenate((np.frombuffer(b"".join(counted["_t"]), dtype="<i8"), hot_t))
+        keys, first = np.unique(keys, return_index=True)
+        n, t = n[first], t[first]
         at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
         hit = keys[at] == found if len(keys) else np.zeros(len(found), dtype=bool)
         before, after = (found >> np.uint32(16)).astype(np.int64), (found & np.uint32(0xFFFF)).astype(np.int64)

@@ -172,7 +172,9 @@ def test_quality(documents, spark):
     assert 0.5 < quality.estimate_prior(np.arange(100.0), np.concatenate((np.arange(100.0), np.full(40, -9.0)))) < 0.85
 
 
-def test_lm_score(documents, spark):
+@pytest.mark.parametrize("shard", [lm_score.SHARD, 700])
+def test_lm_score(documents, spark, monkeypatch, shard):
+    monkeypatch.setattr(lm_score, "SHARD", shard)
     rows = [(i, " ".join(RNG.choice("a b c d e Ä".split()) for _ in range(RNG.randrange(0, 9)))) for i in range(40)]
     rows += [(50, None), (51, "a b " * 5_000)]
     trusted = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
