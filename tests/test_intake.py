@@ -153,4 +153,4 @@ def test_booking_with_seats(spark):
     ).withColumn("created_at", stamp)
     rows = booking_with_seats(bookings, users, showtimes, movies, seats).orderBy("id").collect()
     assert [[s.seat_label for s in r.seats] for r in rows] == [["C1", "B1"], []]
-    assert (rows[0].movie_title, rows[0].user_email, rows[0].page) == ("Dunes", "a@b.c", 1)
+    assert (rows[0].movie_title, rows[0].user_email) == ("Dunes", "a@b.c")
