@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.skew import join_unique
 from marquee.schema import TABLES
 
 EMAIL_TAKEN = "An account with this email already exists."
@@ -53,15 +52,19 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, key: str = "id") -> Da
 
 
 def reject_existing(new: DataFrame, users: DataFrame, seq: str) -> DataFrame:
-    """Add ``error``: set where the email has an account or came earlier in the batch."""
-    first = new.groupBy(F.col("email").alias("_mail")).agg(F.min(seq).alias("_first"))
-    taken = users.select(F.col("email").alias("_taken")).distinct()
-    known = first.join(taken, F.col("_mail") == F.col("_taken"), "left").select(
-        "_mail", F.when(F.col("_taken").isNull(), F.col("_first")).alias("_first")
+    """Add ``error``: set where the email has an account or came earlier in the batch.
+
+    One row of each email can be accepted, its first by ``seq``, which is unique; those rows are
+    named by it, so no email brings many rows together.  A row without an email is refused.
+    """
+    named = new.where(F.col("email").isNotNull())
+    first = named.groupBy(F.col("email").alias("_mail")).agg(F.min(seq).alias("_first"))
+    taken = users.select(F.col("email").alias("_mail"))
+    accepted = first.join(taken, "_mail", "left_anti").select("_first")
+    refused = F.col("_first").isNull()
+    return new.join(accepted, F.col(seq) == F.col("_first"), "left").select(
+        *new.columns, F.when(refused, F.lit(EMAIL_TAKEN)).alias("error")
     )
-    judged = join_unique(new, known, "email", "_mail")
-    refused = ~F.col(seq).eqNullSafe(F.col("_first"))
-    return judged.select(*new.columns, F.when(refused, F.lit(EMAIL_TAKEN)).alias("error"))
 
 
 def audit(tables: dict[str, DataFrame]) -> DataFrame:

@@ -5,51 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Number of most frequent keys that are looked up by broadcast.  Every other key holds at
-# most one row in FREQUENT_KEYS, so no shuffle partition can grow beyond that share.
-FREQUENT_KEYS = 1000
-
 
 def join_unique(
-    left: DataFrame,
-    right: DataFrame,
-    left_key: str,
-    right_key: str,
-    counted: DataFrame | None = None,
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str
 ) -> DataFrame:
     """Left outer join to a side with at most one row per key; adds the columns of ``right``.
 
-    Adaptive execution cannot split a hot partition when the other side comes out of an
-    aggregation.  So the right-hand rows of the most frequent keys are broadcast, at most
-    ``FREQUENT_KEYS`` of them; the rows they answer, and rows with a null key, go through
-    the shuffle under a hash of their content, which matches nothing and spreads evenly.
-    Which keys are chosen affects the balance only, never the result.
-
-    ``counted`` may name a cheaper data set with the same key column to count keys in.
+    Adaptive execution can split a hot partition, or that of the null keys, only where the join
+    shuffles both sides itself.  An aggregate lies partitioned by its key already and would be
+    joined as it is, so ``right`` is dealt by its key and a hash of it first, which no join can
+    use.  There is no count of keys and no bound: the split follows the sizes of the partitions.
     """
-    counted = left if counted is None else counted
-    frequent = (
-        counted.where(F.col(left_key).isNotNull())
-        .groupBy(F.col(left_key).alias("_frequent"))
-        .agg(F.count("*").alias("_n"))
-        .orderBy(F.col("_n").desc())
-        .limit(FREQUENT_KEYS)
-        .select("_frequent")
-    )
-    answers = frequent.join(right, F.col("_frequent") == F.col(right_key), "left").select(
-        "_frequent", F.struct(*right.columns).alias("_answer")
-    )
-    looked = left.join(F.broadcast(answers), F.col(left_key) == F.col("_frequent"), "left")
-
-    done = F.col("_frequent").isNotNull() | F.col(left_key).isNull()
-    spread = F.concat(F.lit("\x00"), F.xxhash64(*left.columns).cast("string"))
-    looked = looked.withColumn(
-        "_join", F.when(done, spread).otherwise(F.col(left_key).cast("string"))
-    )
-    rest = right.select(
-        F.col(right_key).cast("string").alias("_key"), F.struct(*right.columns).alias("_row")
-    )
-    found = F.coalesce("_row", "_answer")
-    return looked.join(rest, F.col("_join") == F.col("_key"), "left").select(
-        *left.columns, *[found[c].alias(c) for c in right.columns]
+    dealt = right.repartition(F.col(right_key), F.xxhash64(right_key))
+    return left.join(dealt, F.col(left_key) == F.col(right_key), "left").select(
+        *left.columns, *right.columns
     )

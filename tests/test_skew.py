@@ -28,15 +28,31 @@ def sizes(df, *keys):
     return sorted(r["count"] for r in counts.collect())
 
 
-def test_hot_keys_join_right_and_spread(spark, rows, monkeypatch):
-    monkeypatch.setattr(skew, "FREQUENT_KEYS", 3)
-    right = spark.range(0, N, 2).select(
-        F.col("id").alias("rk"), F.concat(F.lit("v"), F.col("id")).alias("v")
-    )
+def test_hot_keys_join_right_and_spread(spark, rows):
+    grouped = spark.range(N).groupBy((F.col("id") - F.col("id") % 2).alias("rk"))
+    right = grouped.agg(F.concat(F.lit("v"), F.min("id")).alias("v"))
     joined = skew.join_unique(rows, right, "k", "rk")
     plain = rows.join(right, F.col("k") == F.col("rk"), "left")
     assert joined.columns == ["id", "k", "rk", "v"]
-    assert sorted(joined.collect()) == sorted(plain.collect())
+    key = lambda r: r.id
+    assert sorted(joined.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_hot_key_beside_an_aggregate_is_split(spark, rows):
+    names = ("autoBroadcastJoinThreshold", "adaptive.advisoryPartitionSizeInBytes",
+             "adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.skewJoin.skewedPartitionFactor")
+    kept = {n: spark.conf.get(f"spark.sql.{n}") for n in names}
+    for name, value in zip(names, ("-1", "16k", "16k", "1.5"), strict=True):
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        wide = rows.repartition(16).withColumn("pad", F.sha2(F.col("id").cast("string"), 256))
+        right = spark.range(N).groupBy(F.col("id").alias("rk")).agg(F.count("*").alias("v"))
+        joined = skew.join_unique(wide, right, "k", "rk")
+        assert len(joined.collect()) == N
+        assert "(skew=true)" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(f"spark.sql.{name}", value)
 
 
 def test_spread_key_is_even(rows):
