@@ -1,7 +1,8 @@
 """Bulk changes: current table and a batch in, new table out.
 
-Nothing is overwritten in place; write the result to a new path.  A batch names a key once,
-or else has a sequence column ``seq``; its rows then take effect in that order.
+Nothing is overwritten in place; write the result to a new path.  Where a batch names a key
+more than once, its rows take effect in the order of the sequence column ``seq``; without one
+the row that is greatest by its values counts.  Either way a key gives one row.
 """
 
 from __future__ import annotations
@@ -25,10 +26,17 @@ def last_per_key(batch: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return latest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*batch.columns)
 
 
-def _in_sequence(
-    batch: DataFrame, key: str, seq: str, last: Sequence[str], first: Sequence[str] = ()
+def one_per_key(
+    batch: DataFrame, key: str, seq: str | None, last: Sequence[str], first: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key: ``last`` columns of its last row, ``first`` columns of its first."""
+    """One row per key: ``last`` columns of its last row, ``first`` columns of its first.
+
+    Without ``seq`` all columns come from the row that is greatest by its values.
+    """
+    if not seq:
+        columns = [*last, *first]
+        greatest = batch.groupBy(key).agg(F.max(F.struct(*columns)).alias("_row"))
+        return greatest.select(key, *[F.col("_row")[c].alias(c) for c in columns])
     return batch.groupBy(key).agg(
         *[F.max_by(c, seq).alias(c) for c in last], *[F.min_by(c, seq).alias(c) for c in first]
     )
@@ -79,9 +87,7 @@ def update_full(
     seq: str | None = None,
 ) -> DataFrame:
     """Replace all given columns of the rows named by the changes, omitted values by null."""
-    if seq:
-        changes = _in_sequence(changes, key, seq, columns)
-    joined = beside(current, changes, key, columns)
+    joined = beside(current, one_per_key(changes, key, seq, columns), key, columns)
     new = {c: F.col(f"_new_{c}") for c in columns}
     return joined.select(*stamped(current, F.col("_key").isNotNull(), now, new))
 
@@ -111,6 +117,8 @@ def update_sparse(
             given.append(F.max_by(c, F.when(F.col(flag), F.col(seq))).alias(c))
             given.append(F.bool_or(flag).alias(flag))
         patch = patch.groupBy(key).agg(*given)
+    else:
+        patch = one_per_key(patch, key, None, [*columns, *flagged, *flagged.values()])
     joined = beside(current, patch, key, [*columns, *flagged, *flagged.values()])
     new = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns}
     for c, flag in flagged.items():
@@ -144,9 +152,8 @@ def upsert(
     ``update_columns`` are overwritten on a match; the other columns of ``new`` are used for
     inserted rows only.
     """
-    if seq:
-        others = [c for c in new.columns if c not in (key, seq, *update_columns)]
-        new = _in_sequence(new, key, seq, update_columns, others)
+    others = [c for c in new.columns if c not in (key, seq, *update_columns)]
+    new = one_per_key(new, key, seq, update_columns, others)
     updated = update_full(current, new, update_columns, now, key)
     fresh = missing_in(new, current, [key]).withColumn("id", F.lit(None).cast("bigint"))
     for stamp in ("created_at", "updated_at"):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import user_role
-from marquee.operators.changes import stamped, update_sparse, upsert
+from marquee.operators.changes import one_per_key, stamped, update_sparse, upsert
 from marquee.operators.identity import resolve_user_strict
 from marquee.operators.payloads import normalize, split
 from marquee.operators.quality import reject_existing
@@ -76,10 +76,13 @@ def add_members(
     )
 
 
-def patch_profiles(users: DataFrame, requests: DataFrame, now: str) -> DataFrame:
+def patch_profiles(
+    users: DataFrame, requests: DataFrame, now: str, seq: str | None = None
+) -> DataFrame:
     """Apply validated profile patches, each addressed by id or else by email.
 
-    ``requests`` has ``id, email`` and the normalized profile fields; one per person.
+    ``requests`` has ``id, email`` and the normalized profile fields.  Several of one person,
+    named by id or by email, take effect in the order of ``seq``.
     """
     named = resolve_user_strict(requests, users).where(F.col("user_id").isNotNull())
     patch = named.drop("id").withColumnRenamed("user_id", "id")
@@ -89,6 +92,7 @@ def patch_profiles(users: DataFrame, requests: DataFrame, now: str) -> DataFrame
         ["first_name", "last_name", "phone"],
         {"profile_photo": "profile_photo_provided"},
         now,
+        seq=seq,
     )
 
 
@@ -112,7 +116,7 @@ def sync_users(
     changed = accounts.join(old, "id").select("_old", *fields)
     exact = changed.join(users.select(F.col("email").alias("_u")), F.col("_old") == F.col("_u"), "left")
 
-    hits = exact.where(F.col("_u").isNotNull())
+    hits = one_per_key(exact.where(F.col("_u").isNotNull()), "_old", None, fields)
     both = users.join(
         hits.select("_old", *[F.col(c).alias(f"_new_{c}") for c in fields]),
         F.col("email") == F.col("_old"),
