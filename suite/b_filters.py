@@ -48,15 +48,16 @@ def rename_shape(d):
 
 @query(
     "lookup_by_id",
-    "SELECT e.event_id, e.user_id - 1 AS id, u.email, CASE WHEN e.user_id - 1 < 1 THEN 'INVALID' "
-    "WHEN u.id IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS outcome FROM events e "
-    "LEFT JOIN (SELECT id, email FROM users WHERE role <> 'ADMIN') AS u "
-    "ON u.id = e.user_id - 1 AND e.user_id - 1 >= 1",
+    "SELECT e.event_id, e.id, u.email, CASE WHEN e.id < 1 THEN 'INVALID' "
+    "WHEN u.id IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS outcome FROM (SELECT event_id, "
+    "CASE WHEN event_type = 'error' THEN user_id + 1000000000 ELSE user_id - 1 END AS id "
+    "FROM events) AS e LEFT JOIN users u ON u.id = e.id AND e.id >= 1",
 )
 def lookup_by_id(d):
-    asked = d.events.select("event_id", (F.col("user_id") - 1).alias("id"))
-    table = d.users.where(F.col("role") != "ADMIN").select("id", "email")
-    return lookup(asked, table)
+    user = F.col("user_id")
+    number = F.when(F.col("event_type") == "error", user + 1000000000).otherwise(user - 1)
+    asked = d.events.select("event_id", number.alias("id"))
+    return lookup(asked, d.users.select("id", "email"))
 
 
 @query(

@@ -293,11 +293,11 @@ def nest_children_query(d):
 
 
 _MAIL = "LOWER(TRIM(r.email, ' ' || chr(9)))"
-_PEOPLE = "SELECT id, email FROM users WHERE role <> 'ADMIN'"
+_PEOPLE = "SELECT id, email FROM users"
 
 
 def people(d):
-    return d.users.where(F.col("role") != "ADMIN").select("id", "email")
+    return d.users.select("id", "email")
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions import literal_stamp
 from marquee.operators import changes
 from marquee.operators.ranking import assign_ids as new_ids
 from marquee.operators.ranking import highest_id
@@ -213,27 +212,28 @@ def booking_fanout(d):
     "FROM batch o LEFT JOIN known k ON k.ref = o.ref LEFT JOIN fresh f "
     "ON f.seq = o.first_seq",
     let={
-        "known": "SELECT c_custkey AS id, CONCAT('REF-', CAST(c_custkey AS VARCHAR)) AS ref "
-        "FROM customer WHERE c_acctbal < 0",
+        "known": "SELECT MIN(booking_id) AS id, transaction_ref AS ref FROM payments "
+        "WHERE transaction_ref IS NOT NULL GROUP BY transaction_ref",
         "batch": "SELECT seq, ref, CASE WHEN ref IS NULL THEN seq ELSE MIN(seq) OVER "
         "(PARTITION BY ref) END AS first_seq FROM (SELECT o_orderkey AS seq, CASE o_orderpriority "
         "WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN NULL "
-        "ELSE CONCAT('REF-', CAST(o_custkey AS VARCHAR)) END AS ref FROM orders) AS o",
+        "ELSE CONCAT('REF-', CAST(o_custkey * 13 AS VARCHAR)) END AS ref FROM orders) AS o",
         "fresh": "SELECT seq, (SELECT MAX(id) FROM known) + ROW_NUMBER() OVER (ORDER BY seq) AS id "
         "FROM batch b WHERE seq = first_seq AND NOT EXISTS "
         "(SELECT 1 FROM known k WHERE k.ref = b.ref)",
     },
 )
 def insert_idempotent_ref(d):
-    ref = F.concat(F.lit("REF-"), F.col("c_custkey").cast("string"))
-    known = d.customer.where(F.col("c_acctbal") < 0).select(
-        F.col("c_custkey").alias("id"), ref.alias("transaction_ref")
-    )
+    # A ref is unique in the stored table; the test table repeats it for each line.
+    stored = d.payments.where(F.col("transaction_ref").isNotNull())
+    known = stored.groupBy("transaction_ref").agg(F.min("booking_id").alias("id"))
     priority = F.col("o_orderpriority")
     batch = d.orders.select(
         F.col("o_orderkey").alias("seq"),
         F.when(priority == "4-NOT SPECIFIED", "")
-        .when(priority != "5-LOW", F.concat(F.lit("REF-"), F.col("o_custkey").cast("string")))
+        .when(
+            priority != "5-LOW", F.concat(F.lit("REF-"), (F.col("o_custkey") * 13).cast("string"))
+        )
         .alias("transaction_ref"),
         F.lit("PAID").alias("status"),
     )
@@ -282,9 +282,10 @@ def assign_ids(d):
 
 _CHANGED = (
     "SELECT id, UPPER(first_name) AS first_name, CASE WHEN status = 'INACTIVE' "
-    "THEN CONCAT('former.', email) ELSE email END AS email, '555' AS phone, "
-    "CASE WHEN role = 'ADMIN' THEN 'ADMIN' ELSE 'STAFF' END AS role, email AS old_email "
-    "FROM team_members"
+    "THEN CONCAT('former.', old_email) ELSE old_email END AS email, '555' AS phone, "
+    "CASE WHEN role = 'ADMIN' THEN 'ADMIN' ELSE 'STAFF' END AS role, old_email "
+    "FROM (SELECT *, CASE WHEN id % 7 = 0 THEN CONCAT('moved.', email) ELSE email END "
+    "AS old_email FROM team_members) AS members"
 )
 
 
@@ -297,12 +298,12 @@ _CHANGED = (
     "ROW_NUMBER() OVER (ORDER BY c.email), c.first_name, c.email, c.phone, c.role, 'hash' "
     "FROM changed c WHERE c.old_email NOT IN (SELECT email FROM accounts)",
     let={
-        "accounts": "SELECT * FROM users WHERE role = 'CUSTOMER'",
+        "accounts": "SELECT * FROM users",
         "changed": _CHANGED,
     },
 )
 def sync_accounts(d):
-    customers = d.users.where(F.col("role") == "CUSTOMER").select(
+    users = d.users.select(
         "id",
         "first_name",
         F.lit("").alias("last_name"),
@@ -311,7 +312,9 @@ def sync_accounts(d):
         "role",
         F.lit(None).cast("string").alias("password_hash"),
     )
-    members = d.team_members
+    # Some members have an address that no account has.
+    moved = F.when(F.col("id") % 7 == 0, F.concat(F.lit("moved."), "email"))
+    members = d.team_members.withColumn("email", F.coalesce(moved, "email"))
     gone = F.col("status") == "INACTIVE"
     edited = members.select(
         "id",
@@ -321,7 +324,7 @@ def sync_accounts(d):
         F.lit("555").alias("phone"),
         "role",
     )
-    return accounts.sync_users(customers, members, edited, "hash", NOW).drop("last_name")
+    return accounts.sync_users(users, members, edited, "hash", NOW).drop("last_name")
 
 
 @query(
@@ -408,13 +411,18 @@ def generate_shifts(d):
     "SELECT m.id AS movie_id, (SELECT MIN(id) FROM screens) AS screen_id, m.start_time, "
     "m.start_time + INTERVAL '2' HOUR AS end_time, CAST(180 AS DOUBLE) AS price, "
     "'English' AS language, '2D' AS format FROM (SELECT id, TIMESTAMP '2026-12-01 05:00:00' + CAST(ROW_NUMBER() OVER "
-    "(ORDER BY id) - 1 AS INT) * INTERVAL '3' HOUR AS start_time FROM movies WHERE id NOT IN "
-    "(SELECT movie_id FROM recent)) AS m",
-    let={"recent": "SELECT movie_id FROM showtimes WHERE start_time >= TIMESTAMP '2001-10-01'"},
+    "(ORDER BY id) - 1 AS INT) * INTERVAL '3' HOUR AS start_time FROM films WHERE id NOT IN "
+    "(SELECT movie_id FROM showtimes)) AS m",
+    let={
+        "films": "SELECT id FROM movies UNION ALL SELECT id + 1000000000 FROM movies "
+        "WHERE status = 'COMING_SOON'"
+    },
 )
 def fallback_slots(d):
-    recent = d.showtimes.where(F.col("start_time") >= literal_stamp("2001-10-01"))
-    slots = schedules.fallback_slots(d.movies, d.screens, recent, "2026-12-01 05:00:00")
+    # New films beside the stored ones, which are all on the programme.
+    new = d.movies.where(F.col("status") == "COMING_SOON").select(F.col("id") + 1000000000)
+    films = d.movies.select("id").union(new)
+    slots = schedules.fallback_slots(films, d.screens, d.showtimes, "2026-12-01 05:00:00")
     return slots.withColumn("price", F.col("price").cast("double"))
 
 

@@ -91,12 +91,15 @@ def check_unique(d):
 
 @query(
     "check_foreign_keys",
-    "SELECT m.id, m.theater_id FROM team_members m WHERE m.theater_id IS NOT NULL AND NOT EXISTS "
-    "(SELECT 1 FROM theaters t WHERE t.city <> 'ASIA' AND t.id = m.theater_id)",
+    "SELECT m.id, m.theater_id FROM (SELECT id, CASE WHEN id % 9 = 0 THEN theater_id + 1000000000 "
+    "ELSE theater_id END AS theater_id FROM team_members) AS m WHERE m.theater_id IS NOT NULL "
+    "AND NOT EXISTS (SELECT 1 FROM theaters t WHERE t.id = m.theater_id)",
 )
 def check_foreign_keys(d):
-    elsewhere = d.theaters.where(F.col("city") != "ASIA")
-    return quality.orphans(d.team_members, elsewhere, "theater_id").select("id", "theater_id")
+    theater = F.col("theater_id")
+    asked = F.when(F.col("id") % 9 == 0, theater + 1000000000).otherwise(theater)
+    members = d.team_members.select("id", asked.alias("theater_id"))
+    return quality.orphans(members, d.theaters, "theater_id")
 
 
 @query(
@@ -113,17 +116,20 @@ def check_not_null(d):
 @query(
     "reject_existing",
     "SELECT n.seq, n.email, CASE WHEN n.seq <> MIN(n.seq) OVER (PARTITION BY n.email) OR EXISTS "
-    "(SELECT 1 FROM users u WHERE u.role = 'CUSTOMER' AND u.email = n.email) "
+    "(SELECT 1 FROM users u WHERE u.email = n.email) "
     "THEN 'An account with this email already exists.' END AS error FROM (SELECT o_orderkey AS seq, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN 'new.' ELSE '' END || "
     "LOWER(REPLACE(c_name, '#', '.')) || '@example.com' AS email FROM orders JOIN customer "
     "ON c_custkey = o_custkey) AS n",
 )
 def reject_existing(d):
     new = d.orders.join(d.customer, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.col("o_orderkey").alias("seq"), mail("c_name").alias("email")
+        F.col("o_orderkey").alias("seq"),
+        F.concat(
+            F.when(F.col("o_orderkey") % 3 == 0, "new.").otherwise(""), mail("c_name")
+        ).alias("email"),
     )
-    customers = d.users.where(F.col("role") == "CUSTOMER")
-    return quality.reject_existing(new, customers, "seq")
+    return quality.reject_existing(new, d.users, "seq")
 
 
 @query(
@@ -131,27 +137,30 @@ def reject_existing(d):
     "SELECT 'screens' AS \"table\", rule, violations FROM (SELECT COUNT(*) FILTER (WHERE id IS NULL) "
     "AS a, COUNT(*) FILTER (WHERE theater_id IS NULL) AS b, COUNT(*) FILTER (WHERE name IS NULL) "
     "AS c, COUNT(*) FILTER (WHERE total_seats IS NULL) AS d, COUNT(*) FILTER (WHERE NOT "
-    "(total_seats > 0)) AS e FROM western) AS s, LATERAL (VALUES ('id is required', a), "
+    "(total_seats > 0)) AS e FROM screens) AS s, LATERAL (VALUES ('id is required', a), "
     "('theater_id is required', b), ('name is required', c), ('total_seats is required', d), "
     "('total_seats > 0', e)) AS r(rule, violations) UNION ALL "
-    "SELECT 'screens', 'unique theater_id, name', (SELECT COUNT(*) FROM (SELECT 1 FROM western "
+    "SELECT 'screens', 'unique theater_id, name', (SELECT COUNT(*) FROM (SELECT 1 FROM screens "
     "GROUP BY theater_id, name HAVING COUNT(*) > 1)) UNION ALL "
     "SELECT 'showtimes', rule, violations FROM (SELECT COUNT(*) FILTER (WHERE movie_id IS NULL) "
     "AS a, COUNT(*) FILTER (WHERE screen_id IS NULL) AS b, COUNT(*) FILTER (WHERE start_time "
     "IS NULL) AS c, COUNT(*) FILTER (WHERE end_time IS NULL) AS d, COUNT(*) FILTER (WHERE price "
     "IS NULL) AS e, COUNT(*) FILTER (WHERE NOT (price >= 0)) AS f, COUNT(*) FILTER (WHERE NOT "
-    "(end_time > start_time)) AS g FROM showtimes) AS s, LATERAL (VALUES "
+    "(end_time > start_time)) AS g FROM shown) AS s, LATERAL (VALUES "
     "('movie_id is required', a), ('screen_id is required', b), ('start_time is required', c), "
     "('end_time is required', d), ('price is required', e), ('price >= 0', f), "
     "('end_time > start_time', g)) AS r(rule, violations) UNION ALL "
-    "SELECT 'showtimes', 'screen_id in screens', (SELECT COUNT(*) FROM showtimes s WHERE NOT "
-    "EXISTS (SELECT 1 FROM western b WHERE b.id = s.screen_id))",
+    "SELECT 'showtimes', 'screen_id in screens', (SELECT COUNT(*) FROM shown s WHERE NOT "
+    "EXISTS (SELECT 1 FROM screens b WHERE b.id = s.screen_id))",
     let={
-        "western": "SELECT s.* FROM screens s JOIN theaters t ON t.id = s.theater_id "
-        "WHERE t.city <> 'ASIA'"
+        "shown": "SELECT movie_id, CASE WHEN line_no = 4 THEN screen_id + 1000000000 "
+        "ELSE screen_id END AS screen_id, start_time, end_time, price FROM showtimes"
     },
 )
 def audit(d):
-    western = d.theaters.where(F.col("city") != "ASIA")
-    halls = d.screens.join(western, F.col("theater_id") == western["id"], "left_semi")
-    return quality.audit({"screens": halls, "showtimes": d.showtimes})
+    # Every fourth seat line names a screen that does not exist.
+    screen = F.col("screen_id")
+    wrong = F.when(F.col("line_no") == 4, screen + 1000000000).otherwise(screen)
+    return quality.audit(
+        {"screens": d.screens, "showtimes": d.showtimes.withColumn("screen_id", wrong)}
+    )
