@@ -16,9 +16,9 @@ def connected(edges: DataFrame) -> DataFrame:
     stays short and nothing comes to the driver but a count.  Neighbours are reduced on the
     map side, and joins with a node of very many edges are split by adaptive execution.
     """
-    both = durable(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = durable(once.select(F.inline(F.array(there, back))))
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     labels = durable(first.select("node", F.least("node", "label").alias("label")))
     while True:

@@ -229,7 +229,7 @@ def families(sets: DataFrame, num: int, den: int) -> DataFrame:
     )
     hubs = joined.groupBy("_group").agg(F.min("_set").alias("_hub"), F.count("*").alias("_size")).where("_size > 1")
     members = join_groups(joined, durable(hubs), "_group", "_size", joined.count()).where("_facts IS NOT NULL")
-    edges = members.select(F.col("_set").alias("a"), F.col("_facts._hub").alias("b")).where("a != b").distinct()
+    edges = members.select(F.col("_set").alias("a"), F.col("_facts._hub").alias("b")).where("a != b")
     found = connected(edges)
     return found.select(F.col("node").alias("_set"), F.col("label").alias("_family"))
 
@@ -561,9 +561,13 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key
     Rows without a key stay.  All columns are kept.
     """
     found = durable(jaccard_components(docs, width, num, den, key, text).where(F.col(key).isNotNull()))
-    gone = durable(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    left = docs.join(gone, docs[key] == gone["_gone"], "left_anti")
-    twice = durable(found.groupBy(F.col(key).alias("_twice")).count().where("count > 1").select("_twice"))
-    single = left.join(twice, left[key] == twice["_twice"], "left_anti")
-    repeated = left.join(twice, left[key] == twice["_twice"], "left_semi").dropDuplicates([key])
+    marked = durable(
+        found.groupBy(F.col(key).alias("_key"))
+        .agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows"))
+        .where("_key != _least OR _rows > 1")
+        .select("_key", (F.col("_key") != F.col("_least")).alias("_gone"))
+    )
+    single = docs.join(marked, docs[key] == marked["_key"], "left_anti")
+    twice = marked.where("NOT _gone")
+    repeated = docs.join(twice, docs[key] == twice["_key"], "left_semi").dropDuplicates([key])
     return single.unionByName(repeated)

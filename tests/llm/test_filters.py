@@ -104,6 +104,18 @@ def test_jaccard_join_loses_no_link(documents, rows, monkeypatch):
     assert sum(sizes[a] * sizes[b] for a, b in pairs) == brute(rows, 3, 90, 100)[1]
 
 
+def test_keep_one_keeps_the_least_key_once(documents):
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = documents(
+        [(4, words), (2, words), (2, words), (7, "other text of few words"), (9, ""), (9, ""), (None, words), (None, words)]
+    )
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [
+        (False, 2), (False, 7), (False, 9), (True, 0), (True, 0)
+    ]
+
+
 def test_jaccard_edges(documents):
     assert jaccard.jaccard_components(documents([])).collect() == []
     rows = [(2, "a b"), (2, "a b"), (None, "a b"), (1, "A  B"), (4, ""), (5, None)]
