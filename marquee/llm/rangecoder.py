@@ -276,14 +276,15 @@ def encode(ids: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
         return []
     sizes = np.full(count, BLOCK)
     sizes[-1] = len(ids) - BLOCK * (count - 1)
-    stream = np.zeros(count * BLOCK, dtype=np.int64)
+    stream = np.zeros(count * BLOCK, dtype=np.uint32)
     stream[: len(ids)] = ids
     columns = stream.reshape(count, BLOCK).T.copy()
+    del stream
     model, coder = _Model(count, bits), _Encoder(count, BLOCK * (1 + bits // 8) + 8)
     lanes = np.arange(count)
     for t in range(int(sizes.max())):
         live = count if t < sizes[-1] else count - 1
-        model.code(coder, lanes[:live], columns[t, :live])
+        model.code(coder, lanes[:live], columns[t, :live].astype(np.int64))
     payloads = coder.finish()
     plain = ids.astype("<u4")
     return [

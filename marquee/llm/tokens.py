@@ -114,11 +114,11 @@ class Writer:
         self.waiting += len(ids)
         self.ids += len(ids)
         if self.waiting >= self.room:
-            everything = np.concatenate(self.held)
+            everything, self.held = np.concatenate(self.held), []
             whole = len(everything) // self.room * self.room
             for at in range(0, whole, self.room):
                 self._group(everything[at : at + self.room])
-            self.held, self.waiting = [everything[whole:]], len(everything) - whole
+            self.held, self.waiting = [everything[whole:].copy()], len(everything) - whole
 
     def _group(self, ids: np.ndarray) -> None:
         bits = rangecoder.id_bits(ids)
