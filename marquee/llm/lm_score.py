@@ -6,25 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from marquee.llm.arrays import hash_runs, mix64, owners, parts, runs
-from marquee.llm.shared import HOT_SHARE
 from marquee.session import durable
 
-#: Words of the common vocabulary, at most: the most frequent ones, down to a whole count class.
-VOCABULARY = (1 << 16) - 2
-#: Ids of a word outside the vocabulary and of the beginning of a text.
-UNKNOWN, BEGIN = 0, 1
 #: Bigrams with fewer occurrences in the background are left to the unigrams, in both models.
 MIN_COUNT = 2
 #: Weight of the unigram model beside the bigram model.
 UNIGRAM = 0.4
-#: Words, pairs of words or word positions in a shard.
-SHARD = 4_000_000
-#: Count classes to the power of two.
-CLASSES = 16
+#: Bytes of the texts whose words and pairs are counted in a shard.
+SHARD = 8_000_000
+#: Bytes of consecutive texts that are counted and scored together; a longer text stands alone.
+BATCH = 4_000_000
+WORD, PAIR = 0, 1
 
 
 def words_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -49,6 +48,15 @@ def _counted(values: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.nda
     return found, np.bincount(at, minlength=len(found)), np.bincount(at[target], minlength=len(found))
 
 
+def pairs_of(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words begin a text, and a hash of each word with the one before it in its text."""
+    begins = np.diff(owner, prepend=-1) != 0
+    before = np.zeros(len(words), dtype=np.uint64)
+    before[1:] = words[:-1]
+    before[begins] = 0
+    return begins, mix64(before * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
 def _dealt(found: np.ndarray, n: np.ndarray, t: np.ndarray, shards: int) -> pd.DataFrame:
     shard = (mix64(found.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
@@ -60,82 +68,83 @@ def _dealt(found: np.ndarray, n: np.ndarray, t: np.ndarray, shards: int) -> pd.D
     return pd.DataFrame(rows, columns=["_shard", "_keys", "_n", "_t"])
 
 
-COUNTS = "_shard long, _keys binary, _n binary, _t binary"
+COUNTS = "_batch long, _kind int, _shard long, _keys binary, _n binary, _t binary"
+#: Counts sent back to a batch; a row of batch -1 has the sums of a shard instead.
+ANSWERS = "_batch long, _kind int, _keys binary, _n binary, _t binary, _words long, _total long, _totals long"
 
 
-def _summed(frame: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(frame["_keys"]), dtype=kind)
-    found, at = np.unique(keys, return_inverse=True)
-    at = at.ravel()
-    total = [
-        np.bincount(at, weights=np.frombuffer(b"".join(frame[c]), dtype="<u4"), minlength=len(found)).astype(np.int64)
-        for c in ("_n", "_t")
-    ]
-    return found, total[0], total[1]
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with _batch: the first _row of the about BATCH bytes of text that a row belongs to."""
 
-
-def vocabulary(flagged: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Sorted word hashes, background and target counts by id, and words of both corpora.
-
-    All words of all texts are counted, in shards.  The counts of the words in each class of
-    counts, a few hundred rows, tell from which class on at most VOCABULARY words are left.
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, size = -1, 0
+        for batch in batches:
+            ids = []
+            sizes = pc.binary_length(batch.column("_text")).to_pylist()
+            for row, n in zip(batch.column("_row").to_pylist(), sizes, strict=True):
+                if first < 0 or size >= BATCH:
+                    first, size = row, 0
+                size += n + 1
+                ids.append(first)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ids, pa.int64())], names=[*batch.schema.names, "_batch"]
+            )
+
+    return rows.mapInArrow(number, StructType([*rows.schema.fields, StructField("_batch", LongType())]))
+
+
+def counted(rows: DataFrame, shards: int) -> DataFrame:
+    """For each batch the counts in both corpora of its words and pairs, and sums of each shard.
+
+    A word that is not answered occurs nowhere else; a pair that is not answered is in no model.
+    Words and pairs are counted in the shard of their hash, and each shard answers the batches
+    that named them, so neither the driver nor a task holds the vocabulary.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            flags = batch["_target"].to_numpy(dtype=bool)
-            for a, words, owner in words_of([t or "" for t in batch["_text"]]):
-                if len(words):
-                    yield _dealt(*_counted(words, flags[a + owner]), shards)
+        for frame in batches:
+            ids = frame["_batch"].to_numpy()
+            edges = np.flatnonzero(np.diff(ids, prepend=-1, append=-1))
+            for b, e in zip(edges[:-1], edges[1:], strict=True):
+                flags = frame["_target"].to_numpy(dtype=bool)[b:e]
+                found: list[list] = [[], [], []]
+                for a, words, owner in words_of(frame["_text"].iloc[b:e].tolist()):
+                    if len(words):
+                        for into, values in zip(found, (words, pairs_of(words, owner)[1], flags[a + owner]), strict=True):
+                            into.append(values)
+                if not found[0]:
+                    continue
+                target = np.concatenate(found[2])
+                for kind in (WORD, PAIR):
+                    dealt = _dealt(*_counted(np.concatenate(found[kind]), target), shards)
+                    yield dealt.assign(_batch=ids[b], _kind=kind)[["_batch", "_kind", "_shard", "_keys", "_n", "_t"]]
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        found, n, t = _summed(frame, np.uint64)
-        order = np.argsort(-n, kind="stable")
-        found, n, t = found[order], n[order], t[order]
-        kind = np.floor(np.log2(n) * CLASSES + 1e-9).astype(np.int64)
-        edges = np.flatnonzero(np.diff(kind, prepend=-1, append=-1))
-        return pd.DataFrame(
-            {
-                "_class": kind[edges[:-1]],
-                "_words": np.diff(edges),
-                "_total": np.add.reduceat(n, edges[:-1]),
-                "_totals": np.add.reduceat(t, edges[:-1]),
-                "_keys": [found[a:b].view(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)],
-                "_n": [n[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)],
-                "_t": [t[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)],
-            }
-        )
-
-    summed = durable(
-        flagged.mapInPandas(count, COUNTS)
-        .groupBy("_shard")
-        .applyInPandas(
-            add,
-            "_class long, _words long, _total long, _totals long, _keys array<long>, _n array<long>, _t array<long>",
+        kind = int(frame["_kind"].iloc[0])
+        keys = np.frombuffer(b"".join(frame["_keys"]), dtype=np.uint64)
+        found, at = np.unique(keys, return_inverse=True)
+        at = at.ravel()
+        n, t = (
+            np.bincount(at, weights=np.frombuffer(b"".join(frame[c]), dtype="<u4"), minlength=len(found)).astype("<i8")
+            for c in ("_n", "_t")
         )
+        keep = n > 1 if kind == WORD else n >= MIN_COUNT
+        rows = [(-1, kind, None, None, None, len(found), int(n.sum()), int(t.sum()))]
+        edge = 0
+        for batch, packed in zip(frame["_batch"], frame["_keys"], strict=True):
+            mine = at[edge : edge + len(packed) // 8]
+            edge += len(mine)
+            mine = mine[keep[mine]]
+            if len(mine):
+                rows.append((batch, kind, found[mine].tobytes(), n[mine].tobytes(), t[mine].tobytes(), 0, 0, 0))
+        return pd.DataFrame(rows, columns=["_batch", "_kind", "_keys", "_n", "_t", "_words", "_total", "_totals"])
+
+    return (
+        rows.select("_batch", "_text", "_target")
+        .mapInPandas(count, COUNTS)
+        .groupBy("_kind", "_shard")
+        .applyInPandas(add, ANSWERS)
     )
-    classes = (
-        summed.groupBy("_class")
-        .agg(F.sum("_words").alias("words"), F.sum("_total").alias("n"), F.sum("_totals").alias("t"))
-        .orderBy(F.desc("_class"))
-        .collect()  # at most CLASSES * 64 rows
-    )
-    kept, least = 0, None
-    for row in classes:
-        if kept + row["words"] > VOCABULARY:
-            break
-        kept, least = kept + row["words"], row["_class"]
-    rows = [] if least is None else summed.where(F.col("_class") >= least).select("_keys", "_n", "_t").collect()
-    joined = [
-        np.concatenate([np.asarray(r[c], dtype=np.int64) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-        for c in ("_keys", "_n", "_t")
-    ]
-    keys = joined[0].view(np.uint64)
-    order = np.argsort(keys)
-    total, total_t = sum(r["n"] for r in classes), sum(r["t"] for r in classes)
-    n = np.concatenate(([total - joined[1].sum(), 0], joined[1][order]))
-    t = np.concatenate(([total_t - joined[2].sum(), 0], joined[2][order]))
-    return keys[order], n, t, int(total), int(total_t)
 
 
 def bytes_of(rows: DataFrame) -> int:
@@ -152,8 +161,9 @@ def score_lm(
     background model over all.  The score is the mean difference per word of the losses in bits,
     target minus background: the lower, the more a document resembles the target.
 
-    Nothing is sampled: the counts of words and of word pairs grow with the corpus and stay in
-    shards; only the vocabulary, at most VOCABULARY words, is known to every task.  A null or
+    Nothing is sampled and no word is left out: the vocabulary is every word of the corpus, and
+    the counts of words and of word pairs stay in shards by 64-bit hash, which send each batch of
+    texts the counts of what occurs in it.  A null or
     empty text has no words, zero losses and the score 0.  Without trusted documents the target
     model is uniform.  Repeated rows are scored each; rows without a key are background.
     Other columns are ignored; an empty table gives no rows.
@@ -165,77 +175,18 @@ def score_lm(
     )
     # One written copy of the texts serves all passes, so rows keep their numbers.
     rows = durable(
-        flagged.select(
-            "_key", "_text", F.col("_trusted").isNotNull().alias("_target"), F.monotonically_increasing_id().alias("_row")
+        numbered(
+            flagged.select(
+                "_key", "_text", F.col("_trusted").isNotNull().alias("_target"), F.monotonically_increasing_id().alias("_row")
+            )
         )
     )
-    flagged = rows.select("_text", "_target")
-    known, n_word, t_word, total, total_t = vocabulary(flagged, bytes_of(flagged) // SHARD + 1)
-    shards = total // SHARD + 1
-    size = len(known) + 1  # the words and UNKNOWN
-    contexts = [flagged.count(), flagged.where("_target").count()]
-
-    def pairs(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for a, words, owner in words_of(texts):
-            at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-            hit = known[at] == words if len(known) else np.zeros(len(words), dtype=bool)
-            ids = np.where(hit, at + 2, UNKNOWN).astype(np.uint32)
-            before = np.full(len(ids), BEGIN, dtype=np.uint32)
-            before[1:] = np.where(owner[1:] == owner[:-1], ids[:-1], BEGIN)
-            yield a, (before << np.uint32(16)) | ids, owner
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            flags = batch["_target"].to_numpy(dtype=bool)
-            for a, found, owner in pairs(batch["_text"].tolist()):
-                if len(found):
-                    yield _dealt(*_counted(found, flags[a + owner]), shards)
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        found, n, t = _summed(frame, np.uint32)
-        keep = n >= MIN_COUNT
-        return pd.DataFrame(
-            {
-                "_shard": [int(frame["_shard"].iloc[0])],
-                "_keys": [found[keep].tobytes()],
-                "_n": [n[keep].astype("<i8").tobytes()],
-                "_t": [t[keep].astype("<i8").tobytes()],
-            }
-        )
-
-    model = durable(flagged.mapInPandas(count, COUNTS).groupBy("_shard").applyInPandas(add, COUNTS))
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch["_keys"]), dtype=np.uint32)
-            n, t = (np.frombuffer(b"".join(batch[c]), dtype="<i8") for c in ("_n", "_t"))
-            hot = n * HOT_SHARE >= total
-            yield pd.DataFrame({"pair": keys[hot].astype(np.int64), "n": n[hot], "t": t[hot]})
-
-    # Pairs with a thousandth of all pairs or more, so at most HOT_SHARE rows.  Every task knows
-    # their counts, so their occurrences need not meet in the shard that counted them.
-    often = model.mapInPandas(frequent, "pair long, n long, t long").orderBy("pair").collect()
-    hot_keys = np.array([r["pair"] for r in often], dtype=np.uint32)
-    hot_n, hot_t = (np.array([r[c] for r in often], dtype=np.int64) for c in ("n", "t"))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            row = batch["_row"].to_numpy(dtype=np.int64)
-            for a, found, owner in pairs(batch["_text"].tolist()):
-                # A frequent pair is asked for where its text's number says, any other by the pair.
-                by = np.where(np.isin(found, hot_keys), row[a + owner].astype(np.uint64), found.astype(np.uint64))
-                shard = (mix64(by) % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((owner, shard))
-                edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-                rows = []
-                for b, c in zip(edges[:-1], edges[1:], strict=True):
-                    mine = order[b:c]
-                    who, many = np.unique(owner[mine], return_counts=True)
-                    rows.append(
-                        (int(shard[mine[0]]), row[a + who].tobytes(), many.astype("<u4").tobytes(), found[mine].tobytes())
-                    )
-                yield pd.DataFrame(rows, columns=["_shard", "_rows", "_many", "_pairs"])
-
+    answers = durable(counted(rows, bytes_of(rows) // SHARD + 1))
+    sums = (
+        answers.where(f"_batch = -1 AND _kind = {WORD}").agg(F.sum("_words"), F.sum("_total"), F.sum("_totals")).first()
+    )
+    size, total, total_t = (sums[0] or 0) + 1, sums[1] or 0, sums[2] or 0  # the words and an unseen one
+    contexts = [rows.count(), rows.where("_target").count()]
     uniform = 1.0 / size
 
     def loss(n_pair: np.ndarray, n_context: np.ndarray, n_next: np.ndarray, n_all: int) -> np.ndarray:
@@ -243,64 +194,59 @@ def score_lm(
         pair = np.where(n_context > 0, n_pair / np.maximum(n_context, 1), uniform)
         return -np.log2((1.0 - UNIGRAM) * pair + UNIGRAM * single)
 
-    def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame([], columns=["_place", "_rows", "_words", "_tl", "_bl"])
-        found = np.frombuffer(b"".join(asked["_pairs"]), dtype=np.uint32)
-        row = np.repeat(
-            np.frombuffer(b"".join(asked["_rows"]), dtype=np.int64), np.frombuffer(b"".join(asked["_many"]), dtype="<u4")
+    def score(batch: pa.Table, answered: pa.Table) -> pa.Table:
+        known = answered.select(["_kind", "_keys", "_n", "_t"]).to_pydict()
+        tables = []
+        for kind in (WORD, PAIR):
+            chosen = [i for i, k in enumerate(known["_kind"]) if k == kind]
+            keys, n, t = (
+                np.frombuffer(b"".join(known[c][i] for i in chosen), dtype=d)
+                for c, d in (("_keys", np.uint64), ("_n", "<i8"), ("_t", "<i8"))
+            )
+            keys, first = np.unique(keys, return_index=True)
+            # An entry beyond the last one, which no key equals, keeps every lookup inside.
+            tables.append((keys, np.append(n[first], 0), np.append(t[first], 0)))
+
+        def look(kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, n, t = tables[kind]
+            at = np.searchsorted(keys, wanted)
+            hit = np.append(keys, np.uint64(0))[at] == wanted
+            hit &= at < len(keys)
+            return hit, np.where(hit, n[at], 0), np.where(hit, t[at], 0)
+
+        flags = np.array(batch.column("_target").to_pylist(), dtype=bool)
+        counts = np.zeros(len(flags), dtype=np.int64)
+        losses = np.zeros((2, len(flags)))
+        for a, words, owner in words_of(batch.column("_text").to_pylist()):
+            if not len(words):
+                continue
+            owner = owner + a
+            counts += np.bincount(owner, minlength=len(flags))
+            begins, pairs = pairs_of(words, owner)
+            hit, n, t = look(WORD, words)
+            n, t = np.where(hit, n, 1), np.where(hit, t, flags[owner])
+            _, n_pair, t_pair = look(PAIR, pairs)
+            for k, (pair, single, texts, everything) in enumerate(
+                ((t_pair, t, contexts[1], total_t), (n_pair, n, contexts[0], total))
+            ):
+                context = np.where(begins, texts, np.roll(single, 1))
+                losses[k] += np.bincount(owner, weights=loss(pair, context, single, everything), minlength=len(flags))
+        target, background = losses / np.maximum(counts, 1)
+        return pa.table(
+            [batch.column("_key"), pa.array(counts), pa.array(target), pa.array(background), pa.array(target - background)],
+            names=[key, "n_tokens", "target_loss", "background_loss", "score"],
         )
-        keys = np.concatenate((np.frombuffer(b"".join(counted["_keys"]), dtype=np.uint32), hot_keys))
-        n = np.concatenate((np.frombuffer(b"".join(counted["_n"]), dtype="<i8"), hot_n))
-        t = np.concatenate((np.frombuffer(b"".join(counted["_t"]), dtype="<i8"), hot_t))
-        keys, first = np.unique(keys, return_index=True)
-        n, t = n[first], t[first]
-        at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
-        hit = keys[at] == found if len(keys) else np.zeros(len(found), dtype=bool)
-        before, after = (found >> np.uint32(16)).astype(np.int64), (found & np.uint32(0xFFFF)).astype(np.int64)
-        losses = []
-        for pair, single, texts, everything in (
-            (t, t_word, contexts[1], total_t),
-            (n, n_word, contexts[0], total),
-        ):
-            context = np.where(before == BEGIN, texts, single[before])
-            seen = np.where(hit, pair[at], 0) if len(pair) else np.zeros(len(found))
-            losses.append(loss(seen, context, single[after], everything))
-        who, at = np.unique(row, return_inverse=True)
-        sums = [np.bincount(at.ravel(), weights=w) for w in (np.ones(len(row)), *losses)]
-        # Packed again, by text: each text's sums meet in the place that its number names.
-        place = (mix64(who.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        edges = np.flatnonzero(np.diff(place[order], prepend=-1, append=-1))
-        packed = [
-            (int(place[order[a]]), who[order[a:b]].tobytes(), *(x[order[a:b]].tobytes() for x in sums))
-            for a, b in zip(edges[:-1], edges[1:], strict=True)
+
+    scored = StructType(
+        [
+            StructField(key, rows.schema["_key"].dataType),
+            StructField("n_tokens", LongType()),
+            *[StructField(c, DoubleType()) for c in ("target_loss", "background_loss", "score")],
         ]
-        return pd.DataFrame(packed, columns=["_place", "_rows", "_words", "_tl", "_bl"])
-
-    def together(frame: pd.DataFrame) -> pd.DataFrame:
-        who, at = np.unique(np.frombuffer(b"".join(frame["_rows"]), dtype=np.int64), return_inverse=True)
-        out = {"_row": who}
-        for c in ("_words", "_tl", "_bl"):
-            values = np.frombuffer(b"".join(frame[c]), dtype=np.float64)
-            out[c] = np.bincount(at.ravel(), weights=values, minlength=len(who))
-        out["_words"] = out["_words"].astype(np.int64)
-        return pd.DataFrame(out)
-
-    asked = rows.select("_row", "_text").mapInPandas(ask, "_shard long, _rows binary, _many binary, _pairs binary")
-    answered = (
-        asked.groupBy("_shard")
-        .cogroup(model.groupBy("_shard"))
-        .applyInPandas(answer, "_place long, _rows binary, _words binary, _tl binary, _bl binary")
-        .groupBy("_place")
-        .applyInPandas(together, "_row long, _words long, _tl double, _bl double")
     )
-    words = F.coalesce("_words", F.lit(0))
-    each = F.greatest(words, F.lit(1))
-    return rows.select("_key", "_row").join(answered, "_row", "left").select(
-        F.col("_key").alias(key),
-        words.alias("n_tokens"),
-        (F.coalesce("_tl", F.lit(0.0)) / each).alias("target_loss"),
-        (F.coalesce("_bl", F.lit(0.0)) / each).alias("background_loss"),
-        ((F.coalesce("_tl", F.lit(0.0)) - F.coalesce("_bl", F.lit(0.0))) / each).alias("score"),
+    return (
+        rows.select("_key", "_text", "_target", "_batch")
+        .groupBy("_batch")
+        .cogroup(answers.where("_batch >= 0").select("_batch", "_kind", "_keys", "_n", "_t").groupBy("_batch"))
+        .applyInArrow(score, scored)
     )

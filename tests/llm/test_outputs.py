@@ -200,6 +200,26 @@ def test_lm_score(documents, spark, monkeypatch, shard):
     assert len(lm_score.score_lm(documents([(None, "a"), (None, "a")]), trusted.limit(0)).collect()) == 2
 
 
+def test_lm_score_keeps_every_word(documents, spark):
+    # More words than 16-bit ids could name, all equally frequent, and one word found once.
+    half = [" ".join(f"w{i}" for i in range(a, a + 1000)) for a in range(0, 70_000, 1000)]
+    rows = list(enumerate([*half, *half, "w7 once"]))
+    trusted = spark.createDataFrame([(0,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score_lm(documents(rows), trusted).collect()}
+    size, total, texts = 70_002, 140_002, 141
+
+    def loss(pair, context, single, everything):
+        return -math.log2(0.6 * (pair / context if context else 1 / size) + 0.4 * (single + 1) / (everything + size))
+
+    # (In the first thousand words, w7 occurs three times.)
+    inner = 999 - 2
+    background = loss(2, texts, 2, total) + inner * loss(2, 2, 2, total) + loss(2, 2, 3, total) + loss(2, 3, 2, total)
+    target = loss(1, 1, 1, 1000) + 999 * loss(1, 1, 1, 1000)
+    assert abs(got[0].background_loss - background / 1000) < 1e-9 and abs(got[0].target_loss - target / 1000) < 1e-9
+    assert abs(got[140].background_loss - (loss(0, texts, 3, total) + loss(0, 3, 1, total)) / 2) < 1e-9
+    assert got[0].score < got[1].score
+
+
 def test_pipeline_stages_keep_columns(spark):
     directory = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{directory}/documents.parquet")
