@@ -42,7 +42,10 @@ TOKEN = re.compile(
     re.S | re.X,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Any attribute: name, and its value in double, single or no quotes.
+ANY_ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 FEATURES = (
@@ -172,6 +175,21 @@ class _Open(NamedTuple):
     hidden: bool
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element is hidden by a hidden attribute, aria-hidden="true" or display:none in its style."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for name, *value in ANY_ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), html.unescape("".join(value)).strip().lower())
+    displays = DISPLAY.findall(values.get("style", ""))
+    return (
+        values.get("hidden", "until-found") != "until-found"
+        or values.get("aria-hidden") == "true"
+        or displays[-1:] == ["none"]
+    )
+
+
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The flat text blocks of a page, in order, and whether it marks an article.
 
@@ -247,7 +265,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             )
             if starts_article and not around and not above.around:
                 has_article = True
-            hidden = above.hidden or bool(HIDDEN.search(token["attributes"]))
+            hidden = above.hidden or is_hidden(token["attributes"])
             stack.append(
                 _Open(name, above.around or around, above.article or starts_article and not around, hidden)
             )

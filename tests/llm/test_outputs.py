@@ -111,6 +111,25 @@ def test_html_text(spark):
     assert html_text.extract_text(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("attributes", "shown"),
+    [
+        ('class="article overflow-hidden"', True), ('style="overflow:hidden"', True), ('aria-hidden="false"', True),
+        ("data-hidden", True), ("title='hidden display:none'", True), ("hidden=until-found", True),
+        ("style='--x-display:none'", True), ("style='display:none;display:block'", True), ("id=hidden", True),
+        ("hidden", False), ("class=a HIDDEN=''", False), ("aria-hidden=true", False), ("id='b'hidden", False),
+        ("style='color: red; Display : none !important'", False), ("hidden=hidden/", False),
+    ],
+)
+def test_only_hidden_elements_are_left_out(attributes, shown):
+    tree, text = html_text.train(), "long text " * 20
+    for page in (
+        f"<article {attributes}><p>{text}</p></article>",
+        f"<body><div {attributes}><article><p>{text}</p></article></div></body>",
+    ):
+        assert html_text.main_text(page, tree) == (text.strip() if shown else "")
+
+
 def edits(a, b):
     """Edits between words, swaps of neighbours included (optimal string alignment)."""
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
