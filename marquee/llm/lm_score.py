@@ -48,29 +48,41 @@ def _counted(values: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.nda
     return found, np.bincount(at, minlength=len(found)), np.bincount(at[target], minlength=len(found))
 
 
-def pairs_of(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words begin a text, and a hash of each word with the one before it in its text."""
+def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text of each word, whether it begins the text, its hash, and a hash of it and the one before."""
+    found = [(owner + a, words) for a, words, owner in words_of(texts)]
+    owner = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
+    words = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.uint64)
     begins = np.diff(owner, prepend=-1) != 0
-    before = np.zeros(len(words), dtype=np.uint64)
-    before[1:] = words[:-1]
-    before[begins] = 0
-    return begins, mix64(before * np.uint64(0x9E3779B97F4A7C15) + words)
-
-
-def _dealt(found: np.ndarray, n: np.ndarray, t: np.ndarray, shards: int) -> pd.DataFrame:
-    shard = (mix64(found.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-    rows = [
-        (int(shard[order[a]]), found[order[a:b]].tobytes(), n[order[a:b]].astype("<u4").tobytes(), t[order[a:b]].astype("<u4").tobytes())
+    before = np.where(begins, np.uint64(0), np.roll(words, 1))
+    return owner, begins, words, mix64(before * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers, least significant bytes first of all, compressed."""
+    planes = np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def _dealt(found: np.ndarray, n: np.ndarray, t: np.ndarray, shards: int) -> list[tuple]:
+    """Shard, sorted keys (as differences) and counts of both corpora; shards are ranges of keys."""
+    shard = ((found >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    return [
+        (int(shard[a]), _pack(np.diff(found[a:b], prepend=np.uint64(0))), _pack(n[a:b]), _pack(t[a:b]))
         for a, b in zip(edges[:-1], edges[1:], strict=True)
     ]
-    return pd.DataFrame(rows, columns=["_shard", "_keys", "_n", "_t"])
 
 
-COUNTS = "_batch long, _kind int, _shard long, _keys binary, _n binary, _t binary"
+COUNTS = "_batch long, _first long, _many int, _kind int, _shard long, _keys binary, _n binary, _t binary"
 #: Counts sent back to a batch; a row of batch -1 has the sums of a shard instead.
-ANSWERS = "_batch long, _kind int, _keys binary, _n binary, _t binary, _words long, _total long, _totals long"
+ANSWERS = "_batch long, _first long, _many int, _kind int, _shard long, _n binary, _t binary, _words long, _total long, _totals long"
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -96,51 +108,50 @@ def numbered(rows: DataFrame) -> DataFrame:
 def counted(rows: DataFrame, shards: int) -> DataFrame:
     """For each batch the counts in both corpora of its words and pairs, and sums of each shard.
 
-    A word that is not answered occurs nowhere else; a pair that is not answered is in no model.
-    Words and pairs are counted in the shard of their hash, and each shard answers the batches
-    that named them, so neither the driver nor a task holds the vocabulary.
+    Words and pairs are counted in the shard of their hash, and each shard answers those that
+    named them, in the order of their different keys, so neither the driver nor a task holds the
+    vocabulary.  An answer is for the _many rows of a batch from _first on.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            ids = frame["_batch"].to_numpy()
-            edges = np.flatnonzero(np.diff(ids, prepend=-1, append=-1))
+            ids, numbers = frame["_batch"].to_numpy(), frame["_row"].to_numpy()
+            new = (np.diff(ids, prepend=-1) != 0) | (np.diff(numbers, prepend=-9) != 1)
+            edges = [*np.flatnonzero(new), len(ids)]
             for b, e in zip(edges[:-1], edges[1:], strict=True):
-                flags = frame["_target"].to_numpy(dtype=bool)[b:e]
-                found: list[list] = [[], [], []]
-                for a, words, owner in words_of(frame["_text"].iloc[b:e].tolist()):
-                    if len(words):
-                        for into, values in zip(found, (words, pairs_of(words, owner)[1], flags[a + owner]), strict=True):
-                            into.append(values)
-                if not found[0]:
-                    continue
-                target = np.concatenate(found[2])
-                for kind in (WORD, PAIR):
-                    dealt = _dealt(*_counted(np.concatenate(found[kind]), target), shards)
-                    yield dealt.assign(_batch=ids[b], _kind=kind)[["_batch", "_kind", "_shard", "_keys", "_n", "_t"]]
+                target = frame["_target"].to_numpy(dtype=bool)[b:e]
+                owner, _, *keys = keys_of(frame["_text"].iloc[b:e].tolist())
+                if len(owner):
+                    rows = [
+                        (ids[b], numbers[b], e - b, kind, *row)
+                        for kind in (WORD, PAIR)
+                        for row in _dealt(*_counted(keys[kind], target[owner]), shards)
+                    ]
+                    yield pd.DataFrame(
+                        rows, columns=["_batch", "_first", "_many", "_kind", "_shard", "_keys", "_n", "_t"]
+                    )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        kind = int(frame["_kind"].iloc[0])
-        keys = np.frombuffer(b"".join(frame["_keys"]), dtype=np.uint64)
-        found, at = np.unique(keys, return_inverse=True)
+        kind, shard = int(frame["_kind"].iloc[0]), int(frame["_shard"].iloc[0])
+        named = [np.cumsum(_unpack(k), dtype=np.uint64) for k in frame["_keys"]]
+        found, at = np.unique(np.concatenate(named), return_inverse=True)
         at = at.ravel()
         n, t = (
-            np.bincount(at, weights=np.frombuffer(b"".join(frame[c]), dtype="<u4"), minlength=len(found)).astype("<i8")
+            np.bincount(at, weights=np.concatenate([_unpack(x) for x in frame[c]]), minlength=len(found)).astype(np.int64)
             for c in ("_n", "_t")
         )
-        keep = n > 1 if kind == WORD else n >= MIN_COUNT
-        rows = [(-1, kind, None, None, None, len(found), int(n.sum()), int(t.sum()))]
+        rows = [(-1, -1, 0, kind, shard, None, None, len(found), int(n.sum()), int(t.sum()))]
+        if kind == PAIR:
+            n, t = np.where(n >= MIN_COUNT, (n, t), 0)
         edge = 0
-        for batch, packed in zip(frame["_batch"], frame["_keys"], strict=True):
-            mine = at[edge : edge + len(packed) // 8]
-            edge += len(mine)
-            mine = mine[keep[mine]]
-            if len(mine):
-                rows.append((batch, kind, found[mine].tobytes(), n[mine].tobytes(), t[mine].tobytes(), 0, 0, 0))
-        return pd.DataFrame(rows, columns=["_batch", "_kind", "_keys", "_n", "_t", "_words", "_total", "_totals"])
+        for batch, first, many, keys in zip(frame["_batch"], frame["_first"], frame["_many"], named, strict=True):
+            mine = at[edge : edge + len(keys)]
+            edge += len(keys)
+            rows.append((batch, first, many, kind, shard, _pack(n[mine]), _pack(t[mine]), 0, 0, 0))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
     return (
-        rows.select("_batch", "_text", "_target")
+        rows.select("_batch", "_row", "_text", "_target")
         .mapInPandas(count, COUNTS)
         .groupBy("_kind", "_shard")
         .applyInPandas(add, ANSWERS)
@@ -195,42 +206,29 @@ def score_lm(
         return -np.log2((1.0 - UNIGRAM) * pair + UNIGRAM * single)
 
     def score(batch: pa.Table, answered: pa.Table) -> pa.Table:
-        known = answered.select(["_kind", "_keys", "_n", "_t"]).to_pydict()
-        tables = []
-        for kind in (WORD, PAIR):
-            chosen = [i for i, k in enumerate(known["_kind"]) if k == kind]
-            keys, n, t = (
-                np.frombuffer(b"".join(known[c][i] for i in chosen), dtype=d)
-                for c, d in (("_keys", np.uint64), ("_n", "<i8"), ("_t", "<i8"))
+        batch = batch.sort_by("_row")
+        numbers, texts = batch.column("_row").to_numpy(), batch.column("_text").to_pylist()
+        answers_to: dict[int, dict] = {}
+        for answer in answered.sort_by("_shard").to_pylist():
+            of = answers_to.setdefault(answer["_first"], {"many": answer["_many"], WORD: [], PAIR: []})
+            of[answer["_kind"]].append((_unpack(answer["_n"]), _unpack(answer["_t"])))
+        counts = np.zeros(len(texts), dtype=np.int64)
+        losses = np.zeros((2, len(texts)))
+        for first, of in answers_to.items():
+            start = int(np.searchsorted(numbers, first))
+            owner, begins, *keys = keys_of(texts[start : start + of["many"]])
+            owner = owner + start
+            counts += np.bincount(owner, minlength=len(texts))
+            (n, t), (n_pair, t_pair) = (
+                [np.concatenate(part)[at.ravel()].astype(np.int64) for part in zip(*of[kind], strict=True)]
+                for kind in (WORD, PAIR)
+                for _, at in [np.unique(keys[kind], return_inverse=True)]
             )
-            keys, first = np.unique(keys, return_index=True)
-            # An entry beyond the last one, which no key equals, keeps every lookup inside.
-            tables.append((keys, np.append(n[first], 0), np.append(t[first], 0)))
-
-        def look(kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, n, t = tables[kind]
-            at = np.searchsorted(keys, wanted)
-            hit = np.append(keys, np.uint64(0))[at] == wanted
-            hit &= at < len(keys)
-            return hit, np.where(hit, n[at], 0), np.where(hit, t[at], 0)
-
-        flags = np.array(batch.column("_target").to_pylist(), dtype=bool)
-        counts = np.zeros(len(flags), dtype=np.int64)
-        losses = np.zeros((2, len(flags)))
-        for a, words, owner in words_of(batch.column("_text").to_pylist()):
-            if not len(words):
-                continue
-            owner = owner + a
-            counts += np.bincount(owner, minlength=len(flags))
-            begins, pairs = pairs_of(words, owner)
-            hit, n, t = look(WORD, words)
-            n, t = np.where(hit, n, 1), np.where(hit, t, flags[owner])
-            _, n_pair, t_pair = look(PAIR, pairs)
-            for k, (pair, single, texts, everything) in enumerate(
+            for k, (pair, single, starts, everything) in enumerate(
                 ((t_pair, t, contexts[1], total_t), (n_pair, n, contexts[0], total))
             ):
-                context = np.where(begins, texts, np.roll(single, 1))
-                losses[k] += np.bincount(owner, weights=loss(pair, context, single, everything), minlength=len(flags))
+                context = np.where(begins, starts, np.roll(single, 1))
+                losses[k] += np.bincount(owner, weights=loss(pair, context, single, everything), minlength=len(texts))
         target, background = losses / np.maximum(counts, 1)
         return pa.table(
             [batch.column("_key"), pa.array(counts), pa.array(target), pa.array(background), pa.array(target - background)],
@@ -245,8 +243,8 @@ def score_lm(
         ]
     )
     return (
-        rows.select("_key", "_text", "_target", "_batch")
+        rows.select("_key", "_text", "_row", "_batch")
         .groupBy("_batch")
-        .cogroup(answers.where("_batch >= 0").select("_batch", "_kind", "_keys", "_n", "_t").groupBy("_batch"))
+        .cogroup(answers.where("_batch >= 0").drop("_words", "_total", "_totals").groupBy("_batch"))
         .applyInArrow(score, scored)
     )
