@@ -26,6 +26,7 @@ SEED_TERMS = (
 #: Ordinary words within one edit of a seed term.
 ORDINARY = frozenset(
     "brash clone closer clowns crash crown crowns flown losers lower loner loosen looser loses lose "
+    "apathetic bathetic boron crash cum dastard laser lover moser oser rash scrum slum stash sum swum "
     "maroon moor morons stupor thrash scam scums scud spumes closed poser posers verein vereine".split()
 ) - {"losers", "morons", "clowns"}
 #: Words that announce a quotation or speak about words; words that address somebody.
@@ -54,18 +55,19 @@ TRAINING_ROWS = 20_000
 
 LETTERS = 26
 OTHER = LETTERS + 1  # a character that is no letter a-z but stands inside a word
-DROP = LETTERS + 2
-SYMBOLS = LETTERS + 2
+EITHER = LETTERS + 2  # 1 and !, written for i or l
+DROP = LETTERS + 3
+SYMBOLS = LETTERS + 3
 TABLE = 0x2500
 #: Digits and signs written for letters, and Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKE = dict(
-    zip("013457@$аеорсхуіΑοεικ", "oleastasaeopcxyiaoeik", strict=True)
+    zip("03457@$аеорсхуіΑοεικ", "oeastasaeopcxyiaoeik", strict=True)
 )
 
 
 def edits_allowed(term: str) -> int:
-    """No edit in terms of up to four letters, one up to eight, else two."""
-    return 0 if len(term) <= 4 else 1 if len(term) <= 8 else 2
+    """No edit in terms of up to three letters, one up to eight, else two."""
+    return 0 if len(term) <= 3 else 1 if len(term) <= 8 else 2
 
 
 class Automaton(NamedTuple):
@@ -82,7 +84,7 @@ def build(terms: Iterable[str]) -> Automaton:
     """The product of a trie of the terms with the Levenshtein automata of its paths.
 
     A state of the product holds pairs of trie node and edits so far (insertions, deletions,
-    substitutions, and swaps of neighbours; the first letter is only ever swapped); sets of them become the states of one table.
+    substitutions, and swaps of neighbours); sets of them become the states of one table.
     Branches whose terms allow no further edit end there, so no term is visited by itself.
     """
     terms = sorted(set(terms))
@@ -111,27 +113,24 @@ def build(terms: Iterable[str]) -> Automaton:
             if edits > allowed[node] or best.get((node, swap), 9) <= edits:
                 continue
             best[node, swap] = edits
-            if not swap and node:
+            if not swap:
                 work += [(child, edits + 1, 0) for child in children[node].values()]
         return frozenset((node, edits, swap) for (node, swap), edits in best.items())
 
     def step(states: frozenset, symbol: int) -> frozenset:
         out = set()
+        letters = (ord("i") - 96, ord("l") - 96) if symbol == EITHER else (symbol,)
         for node, edits, swap in states:
             if swap:
-                if swap == symbol:
+                if swap in letters:
                     out.add((node, edits, 0))
                 continue
-            if symbol in children[node]:
-                out.add((children[node][symbol], edits, 0))
+            out.update((children[node][x], edits, 0) for x in letters if x in children[node])
             if edits < allowed[node]:
-                if node:
-                    out.add((node, edits + 1, 0))
+                out.add((node, edits + 1, 0))
                 for letter, child in children[node].items():
-                    if node:
-                        out.add((child, edits + 1, 0))
-                    if symbol in children[child]:
-                        out.add((children[child][symbol], edits + 1, letter))
+                    out.add((child, edits + 1, 0))
+                    out.update((children[child][x], edits + 1, letter) for x in letters if x in children[child])
         return close(out)
 
     start = close({(0, 0, 0)})
@@ -183,6 +182,7 @@ def _symbols() -> np.ndarray:
         base = unicodedata.normalize("NFKD", char)[0].lower()
         table[code] = ord(base) - 96 if "a" <= base <= "z" else OTHER
     table[ord("*")] = OTHER
+    table[ord("1")] = EITHER
     table[TABLE] = 0
     return table
 
@@ -198,11 +198,22 @@ def find(texts: list[str], automaton: Automaton, symbols: np.ndarray) -> Iterato
         alone = (symbols[np.minimum(right, TABLE)] > 0) & (right != codes) & (left != codes) & ~np.roll(signs, -1)
         seen = np.where(signs & ~alone, 0, seen)
         place = np.flatnonzero(seen != DROP)
-        seen = seen[place]
+        seen, marks = seen[place], codes[place] == ord("!")
         begins, ends = runs(seen > 0)
+        # Words are read with ! between them, and again with ! as a letter where one follows.
+        marked = np.zeros(len(begins), dtype=bool)
+        marks &= (np.roll(seen, -1) > 0) & ~np.roll(marks, -1) & ~np.roll(marks, 1)
+        if marks.any():
+            seen = np.where(marks, EITHER, seen)
+            before = np.concatenate(([0], np.cumsum(marks)))
+            more, ends_more = runs(seen > 0)
+            other = before[ends_more] > before[more]
+            begins = np.concatenate((begins, more[other]))
+            ends = np.concatenate((ends, ends_more[other]))
+            marked = np.concatenate((marked, np.ones(np.count_nonzero(other), dtype=bool)))
         lengths = ends - begins
         keep = lengths <= automaton.longest
-        begins, lengths = begins[keep], lengths[keep]
+        begins, lengths, marked = begins[keep], lengths[keep], marked[keep]
         state = np.ones(len(begins), dtype=np.int32)
         live = np.arange(len(begins))
         hits = []
@@ -212,7 +223,13 @@ def find(texts: list[str], automaton: Automaton, symbols: np.ndarray) -> Iterato
             live = live[state[live] > 0]
             done = live[lengths[live] == depth + 1]
             hits.append(done[automaton.term[state[done]] >= 0])
-        for hit in np.sort(np.concatenate(hits)) if hits else ():
+        found = np.sort(np.concatenate(hits)) if hits else np.zeros(0, dtype=np.int64)
+        # Of the two readings of a place the one with fewer edits counts, or that without !.
+        for hit in found[marked[found]]:
+            within = found[(begins[found] >= begins[hit]) & (begins[found] < begins[hit] + lengths[hit]) & ~marked[found]]
+            near = automaton.distance[state[within]].min(initial=9) <= automaton.distance[state[hit]]
+            found = np.setdiff1d(found, [hit] if near else within)
+        for hit in found:
             first, last = place[begins[hit]], place[begins[hit] + lengths[hit] - 1] + 1
             text = int(np.searchsorted(bounds, first, side="right")) - 1
             offset = bounds[text]

@@ -160,6 +160,30 @@ def test_automaton_agrees_with_edit_distance():
             assert form[:2] != min(near)[1][:2]
 
 
+def test_automaton_allows_edits_at_every_letter():
+    terms, rng = [*toxicity.SEED_TERMS], random.Random(5)
+    automaton, symbols = toxicity.build(terms), toxicity._symbols()
+
+    def hits(text):
+        return [(automaton.terms[h[2]], h[3]) for h in toxicity.find([text], automaton, symbols)]
+
+    for form, hit in {
+        "xstupid": ("stupid", 1), "tupid": ("stupid", 1), "*diot": ("idiot", 1), "!diot": ("idiot", 0),
+        "1diot": ("idiot", 0), "c1own": ("clown", 0), "scvm": ("scum", 1), "st!pid": ("stupid", 1),
+    }.items():
+        assert hits(form) == [hit], form
+    assert hits("idiot!you stupid! moron!!") == [("idiot", 0), ("stupid", 0), ("moron", 0)]
+    for _ in range(1500):
+        form = list(rng.choice(terms))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(2) if rng.random() < 0.5 else rng.randrange(len(form))
+            form[at : at + rng.randrange(2)] = rng.choice([[], [rng.choice("abcdeilmoprstuw")]])
+        form = "".join(form)
+        near = min(((edits(form, t), t) for t in terms if edits(form, t) <= toxicity.edits_allowed(t)), default=None)
+        expected = [(near[1], near[0])] if near and form not in toxicity.ORDINARY else []
+        assert hits(form) == expected, form
+
+
 def test_toxicity(documents, spark):
     clean = ["the cat sat", "he used the word \"idiot\" here", "", None, "crown jewels " * 5_000]
     toxic = ["you idiot", "what a m0ron", "st*pid and wothless", "so disgsting of you", "an idoit " + "x " * 9_000]
