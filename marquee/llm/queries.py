@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.dedup import exact_dedup
@@ -12,7 +13,10 @@ from marquee.llm.html_text import extract_text
 from marquee.llm.jaccard import jaccard_components
 from marquee.llm.lm_score import score_lm
 from marquee.llm.mixing import mix
+from marquee.llm.pack import pack
+from marquee.llm.periodic import periodic_runs
 from marquee.llm.quality import score_quality
+from marquee.llm.repair import repair
 from marquee.llm.shared import read
 from marquee.llm.tokens import read_tokens, write_tokens
 from marquee.llm.toxicity import score_toxicity
@@ -98,3 +102,70 @@ def op9(spark: SparkSession, directory: str) -> DataFrame:
 )
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dedup(read(spark, directory, "documents"))
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """Documents in which every tenth id by checksum repeats a stretch of its words up to the end.
+
+    With h = crc32(doc_id) and g = h div 10, the words from a = g % n on become those of a period of
+    1 + (n - a) div (3 + g % 8) words.  Texts without words and rows without an id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    parts = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, words).alias("_words"))
+    parts = parts.withColumns({"_n": F.size("_words").cast("long"), "_g": F.expr("_h div 10")})
+    planted = (F.col("_h") % 10 == 0) & (F.col("_n") > 0)
+    parts = parts.withColumn("_a", F.when(planted, F.col("_g") % F.col("_n")))
+    parts = parts.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    repeated = F.expr(
+        "array_join(concat(slice(_words, 1, int(_a)), slice(flatten(array_repeat(slice(_words, int(_a) + 1, int(_p)), "
+        "int((_n - _a + _p - 1) div _p))), 1, int(_n - _a))), ' ')"
+    )
+    return parts.select("doc_id", F.when(planted, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    found = periodic_runs(with_planted_repeats(read(spark, directory, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = found.withColumn("_best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.s")).alias("start"),
+        F.col("_best.n").alias("length"),
+        (-F.col("_best.p")).alias("period"),
+        F.expr("1000 * _best.n div -_best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with faults chosen by crc32(``conv_id:turn``) % 20; ``_kept`` is false for dropped ones.
+
+    0 drops, 1 empties the text, 2 removes its sentence ends, 3 repeats the row, 4 makes it a user's.
+    Nulls count as one blank.
+    """
+    blank = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    case, text = F.crc32(name) % 20, F.coalesce("text", blank)
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(case == 4, F.lit("user")).otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(case == 1, F.lit("")).when(case == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (case != 0).alias("_kept"),
+        F.explode(F.array_repeat(F.lit(0), F.when(case == 3, 2).otherwise(1))).alias("_copy"),
+    ).drop("_copy")
+
+
+@query("op12_repair_conversations")
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    return repair(damaged(read(spark, directory, "conversations")), present=F.col("_kept"))
+
+
+@query("op13_pack_sequences")
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    return pack(read(spark, directory, "documents"), tokenizer_path())
