@@ -2,7 +2,9 @@
 
 Nothing is overwritten in place; write the result to a new path.  Where a batch names a key
 more than once, its rows take effect in the order of the sequence column ``seq``; without one
-the row that is greatest by its values counts.  Either way a key gives one row.
+the row that is greatest by its values counts.  Either way a key gives one row.  Where a batch may
+name parents that do not exist or keys that are taken, ``marquee.operators.intake`` says which rows
+are admitted and names the rule that refuses the others.
 """
 
 from __future__ import annotations
@@ -13,19 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import empty_to_null, literal_stamp
+from marquee.operators.intake import Reference, Unique, admit, admitted
 from marquee.operators.joins import missing_in
 from marquee.operators.ranking import assign_ids, highest_id
-from marquee.schema import children_of
+from marquee.operators.skew import join_unique
+from marquee.schema import TABLES, children_of
 from marquee.session import durable
 
 
-def last_per_key(batch: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """One row per key, the one latest in ``seq``; reduced before the shuffle."""
-    rest = [c for c in batch.columns if c not in keys]
-    latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_row"))
-    return latest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*batch.columns)
-
-
 def one_per_key(
     batch: DataFrame, key: str, seq: str | None, last: Sequence[str], first: Sequence[str] = ()
 ) -> DataFrame:
@@ -42,6 +39,15 @@ def one_per_key(
     )
 
 
+def greatest_per_key(new: DataFrame, unique: Unique) -> DataFrame:
+    """One row per key, the greatest by its values; rows whose key is null are kept each."""
+    names = [f"_k{i}" for i in range(len(unique.keys))]
+    keys = [k.alias(n) for k, n in zip(unique.folded(), names, strict=True)]
+    named = new.where(unique.competes()).select(*keys, F.struct(*new.columns).alias("_row"))
+    one = named.groupBy(*names).agg(F.max("_row").alias("_row")).select("_row.*")
+    return one.unionByName(new.where(~unique.competes()))
+
+
 def insert_missing(
     current: DataFrame,
     new: DataFrame,
@@ -49,17 +55,44 @@ def insert_missing(
     ci: Sequence[str] = (),
     null_safe: Sequence[str] = (),
     order: Sequence[str] | None = None,
+    seq: str | None = None,
+    references: Sequence[Reference] = (),
 ) -> DataFrame:
-    """Current rows plus those new ones whose key is not there.
+    """Current rows plus those new ones whose key is not there, one of each key.
 
-    With ``order`` the added rows get ids above the highest present one.
+    With ``seq`` that is the first one whose ``references`` are all there; what is not taken, and
+    by which rule, is what :func:`check_insert` says.  With ``order`` the added rows get ids above
+    the highest present one.
     """
-    added = missing_in(new, current, keys, ci, null_safe)
+    unique = Unique(tuple(keys), current, tuple(ci), tuple(null_safe))
+    if seq:
+        added = admitted(admit(new, seq, references, unique))
+        added = added if seq in current.columns else added.drop(seq)
+    else:
+        added = missing_in(greatest_per_key(new, unique), current, keys, ci, null_safe)
     if order:
-        added = assign_ids(added.withColumn("id", F.lit(None)), highest_id(current), order)
+        ready = added.withColumn("id", F.lit(None).cast("bigint"))
+        added = assign_ids(ready, highest_id(current), order, costly=True)
     return current.unionByName(added, allowMissingColumns=True)
 
 
+def check_insert(
+    current: DataFrame,
+    batch: DataFrame,
+    table: str,
+    seq: str,
+    parents: dict[str, DataFrame],
+) -> DataFrame:
+    """The batch with ``refused``, by the declared unique key and references of a table.
+
+    References to tables that are not among ``parents`` are not checked.
+    """
+    spec = TABLES[table]
+    references = [Reference(fk, parents[p], p) for fk, (p, _) in spec.references.items() if p in parents]
+    unique = Unique(spec.unique[0], current) if spec.unique else None
+    return admit(batch, seq, references, unique)
+
+
 def stamped(current: DataFrame, hit: Column, now: str, values: dict[str, Column]) -> list[Column]:
     """Select list replacing columns where ``hit`` holds; ``updated_at``, if any, becomes now."""
     if "updated_at" in current.columns:
@@ -147,19 +180,31 @@ def upsert(
     now: str,
     seq: str | None = None,
 ) -> DataFrame:
-    """Update the rows whose key is there, insert the others with new ids.
+    """Update the rows whose key is there, insert the others with new ids, in the order of the key.
 
     ``update_columns`` are overwritten on a match; the other columns of ``new`` are used for
-    inserted rows only.
+    inserted rows only.  One full outer join brings both sides together; it is written once, so
+    the current table is read once for matches, new rows and the highest id.
     """
     others = [c for c in new.columns if c not in (key, seq, *update_columns)]
-    new = one_per_key(new, key, seq, update_columns, others)
-    updated = update_full(current, new, update_columns, now, key)
-    fresh = missing_in(new, current, [key]).withColumn("id", F.lit(None).cast("bigint"))
+    fields = [*update_columns, *others]
+    incoming = one_per_key(new, key, seq, update_columns, others).select(
+        F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_named")
+    )
+    here = current.withColumn("_here", F.lit(True))
+    merged = durable(here.join(incoming, F.col(key) == F.col("_key"), "full_outer"))
+    stored = merged.where(F.col("_here").isNotNull())
+    values = {c: F.col(f"_new_{c}") for c in update_columns}
+    updated = stored.select(*stamped(current, F.col("_named").isNotNull(), now, values))
+
+    added = {key: F.col("_key"), **{c: F.col(f"_new_{c}") for c in fields}}
     for stamp in ("created_at", "updated_at"):
-        if stamp in current.columns and stamp not in new.columns:
-            fresh = fresh.withColumn(stamp, literal_stamp(now))
-    inserted = assign_ids(fresh, highest_id(current), [key])
+        if stamp in current.columns and stamp not in added:
+            added[stamp] = literal_stamp(now)
+    fresh = merged.where(F.col("_here").isNull()).select(
+        F.lit(None).cast("bigint").alias("id"), *[value.alias(c) for c, value in added.items() if c != "id"]
+    )
+    inserted = assign_ids(fresh, highest_id(stored), [key])
     return updated.unionByName(inserted, allowMissingColumns=True)
 
 
@@ -203,40 +248,50 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
 
 
 def ingest_payments(
-    current: DataFrame, batch: DataFrame, seq: str, now: str
+    current: DataFrame, batch: DataFrame, seq: str, now: str, bookings: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Add payments whose transaction_ref is new; (rows added, outcome per batch row).
 
-    A ref seen before, in the table or earlier in the batch, adds nothing and answers with
-    the id of the first payment.  Rows without a ref ('' counts as none) are always added.
+    A ref seen before, in the table or on a row taken earlier in the batch, adds nothing and
+    answers with the id of that payment (``existed``).  Rows without a ref ('' counts as none) are
+    added each.  With ``bookings`` a row whose booking is not there is refused, unless its ref is
+    known by then; ``refused`` names the rule.  Current and new refs meet in one aggregate, and the
+    decided batch is written once.
     """
     ready = with_paid_at(batch.withColumn("transaction_ref", empty_to_null("transaction_ref")), now)
     ready = ready.withColumn("created_at", literal_stamp(now))
+    reference = [Reference("booking_id", bookings, "bookings")] if bookings is not None else []
+    checked = admit(ready, seq, reference)
+
     has_ref = F.col("transaction_ref").isNotNull()
-    loose, keyed = ready.where(~has_ref), ready.where(has_ref)
-    known = current.where(has_ref).select(F.col("transaction_ref").alias("_ref"), "id")
-
-    # First row of each ref, reduced on the map side; a hot ref never meets in one task.
-    first = keyed.groupBy("transaction_ref").agg(F.min_by(F.struct(*ready.columns), seq).alias("_r"))
-    first = first.select("_r.*")
-    fresh = first.join(known, F.col("transaction_ref") == F.col("_ref"), "left_anti")
-    added = assign_ids(
-        fresh.unionByName(loose).withColumn("id", F.lit(None).cast("bigint")),
-        highest_id(current),
-        [seq],
+    kind = batch.schema[seq].dataType
+    offered = checked.where(has_ref & F.col("refused").isNull()).select(
+        F.col("transaction_ref").alias("_ref"), F.col(seq).alias("_first"), F.lit(None).cast("bigint").alias("_known")
+    )
+    held = current.where(has_ref).select(
+        F.col("transaction_ref").alias("_ref"), F.lit(None).cast(kind).alias("_first"), F.col("id").alias("_known")
     )
-    no_seq = F.lit(None).cast(ready.schema[seq].dataType)
-    answers = known.withColumn("_seq", no_seq).unionByName(
-        added.where(has_ref).select(
-            F.col("transaction_ref").alias("_ref"), "id", F.col(seq).alias("_seq")
-        )
+    refs = held.unionByName(offered).groupBy("_ref").agg(F.min("_first").alias("_first"), F.min("_known").alias("_known"))
+    joined = join_unique(checked, refs, "transaction_ref", "_ref")
+    known, earlier = F.col("_known").isNotNull(), F.coalesce(F.col("_first") < F.col(seq), F.lit(False))
+    state = (
+        F.when(known | earlier, F.lit("existed"))
+        .when(F.col("refused").isNotNull(), F.lit("refused"))
+        .otherwise(F.lit("added"))
     )
-    repeated = ~F.col(seq).eqNullSafe(F.col("_seq"))
-    outcome = (
-        keyed.select(seq, "transaction_ref")
-        .join(answers, F.col("transaction_ref") == F.col("_ref"))
-        .select(seq, "id", repeated.alias("existed"))
-        .unionByName(added.where(~has_ref).select(seq, "id", F.lit(False).alias("existed")))
+    decided = durable(joined.withColumn("_state", state))
+
+    fresh = decided.where(F.col("_state") == "added").select(F.lit(None).cast("bigint").alias("id"), *ready.columns)
+    added = assign_ids(fresh, highest_id(current), [seq])
+    firsts = added.select(F.col(seq).alias("_seq"), F.col("id").alias("_id"))
+    # The row whose payment answers: itself, or the first of its ref; known ones need no lookup.
+    answer = F.when(~known & (F.col("_state") != "refused"), F.when(has_ref, F.col("_first")).otherwise(F.col(seq)))
+    looked = decided.select(seq, "_known", "_state", "refused", answer.alias("_answer"))
+    outcome = looked.join(firsts, F.col("_answer") == F.col("_seq"), "left").select(
+        seq,
+        F.coalesce("_known", "_id").alias("id"),
+        (F.col("_state") == "existed").alias("existed"),
+        F.when(F.col("_state") == "refused", F.col("refused")).alias("refused"),
     )
     rows = added.select(*[c for c in current.columns if c in added.columns])
     return rows, outcome

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -67,47 +68,75 @@ def reject_existing(new: DataFrame, users: DataFrame, seq: str) -> DataFrame:
     )
 
 
+#: References of one parent that are counted side by side.
+_SLOTS = max(Counter(parent for t in TABLES.values() for parent, _ in t.references.values()).values())
+
+
+def row_rules(name: str, columns: Sequence[str]) -> dict[str, Column]:
+    """Conditions under which a row of a table breaks a declared rule on single rows, by its name."""
+    spec = TABLES[name]
+    rules = {f"{c} is required": F.col(c).isNull() for c in spec.required if c in columns}
+    for c, allowed in spec.enums.items():
+        if c in columns:
+            rules[f"{c} in list"] = ~F.col(c).isin(list(allowed))
+    for check in spec.checks:
+        if all(w not in spec.columns or w in columns for w in check.split()):
+            rules[check] = ~F.expr(check)
+    return rules
+
+
 def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Number of violations of every declared rule of the tables given: one row per rule.
 
-    Rules on single rows share one pass per table.
+    Every table is read once.  A row gives an entry for each rule on single rows that it breaks, one
+    for its unique key (128 bits of hash), one for each reference, and one for its own id where
+    others refer to it.  All entries of all tables meet by key in one aggregate, reduced before the
+    shuffle: a key with more than one row breaks a unique rule, references without a row of the
+    parent are orphans.  For a unique rule the keys are counted that occur more than once.
     """
-    reports = []
+    named: list[tuple[str, int, str, str]] = []  # space, place in it, table, rule
+    held: dict[str, int] = {}
+    none = F.lit(0).cast("bigint")
+    entries = []
+    parents = {parent for name in tables for parent, _ in TABLES[name].references.values()}
 
-    def report(table: str, rule: str, count: DataFrame) -> None:
-        reports.append(
-            count.select(
-                F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.col("n").alias("violations")
-            )
-        )
+    def entry(when: Column, space: str, one: Column, two: Column, slot: int, present: bool = False) -> Column:
+        fields = (F.lit(space), one.cast("bigint"), two.cast("bigint"), F.lit(slot), F.lit(present))
+        names = ("space", "one", "two", "slot", "present")
+        return F.when(when, F.struct(*[f.alias(n) for f, n in zip(fields, names, strict=True)]))
 
-    counted = F.count("*").alias("n")
     for name, df in tables.items():
-        spec = TABLES[name]
-        row_rules = {f"{c} is required": F.col(c).isNull() for c in spec.required if c in df.columns}
-        for c, allowed in spec.enums.items():
-            if c in df.columns:
-                row_rules[f"{c} in list"] = ~F.col(c).isin(list(allowed))
-        for check in spec.checks:
-            if all(w not in spec.columns or w in df.columns for w in check.split()):
-                row_rules[check] = ~F.expr(check)
-        if row_rules:
-            sums = df.agg(
-                *[F.count(F.when(cond, 1)).alias(f"_{i}") for i, cond in enumerate(row_rules.values())]
-            )
-            entries = [
-                F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations"))
-                for i, rule in enumerate(row_rules)
-            ]
-            reports.append(
-                sums.select(F.inline(F.array(*entries))).select(
-                    F.lit(name).alias("table"), "rule", "violations"
-                )
-            )
-        for keys in spec.unique:
+        spec, made = TABLES[name], []
+        for i, (rule, broken) in enumerate(row_rules(name, df.columns).items()):
+            named.append((f"row {name}", i, name, rule))
+            made.append(entry(broken, f"row {name}", F.lit(i), none, 0))
+        for i, keys in enumerate(spec.unique):
             if all(k in df.columns for k in keys):
-                report(name, f"unique {', '.join(keys)}", duplicates(df, keys).agg(counted))
+                space = f"unique {name} {i}"
+                named.append((space, 0, name, f"unique {', '.join(keys)}"))
+                whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+                made.append(entry(whole, space, F.xxhash64(*keys), F.xxhash64(F.lit(name), *reversed(keys)), 0))
         for fk, (parent, _) in spec.references.items():
-            if fk in df.columns and parent in tables:
-                report(name, f"{fk} in {parent}", orphans(df, tables[parent], fk).agg(counted))
-    return reduce(DataFrame.unionByName, reports)
+            if fk in df.columns and parent in tables and "id" in tables[parent].columns:
+                slot = held[parent] = held.get(parent, -1) + 1
+                named.append((f"id {parent}", slot, name, f"{fk} in {parent}"))
+                made.append(entry(F.col(fk).isNotNull(), f"id {parent}", F.col(fk), none, slot))
+        if name in parents and "id" in df.columns:
+            made.append(entry(F.col("id").isNotNull(), f"id {name}", F.col("id"), none, 0, present=True))
+        entries.append(df.select(F.inline(F.filter(F.array(*made), lambda e: e.isNotNull()))))
+
+    counts = [F.count(F.when(~F.col("present") & (F.col("slot") == s), 1)).alias(f"_{s}") for s in range(_SLOTS)]
+    met = reduce(DataFrame.unionByName, entries).groupBy("space", "one", "two").agg(F.bool_or("present").alias("known"), *counts)
+    is_row, is_unique = F.col("space").startswith("row "), F.col("space").startswith("unique ")
+    found = F.when(is_row, F.array(F.struct(F.col("one").cast("int").alias("at"), F.col("_0").alias("n"))))
+    found = found.when(is_unique, F.array(F.struct(F.lit(0).alias("at"), (F.col("_0") > 1).cast("bigint").alias("n"))))
+    orphaned = F.array(*[F.struct(F.lit(s).alias("at"), F.col(f"_{s}").alias("n")) for s in range(_SLOTS)])
+    found = found.when(~F.col("known"), orphaned)
+    summed = met.select("space", F.inline(found)).groupBy("space", "at").agg(F.sum("n").alias("n"))
+
+    # One row per declared rule: a fixed list, as long as the schema.
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("_space", "_at", "table", "rule"), strict=True)]) for r in named])
+    spark = entries[0].sparkSession
+    rules = spark.range(1).select(F.inline(listed))
+    same = (F.col("space") == F.col("_space")) & (F.col("at") == F.col("_at"))
+    return rules.join(summed, same, "left").select("table", "rule", F.coalesce("n", none).alias("violations"))

@@ -11,6 +11,7 @@ from marquee.operators.identity import resolve_user_strict
 from marquee.operators.payloads import normalize, split
 from marquee.operators.quality import reject_existing
 from marquee.operators.ranking import assign_ids, highest_id
+from marquee.session import durable
 from marquee.sources import conform
 
 # Payload name of each column that is handed out; the password hash never is.
@@ -96,35 +97,88 @@ def patch_profiles(
     )
 
 
+MAIL_TAKEN = "unique email"
+
+
+def settle_moves(moves: DataFrame, mails: DataFrame) -> DataFrame:
+    """Which accounts may change their address: the moves (``_old, _new, _seq``) with ``_stays``.
+
+    An address is free when no account has it or the account that has it moves away.  Of several
+    moves to one address the first counts.  A refused move keeps its address, which may refuse
+    another; so the rule is applied again to those that remain, until all of them hold.  Each round
+    refuses at least one move, reads the moves alone and looks addresses up in one aggregate.
+    """
+    moves = durable(moves)
+    # Addresses that somebody moves to and some account holds.
+    held = mails.select(F.col("email").alias("_held")).join(
+        moves.select(F.col("_new").alias("_held")).distinct(), "_held", "left_semi"
+    )
+    held, refused = durable(held), None
+    while True:
+        open_moves = moves if refused is None else moves.join(refused, "_old", "left_anti")
+        left = open_moves.select(F.col("_old").alias("_mail"), F.lit(True).alias("_leaves"))
+        there = held.select(F.col("_held").alias("_mail"), F.lit(True).alias("_holds"))
+        wanted = open_moves.select(F.col("_new").alias("_mail"), F.col("_seq").alias("_first"))
+        met = (
+            wanted.unionByName(left, allowMissingColumns=True)
+            .unionByName(there, allowMissingColumns=True)
+            .groupBy("_mail")
+            .agg(F.min("_first").alias("_first"), F.max("_leaves").alias("_leaves"), F.max("_holds").alias("_holds"))
+        )
+        free = met.where(F.col("_holds").isNull() | F.col("_leaves").isNotNull())
+        winners = free.select(F.col("_mail").alias("_new"), F.col("_first").alias("_seq"))
+        lost = durable(open_moves.join(winners, ["_new", "_seq"], "left_anti").select("_old"))
+        if lost.isEmpty():
+            break
+        refused = lost if refused is None else durable(refused.unionByName(lost))
+    stays = F.lit(False) if refused is None else F.col("_refused").isNotNull()
+    if refused is not None:
+        moves = moves.join(refused.withColumn("_refused", F.lit(True)), "_old", "left")
+    return moves.select("_old", "_new", "_seq", stays.alias("_stays"))
+
+
 def sync_users(
     users: DataFrame,
     members_old: DataFrame,
     members_new: DataFrame,
     password_hash: str,
     now: str,
-) -> DataFrame:
-    """Carry changed team members over to the accounts.
+    seq: str = "id",
+) -> tuple[DataFrame, DataFrame]:
+    """Carry changed team members over to the accounts: (all accounts, refused changes).
 
     The account with the member's old email is updated, new email included; where there is
     none, the account is inserted or updated by the new email.  ``members_new`` has
-    ``id, first_name, last_name, email, phone, role``; rows of unknown members are ignored.
-    All changes apply to the same starting state.
+    ``id, first_name, last_name, email, phone, role``; rows of unknown members are ignored, and of
+    several rows of one member the last by ``seq`` counts.  All changes apply to the same starting
+    state, so addresses may be exchanged.  An account never takes an address that another one keeps
+    or takes first by ``seq``: such a change is refused whole (``id, email, rule``).
+
+    One full outer join of accounts and changes is written and serves everything after it.
     """
     fields = ["first_name", "last_name", "email", "phone", "role"]
     old = members_old.select("id", F.col("email").alias("_old"))
     accounts = members_new.withColumn("role", user_role(F.col("role")))
-    changed = accounts.join(old, "id").select("_old", *fields)
-    exact = changed.join(users.select(F.col("email").alias("_u")), F.col("_old") == F.col("_u"), "left")
-
-    hits = one_per_key(exact.where(F.col("_u").isNotNull()), "_old", None, fields)
-    both = users.join(
-        hits.select("_old", *[F.col(c).alias(f"_new_{c}") for c in fields]),
-        F.col("email") == F.col("_old"),
-        "left",
+    last = one_per_key(accounts, "id", seq if seq != "id" else None, [*fields, *([seq] if seq != "id" else [])])
+    changed = last.join(old, "id").select(
+        "_old", F.col("id").alias("_member"), F.col(seq).alias("_seq"), *[F.col(c).alias(f"_new_{c}") for c in fields]
     )
+    here = users.withColumn("_here", F.lit(True))
+    merged = durable(here.join(changed, F.col("email") == F.col("_old"), "full_outer"))
+    stored = merged.where(F.col("_here").isNotNull())
+
+    hit = F.col("_here").isNotNull() & F.col("_old").isNotNull()
+    moving = merged.where(hit & (F.col("_new_email") != F.col("_old")))
+    settled = settle_moves(moving.select("_old", F.col("_new_email").alias("_new"), "_seq"), stored.select("email"))
+    denied = settled.where("_stays").select(F.col("_old").alias("_denied"))
+    both = stored.join(denied, F.col("_old") == F.col("_denied"), "left")
+    allowed = F.col("_old").isNotNull() & F.col("_denied").isNull()
     new = {c: F.col(f"_new_{c}") for c in fields}
-    updated = both.select(*stamped(users, F.col("_old").isNotNull(), now, new))
+    updated = both.select(*stamped(users, allowed, now, new))
+    refused = moving.join(denied, F.col("_old") == F.col("_denied")).select(
+        F.col("_member").alias("id"), F.col("_new_email").alias("email"), F.lit(MAIL_TAKEN).alias("rule")
+    )
 
-    rest = exact.where(F.col("_u").isNull()).select(*fields)
+    rest = merged.where(F.col("_here").isNull()).select("_seq", *[F.col(f"_new_{c}").alias(c) for c in fields])
     rest = rest.withColumn("password_hash", F.lit(password_hash))
-    return upsert(updated, rest, "email", ACCOUNT_UPDATES, now)
+    return upsert(updated, rest, "email", ACCOUNT_UPDATES, now, seq="_seq"), refused

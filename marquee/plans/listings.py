@@ -28,8 +28,10 @@ Tables = dict[str, DataFrame]
 MEMBER_NAME = {"first_name": "first_name", "last_name": "last_name", "email": "email"}
 
 
-def newest_first() -> list[Column]:
-    return [F.col("id").desc()]
+NEWEST_FIRST = ["-id"]
+#: Due date, then due time, tasks without one last, newest first among equals.
+TASK_ORDER = ["due_date", "due_sec", "-id"]
+RECORD_ORDER = ["-work_date", "-clock_in_at", "-id"]
 
 
 def showtime_listing(
@@ -73,15 +75,6 @@ def with_member(df: DataFrame, members: DataFrame) -> DataFrame:
     return with_parent(df, members, "team_member_id", MEMBER_NAME)
 
 
-def order_tasks() -> list[Column]:
-    """Due date, then due time, tasks without one last, newest first among equals."""
-    return [F.asc_nulls_last("due_date"), F.asc_nulls_last("due_sec"), F.col("id").desc()]
-
-
-def order_records() -> list[Column]:
-    return [F.col("work_date").desc(), F.col("clock_in_at").desc(), F.col("id").desc()]
-
-
 def _member_clause(
     members: DataFrame, team_member_id, email: str | None, unresolved: str
 ) -> Column | None:
@@ -107,21 +100,22 @@ def _member_clause(
 def list_items(t: Tables, page=None, limit=None) -> Page:
     items = t["items"]
     bounds = (ITEMS_DEFAULT_LIMIT, ITEMS_MAX_LIMIT)
-    return page_of(items, items, newest_first(), page, limit, *bounds)
+    return page_of(items, NEWEST_FIRST, page, limit, *bounds)
 
 
 def list_theaters(t: Tables, page=None, limit=None) -> Page:
-    return page_of(t["theaters"], t["theaters"], newest_first(), page, limit)
+    return page_of(t["theaters"], NEWEST_FIRST, page, limit)
 
 
 def list_movies(t: Tables, page=None, limit=None, status: str | None = None) -> Page:
     kept = optional_filter(t["movies"], enum_equal("status", status, trim=False))
-    return page_of(kept, kept, newest_first(), page, limit)
+    return page_of(kept, NEWEST_FIRST, page, limit)
 
 
 def list_screens(t: Tables, page=None, limit=None, theater_id=None) -> Page:
     kept = optional_filter(t["screens"], equal("theater_id", leading_int(theater_id)))
-    return page_of(with_theater(kept, t["theaters"]), kept, newest_first(), page, limit)
+    named = lambda rows: with_theater(rows, t["theaters"])
+    return page_of(kept, NEWEST_FIRST, page, limit, named=named)
 
 
 def list_showtimes(t: Tables, page=None, limit=None, movie_id=None, screen_id=None) -> Page:
@@ -130,14 +124,14 @@ def list_showtimes(t: Tables, page=None, limit=None, movie_id=None, screen_id=No
         equal("movie_id", leading_int(movie_id)),
         equal("screen_id", leading_int(screen_id)),
     )
-    listing = showtime_listing(kept, t["movies"], t["screens"], t["theaters"])
-    return page_of(listing, kept, [F.col("start_time"), F.col("id")], page, limit)
+    named = lambda rows: showtime_listing(rows, t["movies"], t["screens"], t["theaters"])
+    return page_of(kept, ["start_time", "id"], page, limit, named=named)
 
 
 def list_bookings(t: Tables, page=None, limit=None, user_id=None) -> Page:
     kept = optional_filter(t["bookings"], equal("user_id", leading_int(user_id)))
-    listing = booking_listing(kept, t["users"], t["showtimes"], t["movies"])
-    return page_of(listing, kept, newest_first(), page, limit)
+    named = lambda rows: booking_listing(rows, t["users"], t["showtimes"], t["movies"])
+    return page_of(kept, NEWEST_FIRST, page, limit, named=named)
 
 
 def list_members(t: Tables, page=None, limit=None, role=None, status=None, q=None) -> Page:
@@ -147,8 +141,8 @@ def list_members(t: Tables, page=None, limit=None, role=None, status=None, q=Non
         enum_equal("status", status),
         member_search(q),
     )
-    listing = with_optional_theater(kept, t["theaters"])
-    return page_of(listing, kept, newest_first(), page, limit)
+    named = lambda rows: with_optional_theater(rows, t["theaters"])
+    return page_of(kept, NEWEST_FIRST, page, limit, named=named)
 
 
 def list_tasks(
@@ -166,7 +160,8 @@ def list_tasks(
         _member_clause(t["team_members"], team_member_id, email, unresolved),
         enum_equal("status", status),
     )
-    return page_of(with_member(kept, t["team_members"]), kept, order_tasks(), page, limit)
+    named = lambda rows: with_member(rows, t["team_members"])
+    return page_of(kept, TASK_ORDER, page, limit, named=named)
 
 
 def list_records(
@@ -188,7 +183,8 @@ def list_records(
         until("work_date", (end or "").strip()),
         enum_equal("status", status),
     )
-    return page_of(with_member(kept, t["team_members"]), kept, order_records(), page, limit)
+    named = lambda rows: with_member(rows, t["team_members"])
+    return page_of(kept, RECORD_ORDER, page, limit, named=named)
 
 
 def _positive(value) -> int | None:

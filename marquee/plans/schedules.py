@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,8 @@ from marquee.functions import at_time, iso_weekday, literal_date, literal_stamp
 from marquee.operators.filters import morning_shift
 from marquee.operators.joins import first_by, missing_in, top_values, with_each
 from marquee.operators.ranking import stagger
-from marquee.sources import days_between
 
-_HOUR = 3600
-SLOT_KEY = ("movie_id", "screen_id", "start_time")
+_HOUR, _DAY = 3600, 86400
 
 
 def resolve_slots(
@@ -33,14 +32,30 @@ def resolve_slots(
     return resolved.select("movie_id", "screen_id", *rest)
 
 
-def on_each_day(df: DataFrame, first: str, last: str, name: str = "day") -> DataFrame:
-    """Every row once per day of a span.
+def span_days(first: str, last: str) -> int:
+    """Number of days from first to last, both included."""
+    return (date.fromisoformat(last) - date.fromisoformat(first)).days + 1
+
+
+def day_words(days: int, among: str = "TRUE") -> Column:
+    """Aggregate: the days ``_i`` (from 0) of the rows that fulfil ``among``, a bit each in 64-bit words."""
+    words = range(-(-days // 64))
+    bits = [f"bit_or(IF(_i div 64 = {w} AND {among}, shiftleft(1L, _i % 64), 0L))" for w in words]
+    return F.array(*[F.expr(b) for b in bits])
+
+
+def has_day(words: Column, i: Column) -> Column:
+    """Whether day ``i`` is set; false where there are no words."""
+    word = F.get(words, F.floor(i / 64).cast("int"))
+    bit = F.call_function("shiftright", word, i % 64).bitwiseAND(F.lit(1).cast("bigint"))
+    return F.coalesce(bit == 1, F.lit(False))
 
-    The rows are spread first, so they multiply in many tasks.
-    """
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    days = days_between(literal_date(first), literal_date(last))
-    return df.withColumn(name, F.explode(days))
+
+def on_days(df: DataFrame, first: str, days: int, wanted: Callable[[Column], Column], name: str) -> DataFrame:
+    """Every row once per day of a span for which ``wanted`` (of the day's number) holds."""
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(days - 1)), wanted)
+    numbered = df.withColumn("_i", F.explode(numbers))
+    return numbered.withColumn(name, F.date_add(literal_date(first), F.col("_i"))).drop("_i")
 
 
 def generate_showtimes(
@@ -55,18 +70,45 @@ def generate_showtimes(
 ) -> DataFrame:
     """Templates on every day of a span as showtimes; those already there are left out.
 
-    ``templates`` has names, ``start_sec``, ``duration_min`` and any columns to keep.
+    ``templates`` has names, ``start_sec`` (a time of day), ``duration_min`` and any columns to keep.
     ``shift_hours`` is added to both ends.
+
+    The days on which a slot is taken are a bit each, one small row per movie, screen and time of
+    day; only days that are free become rows.
     """
-    daily = on_each_day(resolve_slots(templates, movies, screens, theaters), first, last)
+    days = span_days(first, last)
+    if days < 1:
+        days, templates = 1, templates.limit(0)
+    shifted = shift_hours * _HOUR // _DAY  # whole days; a late start may add one more
     start = F.col("start_sec") + F.lit(shift_hours * _HOUR)
-    slots = daily.withColumns(
-        {
-            "start_time": at_time(F.col("day"), start),
-            "end_time": at_time(F.col("day"), start + F.col("duration_min") * 60),
-        }
-    ).drop("day", "start_sec", "duration_min")
-    return missing_in(slots, showtimes, SLOT_KEY)
+    slots = resolve_slots(templates, movies, screens, theaters).withColumns(
+        {"_clock": F.pmod(start, F.lit(_DAY)).cast("int"), "_late": (F.floor(start / _DAY) - shifted).cast("int")}
+    )
+    at = F.col("start_time")
+    clock = F.hour(at) * _HOUR + F.minute(at) * 60 + F.second(at)
+    taken = (
+        showtimes.where(F.date_trunc("second", at) == at)
+        .select(
+            F.col("movie_id").alias("_movie"),
+            F.col("screen_id").alias("_screen"),
+            clock.alias("_time"),
+            (F.datediff(at.cast("date"), literal_date(first)) - shifted).alias("_i"),
+        )
+        .where(F.col("_i").between(0, days))
+        .groupBy("_movie", "_screen", "_time")
+        .agg(day_words(days + 1).alias("_taken"))
+    )
+    same = (
+        (F.col("movie_id") == F.col("_movie")) & (F.col("screen_id") == F.col("_screen")) & (F.col("_clock") == F.col("_time"))
+    )
+    free = lambda i: ~has_day(F.col("_taken"), i + F.col("_late"))
+    daily = on_days(slots.join(taken, same, "left"), first, days, free, "_day")
+    rest = [c for c in slots.columns if c not in ("start_sec", "duration_min", "_clock", "_late")]
+    return daily.select(
+        *rest,
+        at_time(F.col("_day"), start).alias("start_time"),
+        at_time(F.col("_day"), start + F.col("duration_min") * 60).alias("end_time"),
+    )
 
 
 def active_staff(members: DataFrame) -> DataFrame:
@@ -87,15 +129,32 @@ def shift_start(morning: Column) -> Column:
 
 
 def generate_shifts(members: DataFrame, first: str, last: str, schedules: DataFrame) -> DataFrame:
-    """A morning or evening shift for each active staff member, Monday to Saturday."""
-    days = on_each_day(
-        active_staff(members).select(F.col("id").alias("team_member_id"), "department"),
-        first,
-        last,
-        "shift_date",
-    ).where(iso_weekday(F.col("shift_date")).between(1, 6))
+    """A morning or evening shift for each active staff member, Monday to Saturday.
+
+    The days a member has a shift from each start are a bit each; only free days become rows.
+    """
+    days = span_days(first, last)
+    if days < 1:
+        days, members = 1, members.limit(0)
+    staff = active_staff(members).select(F.col("id").alias("team_member_id"), "department")
+    begins = {"_am": 9 * _HOUR, "_pm": 14 * _HOUR}
+    taken = (
+        schedules.withColumn("_i", F.datediff("shift_date", literal_date(first)))
+        .where(F.col("_i").between(0, days - 1) & F.col("start_sec").isin(list(begins.values())))
+        .groupBy(F.col("team_member_id").alias("_member"))
+        .agg(*[day_words(days, f"start_sec = {sec}").alias(name) for name, sec in begins.items()])
+    )
+
+    def free(i: Column) -> Column:
+        day = F.date_add(literal_date(first), i)
+        morning = morning_shift(F.col("team_member_id"), day)
+        busy = F.when(morning, has_day(F.col("_am"), i)).otherwise(has_day(F.col("_pm"), i))
+        return iso_weekday(day).between(1, 6) & ~busy
+
+    known = staff.join(taken, F.col("team_member_id") == F.col("_member"), "left")
+    shifts = on_days(known, first, days, free, "shift_date")
     morning = morning_shift(F.col("team_member_id"), F.col("shift_date"))
-    shifts = days.select(
+    return shifts.select(
         "team_member_id",
         "shift_date",
         shift_start(morning).alias("start_sec"),
@@ -104,7 +163,6 @@ def generate_shifts(members: DataFrame, first: str, last: str, schedules: DataFr
         F.when(morning, F.lit("Morning shift")).otherwise(F.lit("Evening shift")).alias("notes"),
         F.lit("SCHEDULED").alias("status"),
     )
-    return missing_in(shifts, schedules, ["team_member_id", "shift_date", "start_sec"])
 
 
 def fallback_slots(

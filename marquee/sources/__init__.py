@@ -1,10 +1,21 @@
 from marquee.sources.tables import (
     append,
+    append_once,
     conform,
     date_series,
     days_between,
+    read_appended,
     read_table,
     values_df,
 )
 
-__all__ = ["append", "conform", "date_series", "days_between", "read_table", "values_df"]
+__all__ = [
+    "append",
+    "append_once",
+    "conform",
+    "date_series",
+    "days_between",
+    "read_appended",
+    "read_table",
+    "values_df",
+]

@@ -8,7 +8,7 @@ from marquee.operators.paging import page_to_json
 from marquee.plans.bookings import backfill_payments
 from marquee.plans.listings import list_items
 from marquee.session import new_folder
-from marquee.sources import append, conform, days_between, values_df
+from marquee.sources import append_once, conform, days_between, read_appended, values_df
 from suite.registry import query
 
 NOW = "2001-08-01 12:00:00"
@@ -85,10 +85,10 @@ def page_json(d):
     "(SELECT 1 FROM payments p WHERE p.booking_id = b.id)",
 )
 def append_sink(d):
+    """Backfilled payments are added by a job that runs twice; the second run adds nothing."""
     columns = ("booking_id", "method", F.col("amount").cast("double").alias("amount"), "status")
     path = new_folder(d.spark, "payments-added")
     added = backfill_payments(d.bookings, d.payments, NOW).select(*columns)
-    append(added, path)
-    return d.payments.select(*columns).unionByName(
-        d.spark.read.schema(added.schema).parquet(path)
-    )
+    for _ in range(2):
+        append_once(added, path, "backfill-2001-08-01")
+    return d.payments.select(*columns).unionByName(read_appended(d.spark, path, added.schema))

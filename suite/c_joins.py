@@ -10,6 +10,7 @@ from marquee.operators.joins import (
     child_facts,
     first_by,
     missing_in,
+    nest_children,
     semi_topk,
     with_each,
 )
@@ -22,6 +23,7 @@ from marquee.plans.listings import (
     with_theater,
 )
 from marquee.plans.schedules import active_staff, bookable, resolve_slots, shift_start
+from suite.domain import some_movie
 from suite.registry import query
 
 
@@ -178,13 +180,15 @@ def join_anti(d):
 
 
 CLICKS = (
-    "SELECT DISTINCT user_id, event_id % 200 AS movie_id FROM events WHERE event_type = 'click'"
+    "SELECT DISTINCT user_id, event_id % (SELECT COUNT(*) FROM part) AS movie_id FROM events "
+    "WHERE event_type = 'click' OR (event_type = 'view' AND event_id % 3 = 0)"
 )
 
 
 def clicked(d):
-    clicks = d.events.where(F.col("event_type") == "click")
-    return clicks.select("user_id", (F.col("event_id") % 200).alias("movie_id")).distinct()
+    kind = F.col("event_type")
+    clicks = d.events.where((kind == "click") | ((kind == "view") & (F.col("event_id") % 3 == 0)))
+    return clicks.select("user_id", some_movie(d).alias("movie_id")).distinct()
 
 
 @query(
@@ -274,12 +278,28 @@ def join_then_aggregate(d):
 
 @query(
     "nest_children",
+    "SELECT b.id, b.status, COALESCE(string_agg(s.seat_label || ' ' || CAST(s.price AS VARCHAR), ';' "
+    "ORDER BY s.seat_label, s.price), '') AS seats FROM bookings b "
+    "LEFT JOIN booking_seats s ON s.booking_id = b.id GROUP BY b.id, b.status",
+)
+def nest_children_query(d):
+    """Every booking with its seats as an ordered array, written out for the comparison."""
+    bookings = d.bookings.select("id", "status")
+    nested = nest_children(
+        bookings, d.booking_seats, "booking_id", ["seat_label", "price"], ["seat_label", "price"], "seats"
+    )
+    seat = lambda s: F.concat_ws(" ", s["seat_label"], s["price"].cast("string"))
+    return nested.withColumn("seats", F.array_join(F.transform("seats", seat), ";"))
+
+
+@query(
+    "child_facts",
     "SELECT b.id, b.status, CAST(COUNT(s.seat_label) AS INT) AS seats, MIN(s.seat_label) "
     "AS first_label, MAX(s.seat_label) AS last_label, "
     "COALESCE(CAST(SUM(s.price) AS DOUBLE), 0) AS seat_total FROM bookings b "
     "LEFT JOIN booking_seats s ON s.booking_id = b.id GROUP BY b.id, b.status",
 )
-def nest_children_query(d):
+def child_facts_query(d):
     facts = [
         F.count("seat_label").cast("int").alias("seats"),
         F.min("seat_label").alias("first_label"),

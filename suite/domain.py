@@ -241,11 +241,17 @@ def payments(d):
 
 
 @relation(
-    "SELECT DISTINCT user_id, event_id % 200 AS movie_id FROM events WHERE event_type = 'view'"
+    "SELECT DISTINCT user_id, event_id % (SELECT COUNT(*) FROM part) AS movie_id FROM events "
+    "WHERE event_type = 'view'"
 )
 def watchlist(d):
     viewed = d.events.where(F.col("event_type") == "view")
-    return viewed.select("user_id", (F.col("event_id") % 200).alias("movie_id")).distinct()
+    return viewed.select("user_id", some_movie(d).alias("movie_id")).distinct()
+
+
+def some_movie(d):
+    """A movie for each event; movie ids count from 0."""
+    return F.col("event_id") % d.part.agg(F.count("*")).scalar()
 
 
 @relation(
@@ -433,8 +439,8 @@ def raw_members(d):
 
 
 @relation(
-    "SELECT o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) || "
-    "CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE '' END AS user_raw, "
+    "SELECT o_orderkey AS doc_id, CAST(o_custkey + CASE WHEN o_orderkey % 43 = 0 THEN 1000000000 "
+    "ELSE 0 END AS VARCHAR) || CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE '' END AS user_raw, "
     "CASE WHEN o_orderkey % 23 = 0 THEN 'none' ELSE CAST(o_orderkey AS VARCHAR) END "
     "AS showtime_raw, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN NULL "
     "ELSE ' Pending ' END AS status_raw, CASE WHEN o_orderkey % 19 = 0 THEN '-5' "
@@ -442,17 +448,22 @@ def raw_members(d):
     "CASE o_orderpriority WHEN '1-URGENT' THEN 'card' WHEN '2-HIGH' THEN ' Wallet ' "
     "WHEN '3-MEDIUM' THEN 'crypto' WHEN '4-NOT SPECIFIED' THEN '' ELSE NULL END AS method_raw, "
     "CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE NULL END AS payment_status_raw, "
-    "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CONCAT(' REF-', CAST(o_orderkey AS VARCHAR)) END "
-    "AS ref_raw FROM orders"
+    "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 4 = 1 "
+    "THEN CONCAT(' REF-', CAST(o_orderkey AS VARCHAR)) "
+    "ELSE CONCAT(' NEW-', CAST(o_orderkey // 8 AS VARCHAR)) END AS ref_raw FROM orders"
 )
 def raw_bookings(d):
-    """Booking documents with their seats; 0 to 3 seats each."""
+    """Booking documents with 0 to 3 seats each.
+
+    Some name users that do not exist, a seat twice, or a reference that is stored or comes again.
+    """
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     none = F.lit(None).cast("string")
     amount = text(F.col("o_totalprice").cast(MONEY))
 
     def seat(i: int):
-        label = F.concat(F.lit(f" {i}-"), text(F.col("o_custkey")))
+        number = F.when(key % 41 == 0, F.lit(" 1-")) if i == 2 else F.lit(None)
+        label = F.concat(F.coalesce(number, F.lit(f" {i}-")), text(F.col("o_custkey")))
         price = F.lit(f"{i}0.50 each")
         if i == 1:
             label = F.when(key % 29 == 0, F.lit(" ")).otherwise(label)
@@ -463,7 +474,8 @@ def raw_bookings(d):
     return d.orders.select(
         key.alias("doc_id"),
         F.concat(
-            text(F.col("o_custkey")), F.when(key % 9 == 0, F.lit("x")).otherwise(F.lit(""))
+            text(F.col("o_custkey") + F.when(key % 43 == 0, 1000000000).otherwise(0)),
+            F.when(key % 9 == 0, F.lit("x")).otherwise(F.lit("")),
         ).alias("userId"),
         F.when(key % 23 == 0, F.lit("none")).otherwise(text(key)).alias("showtimeId"),
         pick(status, {"F": "confirmed", "O": none}, " Pending ").alias("status"),
@@ -474,7 +486,8 @@ def raw_bookings(d):
         ).alias("paymentMethod"),
         F.when(status == "P", F.lit("pending")).alias("paymentStatus"),
         F.when(key % 3 == 0, F.lit(""))
-        .otherwise(F.concat(F.lit(" REF-"), text(key)))
+        .when(key % 4 == 1, F.concat(F.lit(" REF-"), text(key)))
+        .otherwise(F.concat(F.lit(" NEW-"), text(F.expr("o_orderkey div 8"))))
         .alias("transactionRef"),
         F.slice(F.array(seat(1), seat(2), seat(3)), F.lit(1), (key % 4).cast("int")).alias("seats"),
     )
@@ -482,7 +495,8 @@ def raw_bookings(d):
 
 @relation(
     "SELECT o_orderkey AS doc_id, i AS seat_no, CASE WHEN i = 1 AND o_orderkey % 29 = 0 THEN ' ' "
-    "ELSE CONCAT(' ', CAST(i AS VARCHAR), '-', CAST(o_custkey AS VARCHAR)) END AS label_raw, "
+    "ELSE CONCAT(' ', CAST(CASE WHEN i = 2 AND o_orderkey % 41 = 0 THEN 1 ELSE i END AS VARCHAR), "
+    "'-', CAST(o_custkey AS VARCHAR)) END AS label_raw, "
     "CASE WHEN i = 2 AND o_orderkey % 31 = 0 THEN 'free' "
     "ELSE CONCAT(CAST(i AS VARCHAR), '0.50 each') END AS price_raw "
     "FROM orders, (VALUES (1), (2), (3)) AS n(i) WHERE i <= o_orderkey % 4"

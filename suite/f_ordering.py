@@ -9,7 +9,7 @@ from marquee.operators import paging
 from marquee.operators.identity import one_per_email
 from marquee.operators.joins import missing_in
 from marquee.operators.ranking import number_rows, stagger
-from marquee.plans.listings import list_tasks, order_records, order_tasks, showtime_listing
+from marquee.plans.listings import RECORD_ORDER, TASK_ORDER, list_tasks, showtime_listing
 from marquee.plans.schedules import bookable
 from suite.registry import query
 
@@ -45,7 +45,7 @@ def sort_single(d):
 )
 def sort_multi(d):
     records = d.staff_time_records.select("id", "work_date", "clock_in_at")
-    return number_rows(records, order_records(), "position")
+    return number_rows(records, RECORD_ORDER, "position")
 
 
 @query(
@@ -55,7 +55,7 @@ def sort_multi(d):
 )
 def sort_nulls_last(d):
     tasks = d.staff_tasks.select("id", "due_date", "due_sec")
-    return number_rows(tasks, order_tasks(), "position")
+    return number_rows(tasks, TASK_ORDER, "position")
 
 
 @query(
@@ -66,10 +66,10 @@ def sort_nulls_last(d):
     "ORDER BY s.start_time, s.order_no, s.line_no, s.movie_id, s.screen_id LIMIT 200 OFFSET 400",
 )
 def paginate(d):
-    listing = showtime_listing(d.showtimes, d.movies, d.screens, d.theaters)
     order = ["start_time", "order_no", "line_no", "movie_id", "screen_id"]
-    page = paging.paginate(listing, [F.col(c) for c in order], page="3rd", limit="900")
-    return page.select(
+    named = lambda rows: showtime_listing(rows, d.movies, d.screens, d.theaters)
+    page = paging.page_of(d.showtimes, order, page="3rd", limit="900", named=named)
+    return page.rows.select(
         "order_no", "line_no", "start_time", "movie_title", "screen_name", "theater_name"
     )
 

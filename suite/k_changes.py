@@ -5,26 +5,66 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators import changes
+from marquee.operators.intake import Reference
 from marquee.operators.ranking import assign_ids as new_ids
 from marquee.operators.ranking import highest_id
 from marquee.plans import accounts, schedules
 from marquee.plans.bookings import backfill_payments as backfill
 from marquee.plans.bookings import take_bookings
 from marquee.plans.listings import showtime_listing
-from suite.c_joins import CLICKS, clicked
-from suite.domain import mail
+from suite.domain import mail, some_movie
 from suite.registry import query
 
 NOW = "2001-08-01 12:00:00"
 
 
+_WISHES = (
+    "SELECT event_id AS seq, user_id, CASE WHEN event_id % 9 = 0 THEN event_id + 1000000000 "
+    "ELSE event_id % (SELECT COUNT(*) FROM part) END AS movie_id FROM events WHERE event_type = 'click' "
+    "UNION ALL SELECT event_id + 1000000000, user_id, event_id % (SELECT COUNT(*) FROM part) "
+    "FROM events WHERE event_type = 'click' AND event_id % 4 = 0 "
+    "UNION ALL SELECT event_id + 2000000000, user_id, event_id % (SELECT COUNT(*) FROM part) "
+    "FROM events WHERE event_type = 'view' AND event_id % 3 = 0"
+)
+
+
+def wishes(d):
+    """A batch for the watchlist: unknown movies, pairs that come again, pairs that are stored."""
+    kind, event = F.col("event_type"), F.col("event_id")
+    movie = some_movie(d)
+
+    def rows(which, shift, value):
+        return d.events.where(which).select((event + shift).alias("seq"), "user_id", value.alias("movie_id"))
+
+    return (
+        rows(kind == "click", 0, F.when(event % 9 == 0, event + 1000000000).otherwise(movie))
+        .unionByName(rows((kind == "click") & (event % 4 == 0), 1000000000, movie))
+        .unionByName(rows((kind == "view") & (event % 3 == 0), 2000000000, movie))
+    )
+
+
 @query(
     "insert_missing",
-    "SELECT user_id, movie_id FROM watchlist UNION SELECT user_id, movie_id FROM clicks",
-    let={"clicks": CLICKS},
+    "SELECT CAST(NULL AS BIGINT) AS seq, user_id, movie_id, 'row' AS outcome FROM watchlist UNION ALL "
+    "SELECT CASE WHEN outcome <> 'row' THEN seq END, user_id, movie_id, outcome FROM (SELECT seq, "
+    "user_id, movie_id, CASE WHEN NOT EXISTS (SELECT 1 FROM movies m WHERE m.id = w.movie_id) "
+    "THEN 'movie_id in movies' WHEN EXISTS (SELECT 1 FROM watchlist l WHERE l.user_id = w.user_id "
+    "AND l.movie_id = w.movie_id) OR seq <> MIN(seq) OVER (PARTITION BY user_id, movie_id) "
+    "THEN 'unique user_id, movie_id' ELSE 'row' END AS outcome FROM wishes w) AS judged",
+    let={"wishes": _WISHES},
 )
 def insert_missing(d):
-    return changes.insert_missing(d.watchlist, clicked(d), ["user_id", "movie_id"])
+    """The watchlist with what a batch adds to it, and the rows it refuses with the rule."""
+    parents = d.tables("users", "movies")
+    references = [Reference("user_id", parents["users"], "users"), Reference("movie_id", parents["movies"], "movies")]
+    keys = ["user_id", "movie_id"]
+    after = changes.insert_missing(d.watchlist, wishes(d), keys, seq="seq", references=references)
+    judged = changes.check_insert(d.watchlist, wishes(d), "watchlist", "seq", parents)
+    refused = judged.where(F.col("refused").isNotNull())
+    no_seq = F.lit(None).cast("bigint").alias("seq")
+    return after.select(no_seq, *keys, F.lit("row").alias("outcome")).unionByName(
+        refused.select("seq", *keys, F.col("refused").alias("outcome"))
+    )
 
 
 _INCOMING = (
@@ -164,13 +204,16 @@ def delete_keys(d):
 
 _DOCS = (
     "SELECT doc_id, CAST(regexp_extract(user_raw, '^\\d+', 0) AS BIGINT) AS user_id, "
-    "CAST(total_raw AS DECIMAL(10,2)) AS total, COALESCE(UPPER(TRIM(status_raw)), 'CONFIRMED') "
-    "AS status, NULLIF(UPPER(TRIM(method_raw)), '') AS method FROM raw_bookings b "
-    "WHERE CAST(regexp_extract(user_raw, '^\\d+', 0) AS BIGINT) >= 1 "
+    "TRY_CAST(showtime_raw AS BIGINT) AS showtime_id, CAST(total_raw AS DECIMAL(10,2)) AS total, "
+    "COALESCE(UPPER(TRIM(status_raw)), 'CONFIRMED') AS status, NULLIF(UPPER(TRIM(method_raw)), '') "
+    "AS method, NULLIF(TRIM(ref_raw), '') AS ref, "
+    "CAST(regexp_extract(user_raw, '^\\d+', 0) AS BIGINT) >= 1 "
     "AND COALESCE(TRY_CAST(showtime_raw AS BIGINT), 0) >= 1 "
     "AND CAST(total_raw AS DECIMAL(10,2)) >= 0 AND COALESCE(method_raw, '') <> 'crypto' "
     "AND NOT EXISTS (SELECT 1 FROM raw_seats s WHERE s.doc_id = b.doc_id "
-    "AND (TRIM(s.label_raw) = '' OR s.price_raw = 'free'))"
+    "AND (TRIM(s.label_raw) = '' OR s.price_raw = 'free')) AS valid, "
+    "(SELECT COUNT(*) - COUNT(DISTINCT TRIM(s.label_raw)) FROM raw_seats s WHERE s.doc_id = b.doc_id) "
+    "AS again FROM raw_bookings b"
 )
 
 
@@ -180,56 +223,85 @@ _DOCS = (
     "AS amount FROM numbered UNION ALL SELECT 'seat', 200 + ROW_NUMBER() OVER (ORDER BY n.id, "
     "s.seat_no), n.id, TRIM(s.label_raw), CAST(s.seat_no AS DOUBLE) * 10 + 0.5 FROM numbered n "
     "JOIN raw_seats s ON s.doc_id = n.doc_id UNION ALL SELECT 'payment', "
-    "300 + ROW_NUMBER() OVER (ORDER BY id), id, method, CAST(total AS DOUBLE) FROM numbered "
-    "WHERE method IS NOT NULL",
+    "300 + ROW_NUMBER() OVER (ORDER BY id), id, COALESCE(method || ' ' || ref, method), "
+    "CAST(total AS DOUBLE) FROM numbered WHERE method IS NOT NULL UNION ALL "
+    "SELECT 'refused', doc_id, NULL, rule, NULL FROM judged WHERE rule IS NOT NULL",
     let={
         "docs": _DOCS,
-        "numbered": "SELECT 100 + ROW_NUMBER() OVER (ORDER BY doc_id) AS id, docs.* FROM docs",
+        "checked": "SELECT docs.*, CASE WHEN NOT valid THEN 'input' WHEN again > 0 "
+        "THEN 'unique booking_id, seat_label' WHEN user_id NOT IN (SELECT id FROM users) "
+        "THEN 'user_id in users' WHEN showtime_id NOT IN (SELECT order_no FROM showtimes) "
+        "THEN 'showtime_id in showtimes' END AS broken FROM docs",
+        "judged": "SELECT c.*, CASE WHEN broken IS NOT NULL THEN broken WHEN method IS NOT NULL "
+        "AND ref IS NOT NULL AND (ref IN (SELECT transaction_ref FROM payments "
+        "WHERE transaction_ref IS NOT NULL) OR doc_id <> MIN(CASE WHEN broken IS NULL "
+        "AND method IS NOT NULL THEN doc_id END) OVER (PARTITION BY ref)) "
+        "THEN 'unique transaction_ref' END AS rule FROM checked c",
+        "numbered": "SELECT 100 + ROW_NUMBER() OVER (ORDER BY doc_id) AS id, judged.* FROM judged "
+        "WHERE rule IS NULL",
     },
 )
 def booking_fanout(d):
-    out, _ = take_bookings(d.raw_bookings, "doc_id", NOW, (100, 200, 300))
-
-    def flat(kind, df, parent, label, amount):
+    """Documents as bookings, seats and payments, and the refused ones with the rule they break."""
+    stored = {
+        "users": d.users,
+        "showtimes": d.showtimes.select(F.col("order_no").alias("id")).distinct(),
+        "payments": d.payments,
+    }
+    out, refused = take_bookings(d.raw_bookings, "doc_id", NOW, (100, 200, 300), stored)
+
+    def flat(kind, df, key, parent, label, amount):
         return df.select(
             F.lit(kind).alias("kind"),
-            "id",
-            F.col(parent).alias("parent"),
-            F.col(label).alias("label"),
-            F.col(amount).cast("double").alias("amount"),
+            F.col(key).alias("id"),
+            parent.cast("bigint").alias("parent"),
+            label.alias("label"),
+            amount.cast("double").alias("amount"),
         )
 
+    rules = ["unique booking_id, seat_label", "user_id in users", "showtime_id in showtimes", "unique transaction_ref"]
+    rule = F.when(F.col("error").isin(rules), F.col("error")).otherwise("input")
+    none = F.lit(None)
+    col = F.col
+    paid = F.concat_ws(" ", "method", "transaction_ref")
     return (
-        flat("booking", out.bookings, "user_id", "status", "total_amount")
-        .unionByName(flat("seat", out.booking_seats, "booking_id", "seat_label", "price"))
-        .unionByName(flat("payment", out.payments, "booking_id", "method", "amount"))
+        flat("booking", out.bookings, "id", col("user_id"), col("status"), col("total_amount"))
+        .unionByName(flat("seat", out.booking_seats, "id", col("booking_id"), col("seat_label"), col("price")))
+        .unionByName(flat("payment", out.payments, "id", col("booking_id"), paid, col("amount")))
+        .unionByName(flat("refused", refused, "doc_id", none, rule, none))
     )
 
 
 @query(
     "insert_idempotent_ref",
-    "SELECT o.seq, COALESCE(k.id, f.id) AS id, k.id IS NOT NULL OR f.seq <> o.seq AS existed "
-    "FROM batch o LEFT JOIN known k ON k.ref = o.ref LEFT JOIN fresh f "
-    "ON f.seq = o.first_seq",
+    "SELECT o.seq, COALESCE(o.known, f.id) AS id, o.state = 'existed' AS existed, "
+    "CASE WHEN o.state = 'refused' THEN 'booking_id in bookings' END AS refused FROM decided o "
+    "LEFT JOIN fresh f ON f.seq = CASE WHEN o.state = 'added' THEN o.seq "
+    "WHEN o.state = 'existed' AND o.known IS NULL THEN o.first_seq END",
     let={
         "known": "SELECT MIN(booking_id) AS id, transaction_ref AS ref FROM payments "
         "WHERE transaction_ref IS NOT NULL GROUP BY transaction_ref",
-        "batch": "SELECT seq, ref, CASE WHEN ref IS NULL THEN seq ELSE MIN(seq) OVER "
-        "(PARTITION BY ref) END AS first_seq FROM (SELECT o_orderkey AS seq, CASE o_orderpriority "
+        "batch": "SELECT seq, ref, ok, CASE WHEN ref IS NOT NULL THEN MIN(CASE WHEN ok THEN seq END) "
+        "OVER (PARTITION BY ref) END AS first_seq FROM (SELECT o_orderkey AS seq, "
+        "o_orderkey % 7 <> 0 AS ok, CASE o_orderpriority "
         "WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN NULL "
         "ELSE CONCAT('REF-', CAST(o_custkey * 13 AS VARCHAR)) END AS ref FROM orders) AS o",
+        "decided": "SELECT b.seq, b.first_seq, k.id AS known, CASE WHEN k.id IS NOT NULL "
+        "OR COALESCE(b.first_seq < b.seq, FALSE) THEN 'existed' WHEN NOT b.ok THEN 'refused' "
+        "ELSE 'added' END AS state FROM batch b LEFT JOIN known k ON k.ref = b.ref",
         "fresh": "SELECT seq, (SELECT MAX(id) FROM known) + ROW_NUMBER() OVER (ORDER BY seq) AS id "
-        "FROM batch b WHERE seq = first_seq AND NOT EXISTS "
-        "(SELECT 1 FROM known k WHERE k.ref = b.ref)",
+        "FROM decided WHERE state = 'added'",
     },
 )
 def insert_idempotent_ref(d):
+    """Payments by reference: new, known by then, or refused because their booking is not there."""
     # A ref is unique in the stored table; the test table repeats it for each line.
     stored = d.payments.where(F.col("transaction_ref").isNotNull())
     known = stored.groupBy("transaction_ref").agg(F.min("booking_id").alias("id"))
-    priority = F.col("o_orderpriority")
+    priority, order = F.col("o_orderpriority"), F.col("o_orderkey")
     batch = d.orders.select(
-        F.col("o_orderkey").alias("seq"),
+        order.alias("seq"),
+        F.when(order % 7 == 0, order + 1000000000).otherwise(order).alias("booking_id"),
         F.when(priority == "4-NOT SPECIFIED", "")
         .when(
             priority != "5-LOW", F.concat(F.lit("REF-"), (F.col("o_custkey") * 13).cast("string"))
@@ -237,7 +309,7 @@ def insert_idempotent_ref(d):
         .alias("transaction_ref"),
         F.lit("PAID").alias("status"),
     )
-    return changes.ingest_payments(known, batch, "seq", NOW)[1]
+    return changes.ingest_payments(known, batch, "seq", NOW, d.bookings)[1]
 
 
 @query(
@@ -324,7 +396,8 @@ def sync_accounts(d):
         F.lit("555").alias("phone"),
         "role",
     )
-    return accounts.sync_users(users, members, edited, "hash", NOW).drop("last_name")
+    synced, _ = accounts.sync_users(users, members, edited, "hash", NOW)
+    return synced.drop("last_name")
 
 
 @query(

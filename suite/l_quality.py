@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import quality
 from marquee.operators.payloads import bad_seats, clean_seats, normalize
-from marquee.schema import TASK_STATUS
+from marquee.schema import TABLES, TASK_STATUS
 from suite.domain import mail
 from suite.registry import query
 
@@ -132,35 +132,73 @@ def reject_existing(d):
     return quality.reject_existing(new, d.users, "seq")
 
 
-@query(
-    "audit",
-    "SELECT 'screens' AS \"table\", rule, violations FROM (SELECT COUNT(*) FILTER (WHERE id IS NULL) "
-    "AS a, COUNT(*) FILTER (WHERE theater_id IS NULL) AS b, COUNT(*) FILTER (WHERE name IS NULL) "
-    "AS c, COUNT(*) FILTER (WHERE total_seats IS NULL) AS d, COUNT(*) FILTER (WHERE NOT "
-    "(total_seats > 0)) AS e FROM screens) AS s, LATERAL (VALUES ('id is required', a), "
-    "('theater_id is required', b), ('name is required', c), ('total_seats is required', d), "
-    "('total_seats > 0', e)) AS r(rule, violations) UNION ALL "
-    "SELECT 'screens', 'unique theater_id, name', (SELECT COUNT(*) FROM (SELECT 1 FROM screens "
-    "GROUP BY theater_id, name HAVING COUNT(*) > 1)) UNION ALL "
-    "SELECT 'showtimes', rule, violations FROM (SELECT COUNT(*) FILTER (WHERE movie_id IS NULL) "
-    "AS a, COUNT(*) FILTER (WHERE screen_id IS NULL) AS b, COUNT(*) FILTER (WHERE start_time "
-    "IS NULL) AS c, COUNT(*) FILTER (WHERE end_time IS NULL) AS d, COUNT(*) FILTER (WHERE price "
-    "IS NULL) AS e, COUNT(*) FILTER (WHERE NOT (price >= 0)) AS f, COUNT(*) FILTER (WHERE NOT "
-    "(end_time > start_time)) AS g FROM shown) AS s, LATERAL (VALUES "
-    "('movie_id is required', a), ('screen_id is required', b), ('start_time is required', c), "
-    "('end_time is required', d), ('price is required', e), ('price >= 0', f), "
-    "('end_time > start_time', g)) AS r(rule, violations) UNION ALL "
-    "SELECT 'showtimes', 'screen_id in screens', (SELECT COUNT(*) FROM shown s WHERE NOT "
-    "EXISTS (SELECT 1 FROM screens b WHERE b.id = s.screen_id))",
-    let={
-        "shown": "SELECT movie_id, CASE WHEN line_no = 4 THEN screen_id + 1000000000 "
-        "ELSE screen_id END AS screen_id, start_time, end_time, price FROM showtimes"
-    },
-)
+#: The columns that the test tables have of each declared table.
+AUDITED = {
+    "items": "id name value",
+    "users": "id first_name email phone profile_photo role updated_at",
+    "movies": "id title duration_min rating status",
+    "theaters": "id name city",
+    "screens": "id theater_id name total_seats",
+    "showtimes": "movie_id screen_id start_time end_time price",
+    "bookings": "id user_id status total_amount booked_at",
+    "booking_seats": "booking_id seat_label price",
+    "payments": "booking_id method amount status paid_at transaction_ref created_at",
+    "watchlist": "user_id movie_id",
+    "team_members": "id first_name last_name email role department status theater_id",
+    "staff_schedules": "id team_member_id shift_date start_sec end_sec status",
+    "staff_time_off_requests": "id team_member_id start_date end_date status created_at",
+    "staff_tasks": "id team_member_id priority due_date due_sec status",
+    "staff_time_records": "id team_member_id work_date clock_in_at clock_out_at break_minutes status",
+}
+# Faults that the test tables do not have of themselves: column, condition and value in SQL and Spark.
+FAULTY = {
+    "showtimes": ("screen_id", "line_no = 4", "screen_id + 1000000000"),
+    "staff_tasks": ("priority", "id % 10 = 0", "'URGENT'"),
+    "team_members": ("theater_id", "id % 9 = 0", "theater_id + 1000000000"),
+    "booking_seats": ("price", "seat_label LIKE '3-%'", "-price"),
+    "users": ("email", "id % 50 = 0", "'same@example.com'"),
+}
+
+
+def _audit_sql() -> str:
+    """Each rule as a statement of its own over the tables, as a reader of the schema would ask it."""
+
+    def table(name):
+        if name not in FAULTY:
+            return name
+        column, when, value = FAULTY[name]
+        return f"(SELECT * REPLACE (CASE WHEN {when} THEN {value} ELSE {column} END AS {column}) FROM {name})"
+
+    asked = []
+    for name, listed in AUDITED.items():
+        spec, columns, rows = TABLES[name], listed.split(), table(name)
+        broken = {f"{c} is required": f"{c} IS NULL" for c in spec.required if c in columns}
+        for c, allowed in spec.enums.items():
+            values = ", ".join(f"'{v}'" for v in allowed)
+            broken |= {f"{c} in list": f"{c} NOT IN ({values})"} if c in columns else {}
+        for check in spec.checks:
+            if all(w not in spec.columns or w in columns for w in check.split()):
+                broken[check] = f"NOT ({check})"
+        asked += [(name, rule, f"SELECT COUNT(*) FROM {rows} t WHERE {where}") for rule, where in broken.items()]
+        for keys in spec.unique:
+            if all(k in columns for k in keys):
+                key = ", ".join(keys)
+                whole = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+                groups = f"SELECT 1 FROM {rows} t WHERE {whole} GROUP BY {key} HAVING COUNT(*) > 1"
+                asked.append((name, f"unique {key}", f"SELECT COUNT(*) FROM ({groups}) AS g"))
+        for fk, (parent, _) in spec.references.items():
+            if fk in columns and "id" in AUDITED[parent].split():
+                missing = f"t.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {table(parent)} p WHERE p.id = t.{fk})"
+                asked.append((name, f"{fk} in {parent}", f"SELECT COUNT(*) FROM {rows} t WHERE {missing}"))
+    parts = [f"SELECT '{n}' AS \"table\", '{rule}' AS rule, ({sql}) AS violations" for n, rule, sql in asked]
+    return " UNION ALL ".join(parts)
+
+
+@query("audit", _audit_sql())
 def audit(d):
-    # Every fourth seat line names a screen that does not exist.
-    screen = F.col("screen_id")
-    wrong = F.when(F.col("line_no") == 4, screen + 1000000000).otherwise(screen)
-    return quality.audit(
-        {"screens": d.screens, "showtimes": d.showtimes.withColumn("screen_id", wrong)}
-    )
+    """All declared rules over all fifteen tables."""
+    tables = d.tables(*AUDITED)
+    for name, (column, when, value) in FAULTY.items():
+        faulty = F.when(F.expr(when), F.expr(value)).otherwise(F.col(column))
+        tables[name] = tables[name].withColumn(column, faulty)
+    return quality.audit(tables)

@@ -48,15 +48,6 @@ def test_items_have_larger_pages():
     assert paging.clamp_limit(501, *bounds) == 500
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
-    df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
-    order = [F.col("k").desc(), F.col("id")]
-    shallow = paging.paginate(df, order, 14, 60).collect()
-    monkeypatch.setattr(paging, "DEEP_OFFSET", 100)
-    assert paging.paginate(df, order, 14, 60).collect() == shallow
-    assert paging.paginate(df, order, 999, 60).count() == 0
-
-
 def test_trim_removes_every_kind_of_space(spark):
     df = texts(spark, *[c + "a b" + c for c in WHITESPACE], "\u200ba", "")
     assert column(df.select(fn.strip(F.col("c")).alias("c")), "c") == (

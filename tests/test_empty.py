@@ -53,7 +53,7 @@ def test_changes(spark):
 
 def test_pages_and_children(spark):
     movies, seats = empty(spark, "movies"), empty(spark, "booking_seats")
-    page = paging.page_of(movies, movies, ["id"], 3, 10)
+    page = paging.page_of(movies, ["id"], 3, 10)
     assert page.rows.count() == 0 and page.total.first().total == 0
     document = paging.page_to_json(page, ["id"], "movies").first().document
     assert document == '{"movies":[],"total":0,"page":3,"limit":10}'

@@ -109,8 +109,8 @@ def test_last_change_of_a_key_counts(spark):
     batch = spark.createDataFrame(
         [(1, "a", 1), (1, None, 3), (1, "b", 2), (2, "c", 1)], "id bigint, v string, seq int"
     )
-    last = changes.last_per_key(batch, ["id"], "seq")
-    assert sorted(map(tuple, last.collect())) == [(1, None, 3), (2, "c", 1)]
+    last = changes.one_per_key(batch, "id", "seq", ["v"])
+    assert sorted(map(tuple, last.collect())) == [(1, None), (2, "c")]
 
 
 def test_unknown_ids_of_an_update_are_reported(d):
@@ -119,8 +119,8 @@ def test_unknown_ids_of_an_update_are_reported(d):
 
 
 def test_row_numbers_are_the_global_order(d):
+    numbered = number_rows(d.staff_time_records, ["-work_date", "id"], "n").orderBy("n")
     order = [F.col("work_date").desc(), F.col("id")]
-    numbered = number_rows(d.staff_time_records, order, "n").orderBy("n")
     expected = [r.id for r in d.staff_time_records.orderBy(*order).collect()]
     rows = numbered.select("n", "id").collect()
     assert [r.n for r in rows] == list(range(1, len(expected) + 1))
