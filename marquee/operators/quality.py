@@ -72,16 +72,17 @@ def reject_existing(new: DataFrame, users: DataFrame, seq: str) -> DataFrame:
 _SLOTS = max(Counter(parent for t in TABLES.values() for parent, _ in t.references.values()).values())
 
 
-def row_rules(name: str, columns: Sequence[str]) -> dict[str, Column]:
-    """Conditions under which a row of a table breaks a declared rule on single rows, by its name."""
+def row_rules(name: str, columns: Sequence[str]) -> dict[str, str]:
+    """SQL for a row of a table breaking a declared rule on single rows, by the rule's name."""
     spec = TABLES[name]
-    rules = {f"{c} is required": F.col(c).isNull() for c in spec.required if c in columns}
+    rules = {f"{c} is required": f"`{c}` IS NULL" for c in spec.required if c in columns}
     for c, allowed in spec.enums.items():
         if c in columns:
-            rules[f"{c} in list"] = ~F.col(c).isin(list(allowed))
+            values = ", ".join(f"'{v}'" for v in allowed)
+            rules[f"{c} in list"] = f"`{c}` NOT IN ({values})"
     for check in spec.checks:
         if all(w not in spec.columns or w in columns for w in check.split()):
-            rules[check] = ~F.expr(check)
+            rules[check] = f"NOT ({check})"
     return rules
 
 
@@ -96,34 +97,33 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """
     named: list[tuple[str, int, str, str]] = []  # space, place in it, table, rule
     held: dict[str, int] = {}
-    none = F.lit(0).cast("bigint")
     entries = []
     parents = {parent for name in tables for parent, _ in TABLES[name].references.values()}
 
-    def entry(when: Column, space: str, one: Column, two: Column, slot: int, present: bool = False) -> Column:
-        fields = (F.lit(space), one.cast("bigint"), two.cast("bigint"), F.lit(slot), F.lit(present))
-        names = ("space", "one", "two", "slot", "present")
-        return F.when(when, F.struct(*[f.alias(n) for f, n in zip(fields, names, strict=True)]))
+    def entry(when: str, space: str, one: str, two: str = "0L", slot: int = 0, present: str = "FALSE") -> str:
+        fields = f"'space', '{space}', 'one', {one}, 'two', {two}, 'slot', {slot}, 'present', {present}"
+        return f"IF({when}, named_struct({fields}), NULL)"
 
     for name, df in tables.items():
         spec, made = TABLES[name], []
         for i, (rule, broken) in enumerate(row_rules(name, df.columns).items()):
             named.append((f"row {name}", i, name, rule))
-            made.append(entry(broken, f"row {name}", F.lit(i), none, 0))
+            made.append(entry(broken, f"row {name}", f"{i}L"))
         for i, keys in enumerate(spec.unique):
             if all(k in df.columns for k in keys):
                 space = f"unique {name} {i}"
                 named.append((space, 0, name, f"unique {', '.join(keys)}"))
-                whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-                made.append(entry(whole, space, F.xxhash64(*keys), F.xxhash64(F.lit(name), *reversed(keys)), 0))
+                whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+                listed, turned = ", ".join(keys), ", ".join(reversed(keys))
+                made.append(entry(whole, space, f"xxhash64({listed})", f"xxhash64('{name}', {turned})"))
         for fk, (parent, _) in spec.references.items():
             if fk in df.columns and parent in tables and "id" in tables[parent].columns:
                 slot = held[parent] = held.get(parent, -1) + 1
                 named.append((f"id {parent}", slot, name, f"{fk} in {parent}"))
-                made.append(entry(F.col(fk).isNotNull(), f"id {parent}", F.col(fk), none, slot))
+                made.append(entry(f"`{fk}` IS NOT NULL", f"id {parent}", f"CAST(`{fk}` AS BIGINT)", slot=slot))
         if name in parents and "id" in df.columns:
-            made.append(entry(F.col("id").isNotNull(), f"id {name}", F.col("id"), none, 0, present=True))
-        entries.append(df.select(F.inline(F.filter(F.array(*made), lambda e: e.isNotNull()))))
+            made.append(entry("id IS NOT NULL", f"id {name}", "CAST(id AS BIGINT)", present="TRUE"))
+        entries.append(df.selectExpr(f"inline(filter(array({', '.join(made)}), e -> e IS NOT NULL))"))
 
     counts = [F.count(F.when(~F.col("present") & (F.col("slot") == s), 1)).alias(f"_{s}") for s in range(_SLOTS)]
     met = reduce(DataFrame.unionByName, entries).groupBy("space", "one", "two").agg(F.bool_or("present").alias("known"), *counts)
@@ -135,8 +135,8 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
     summed = met.select("space", F.inline(found)).groupBy("space", "at").agg(F.sum("n").alias("n"))
 
     # One row per declared rule: a fixed list, as long as the schema.
-    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("_space", "_at", "table", "rule"), strict=True)]) for r in named])
-    spark = entries[0].sparkSession
-    rules = spark.range(1).select(F.inline(listed))
+    listed = ", ".join(f"struct('{space}', {at}, '{table}', '{rule}')" for space, at, table, rule in named)
+    rules = entries[0].sparkSession.range(1).selectExpr(f"inline(array({listed})) AS (_space, _at, `table`, rule)")
     same = (F.col("space") == F.col("_space")) & (F.col("at") == F.col("_at"))
-    return rules.join(summed, same, "left").select("table", "rule", F.coalesce("n", none).alias("violations"))
+    violations = F.coalesce("n", F.lit(0).cast("bigint")).alias("violations")
+    return rules.join(summed, same, "left").select("table", "rule", violations)

@@ -94,7 +94,7 @@ def _zoned(c: str) -> str:
 
 
 def _clock(c: str) -> str:
-    hms = f"CASE WHEN LENGTH({c}) < 6 THEN lpad({c}, 5, '0') || ':00' ELSE {c} END"
+    hms = f"CASE WHEN {c} = '' THEN NULL WHEN LENGTH({c}) < 6 THEN lpad({c}, 5, '0') || ':00' ELSE {c} END"
     return f"CAST(date_diff('second', TIME '00:00:00', TRY_CAST({hms} AS TIME)) AS INT)"
 
 
