@@ -6,6 +6,7 @@ be unique: end it with a key.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate, groupby
@@ -36,9 +37,9 @@ Key = tuple[str | None, ...]
 class Ranges:
     """Fixed cuts through an order; range i holds the rows from cut i - 1 on and before cut i.
 
-    A cut is the beginning of a key as literals; the rows it begins with are those that start with
-    it.  Cuts are as short as they can be: mostly one value of the first column, so that finding the
-    range of a row is a few comparisons of one column.
+    A cut is the beginning of a key as literals, and lies before all rows that start so.  It is one
+    value of the first column unless many rows share that value, and so on; finding the range of a
+    row is mostly a few comparisons of one column, and hot values are divided by the columns after.
     """
 
     order: tuple[str, ...]
@@ -67,10 +68,10 @@ class Ranges:
             if i < 0:
                 return str(base)
             value, group = groups[i]
-            if len(group) == 1:
-                return str(starts[i] + 1)
-            # A value that several cuts share: the others divide its rows by the columns that follow.
-            inner = self._search(group[1:], depth + 1, starts[i] + 1)
+            inside = [cut for cut in group if len(cut) > depth + 1]
+            if not inside:
+                return str(starts[i + 1])
+            inner = self._search(inside, depth + 1, starts[i + 1] - len(inside))
             return f"CASE WHEN {self._sides(depth, value)[1]} THEN {inner} ELSE {starts[i + 1]} END"
 
         def cases(low: int, high: int) -> str:
@@ -86,28 +87,17 @@ class Ranges:
         """The number of a row's range, from 0."""
         return F.expr(self._search(self.cuts, 0, 0)) if self.cuts else F.lit(0)
 
-    def _short(self, i: int) -> Key:
-        """The part of a cut that :meth:`column` compares: the first of a value's cuts begins the value."""
-        low = depth = 0
-        while True:
-            start = i
-            while start > low and self.cuts[start - 1][depth] == self.cuts[i][depth]:
-                start -= 1
-            if start == i:
-                return self.cuts[i][: depth + 1]
-            low, depth = start + 1, depth + 1
-
     def from_cut(self, i: int) -> Column:
         """Whether a row is at cut ``i`` or after it; plain comparisons, which reach the scan."""
         text = "TRUE"
-        for depth, value in reversed(list(enumerate(self._short(i)))):
+        for depth, value in reversed(list(enumerate(self.cuts[i]))):
             _, same, after = self._sides(depth, value)
             text = f"({after} OR {same})" if text == "TRUE" else f"({after} OR ({same} AND {text}))"
         return F.expr(text)
 
     def before_cut(self, i: int) -> Column:
         text = "FALSE"
-        for depth, value in reversed(list(enumerate(self._short(i)))):
+        for depth, value in reversed(list(enumerate(self.cuts[i]))):
             before, same, _ = self._sides(depth, value)
             text = before if text == "FALSE" else f"({before} OR ({same} AND {text}))"
         return F.expr(text)
@@ -128,7 +118,13 @@ def split_ranges(keys: DataFrame, order: Sequence[str], rows: int, wanted: int)
     inorder = chosen.repartition(1).sortWithinPartitions(*sort_columns(order))
     found = [tuple(r) for r in inorder.select(*[F.col(c).cast("string") for c in names]).collect()]
     wanted = min(wanted, len(found))
-    cuts = dict.fromkeys(found[i * len(found) // wanted] for i in range(1, wanted))
+    shared = Counter(key[:n] for key in found for n in range(1, len(names)))
+
+    def cut(key: Key) -> Key:
+        """The shortest beginning that less than half a range shares."""
+        return next((key[:n] for n in range(1, len(names)) if 2 * wanted * shared[key[:n]] < len(found)), key)
+
+    cuts = dict.fromkeys(cut(found[i * len(found) // wanted]) for i in range(1, wanted))
     return Ranges(tuple(order), kinds, tuple(cuts))
 
 
