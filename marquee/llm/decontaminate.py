@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +24,37 @@ FILTER_BITS = 26
 OTHER = r"[^\p{L}\p{N}]+"
 
 
+def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
+    """Masks over a whole item of fewer than PASSAGE tokens; one of them is free of its substitutions.
+
+    The item is cut into two blocks more than it may have substitutions and each mask leaves out as
+    many blocks as there may be; so whatever blocks are hit, a mask of the others remains.  An item
+    that may have none has one mask over all of its tokens.
+    """
+    spared = length - math.ceil(length * AGREE)
+    if not spared:
+        return (tuple(range(length)),)
+    parts = spared + 2
+    blocks = [range(i * length // parts, (i + 1) * length // parts) for i in range(parts)]
+    return tuple(
+        tuple(o for i, block in enumerate(blocks) if i not in left_out for o in block)
+        for left_out in combinations(range(parts), spared)
+    )
+
+
 def tokens(text: Column) -> Column:
     """Hashes of the lower-cased runs of letters and digits; none for null."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), OTHER), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row per mask and position of ``_tokens``: keep, _pos, _mask, _hash.
+def _windows(rows: DataFrame, masks: Sequence[tuple[int, tuple[int, ...]]], *keep: str) -> DataFrame:
+    """A row per mask and position of ``_tokens``: keep, _pos, _mask, _hash; masks are (number, offsets).
 
     Shifted copies of the token array are zipped, so each position carries the tokens of its
     window and hashing them needs no lambda.
     """
-    offsets = sorted({o for m in MASKS for o in m})
+    offsets = sorted({o for _, m in masks for o in m})
     size = F.size("_tokens")
     shifted = [
         F.slice("_tokens", F.lit(o + 1), F.greatest(size - o, F.lit(0))).alias(f"t{o}") for o in offsets
@@ -46,7 +69,7 @@ def _windows(rows: DataFrame, *keep: str) -> DataFrame:
                     F.xxhash64(F.lit(k), *[F.col(f"_t.t{o}") for o in m]).alias("_hash"),
                 ),
             )
-            for k, m in enumerate(MASKS)
+            for k, m in masks
         ]
     )
     return (
@@ -82,19 +105,39 @@ def contaminated(
     then verified around its place, so substituted tokens are tolerated and chance hits fall.
 
     Rows with one key are one document: a passage in any of them counts.  Null keys and items
-    are values like others.  Null or empty texts, documents and items with fewer tokens than
-    the shortest mask (7) share no passage.  Repeated items are reported once per item.  Other
-    columns are ignored; an empty table gives no rows.
+    are values like others.  Null texts and texts without tokens share no passage.  An item of
+    fewer than PASSAGE tokens has masks of its own over all of its tokens, which no permitted
+    number of substitutions can all hit; only lengths that the benchmark has are looked for.
+    Repeated items are reported once per item.  Other columns are ignored; an empty table gives
+    no rows.
     """
     items = durable(
         benchmark.select(F.col(item).alias("_item"), tokens(F.col(item_text)).alias("_item_tokens"))
-        .where(F.size("_item_tokens") >= MASKS[0][-1] + 1)
+        .where(F.size("_item_tokens") > 0)
         .distinct()
         .withColumn("_no", F.monotonically_increasing_id())
     )
-    wanted = durable(
-        _windows(items.withColumnRenamed("_item_tokens", "_tokens"), "_no").withColumnRenamed("_pos", "_at")
-    )
+    size = F.least(F.size("_item_tokens"), F.lit(PASSAGE))
+    # At most PASSAGE different lengths.
+    lengths = sorted(r[0] for r in items.select(size).distinct().collect())
+    named = {n: MASKS if n == PASSAGE else masks_of(n) for n in lengths}
+    numbered = list(enumerate((n, m) for n in lengths for m in named[n]))
+    masks = [(k, m) for k, (_, m) in numbered]
+    of_length = [
+        _windows(
+            items.where(size == n).withColumnRenamed("_item_tokens", "_tokens"),
+            [(k, m) for k, (other, m) in numbered if other == n],
+            "_no",
+        )
+        for n in lengths
+    ]
+    if not of_length:
+        of_length = [_windows(items.withColumnRenamed("_item_tokens", "_tokens"), list(enumerate(MASKS)), "_no")]
+        masks = list(enumerate(MASKS))
+    # A shorter item is matched as a whole, so its masks begin at its first token.
+    every = reduce(DataFrame.unionByName, of_length)
+    whole = [k for k, (n, _) in numbered if n < PASSAGE]
+    wanted = durable(every.where(~F.col("_mask").isin(whole) | (F.col("_pos") == 0)).withColumnRenamed("_pos", "_at"))
     # At most 2^(FILTER_BITS - 6) rows of two numbers, however large the benchmark.
     bits = F.broadcast(
         wanted.groupBy(F.shiftrightunsigned(_place(F.col("_hash")), 6).alias("_word"))
@@ -102,7 +145,7 @@ def contaminated(
     )
     known = docs.select(F.col(key).alias("_key"), tokens(F.col(text)).alias("_tokens"))
     hits = (
-        _windows(known, "_key")
+        _windows(known, masks, "_key")
         .withColumn("_word", F.shiftrightunsigned(_place(F.col("_hash")), 6))
         .join(bits, "_word")
         .where(F.col("_bits").bitwiseAND(_bit(F.col("_hash"))) != 0)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -155,8 +157,33 @@ def test_contaminated(documents, spark):
     assert decontaminate.contaminated(documents(rows), benchmark.limit(0)).collect() == []
 
 
+def test_short_items_with_every_permitted_substitution(documents, spark):
+    """Items of every length below a passage, exact and with each set of substitutions, and one more."""
+    items, rows, want = [], [], set()
+    for n in range(1, decontaminate.PASSAGE):
+        words = [f"item{n}word{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        spared = n - math.ceil(n * decontaminate.AGREE)
+        for size in {0, spared, spared + 1}:
+            for changed in combinations(range(n), size):
+                text = ["before", "it", *["other" if j in changed else w for j, w in enumerate(words)], "after"]
+                if size <= spared:
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join(text)))
+    items.append((99, "你好吗？"))
+    want.add((len(rows), 99))
+    rows.append((len(rows), "他说，你好吗！"))
+    rows += [(len(rows), "item1word"), (len(rows) + 1, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(documents(rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    for n in range(1, decontaminate.PASSAGE):
+        spared = n - math.ceil(n * decontaminate.AGREE)
+        for changed in combinations(range(n), spared):
+            assert any(not set(changed) & set(mask) for mask in decontaminate.masks_of(n))
+
+
 def test_masks_hit_every_passage_with_two_substitutions():
-    from itertools import combinations
 
     for changed in combinations(range(decontaminate.PASSAGE), 2):
         assert any(
