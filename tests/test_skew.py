@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 import pytest
@@ -147,7 +148,7 @@ def test_no_query_multiplies_rows_or_runs_python(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for key, build in registry.QUERIES.items():
-            if key.startswith("op") or key == "pipeline":
+            if re.match(r"op\d+_|pipeline$", key):
                 continue
             plans.setdefault(key, []).append(plan_of(build(spark, "/root/testdata/sf0.001")))
             for plan in plans[key]:
