@@ -184,7 +184,6 @@ def test_short_items_with_every_permitted_substitution(documents, spark):
 
 
 def test_masks_hit_every_passage_with_two_substitutions():
-
     for changed in combinations(range(decontaminate.PASSAGE), 2):
         assert any(
             all(at + o not in changed for o in mask)
