@@ -42,13 +42,24 @@ def resolve_user(requests: DataFrame, users: DataFrame) -> DataFrame:
     return both.select(*requests.columns, F.coalesce("_hit", "_found").alias("user_id"))
 
 
+def _by_either(people: DataFrame, alias: str) -> DataFrame:
+    """Both names of each person in one column ``_tag``: '#' and the id, '@' and the folded email."""
+    names = F.array(
+        F.concat(F.lit("#"), F.col("id").cast("string")), F.concat(F.lit("@"), F.lower("email"))
+    )
+    tagged = people.select("id", F.explode(names).alias("_tag")).where(F.col("_tag").isNotNull())
+    return tagged.groupBy("_tag").agg(F.min("id").alias(alias))
+
+
 def resolve_user_strict(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Add ``user_id``: a given id (1 or above) is the only thing tried, else the email."""
-    left = _prepared(requests).withColumn("_id", F.when(F.col("_id") >= 1, F.col("_id")))
-    hit = left.join(_by_id(users, "_hit"), F.col("_id") == F.col("_hit"), "left")
-    tried = hit.withColumn("_try", F.when(F.col("_id").isNull(), F.col("_mail")))
-    both = join_unique(tried, _by_email(users, "_found"), "_try", "_email")
-    return both.select(*requests.columns, F.coalesce("_hit", "_found").alias("user_id"))
+    """Add ``user_id``: a given id (1 or above) is the only thing tried, else the email.
+
+    A request tries one name, so ids and emails are looked up together in one join.
+    """
+    by_id = F.when(F.col("_id") >= 1, F.concat(F.lit("#"), F.col("_id").cast("string")))
+    tried = _prepared(requests).withColumn("_try", F.coalesce(by_id, F.concat(F.lit("@"), F.col("_mail"))))
+    both = join_unique(tried, _by_either(users, "_found"), "_try", "_tag")
+    return both.select(*requests.columns, F.col("_found").alias("user_id"))
 
 
 def resolve_member(
