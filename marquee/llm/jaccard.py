@@ -181,9 +181,16 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
     return counted.groupBy("_place").applyInPandas(add, "_set string, _lonely long")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """_set, _n, _shingles of the classes (_set, _first): the set of the document ``_first``."""
-    chosen = docs.join(classes, docs[key] == classes["_first"]).select("_set", F.col(text).alias("_text"))
+def sets_of(docs: DataFrame, classes: DataFrame, twice: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """_set, _n, _shingles of the classes (_set, _first): the set of the document ``_first``.
+
+    Only keys in ``twice`` (_id) have more than one row; their rows alone are compared again.
+    """
+    chosen = (
+        docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+        .join(classes, F.col("_key") == F.col("_first"))
+        .select("_set", "_first", "_text")
+    )
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,42 +203,62 @@ def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int
             ]
             yield pd.DataFrame(rows, columns=["_set", "_n", "_shingles"])
 
-    # Rows with one key and text give one set.
-    return chosen.mapInPandas(hashes, "_set string, _n long, _shingles array<long>").dropDuplicates(["_set"])
+    def made(rows: DataFrame) -> DataFrame:
+        return rows.select("_set", "_text").mapInPandas(hashes, "_set string, _n long, _shingles array<long>")
+
+    if twice.isEmpty():
+        return made(chosen)
+    again = F.col("_first") == F.col("_id")
+    return made(chosen.join(twice, again, "left_anti")).unionByName(
+        # Rows with one key and text give one set.
+        made(chosen.join(twice, again, "left_semi")).dropDuplicates(["_set"])
+    )
 
 
-def families(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """_set, _family: sets that can link are in one family.
+def families(sets: DataFrame, num: int, den: int, share: float) -> DataFrame:
+    """_no, _family: sets that can link are in one family.
 
-    Two sets that reach the threshold share one of the rarest (1 - threshold) of the shingles
-    of each, and their sizes differ by that factor at most.  Sets with a common rare shingle and
-    sizes in the same or the next power of that factor are therefore put together.
+    In any one order of all shingles, two sets that reach the threshold share one of the first
+    (1 - threshold) of the shingles of each, and their sizes differ by that factor at most.  The
+    order is that of sampled shingles (the lowest ``share`` of the hashes) from the rarest on, then
+    the others by hash; so only the sample is counted and shuffled.  Sets with a common shingle
+    there and sizes in the same or the next power of the factor are put together.
     """
-    entries = sets.select("_set", "_n", F.explode("_shingles").alias("_shingle"))
-    total = sets.agg(F.sum("_n")).first()[0] or 0
+    limit = min(int(share * 2.0**64), 2**64 - 1)
+    low = F.filter("_shingles", lambda x: x.bitwiseXOR(F.lit(-(2**63))) < F.lit(limit - 2**63))
+    prefix = (F.col("_n") - F.ceil(F.col("_n") * num / den) + 1).cast("int")
+    power = F.floor(F.log(F.col("_n")) / float(np.log(den / num)) + 1e-9) if den > num else F.col("_n")
+    described_sets = sets.select(
+        "_no", prefix.alias("_prefix"), power.cast("int").alias("_power"), low.alias("_low"), "_shingles"
+    ).withColumn("_sampled", F.size("_low"))
+    about = ("_no", "_power", "_prefix", "_sampled")
+    entries = described_sets.select(*about, F.explode("_low").alias("_shingle"))
+    total = described_sets.agg(F.sum("_sampled")).first()[0] or 0
     often = entries.groupBy("_shingle").agg(F.count("*").alias("_df")).where("_df > 1")
-    ranked = join_groups(entries, durable(often), "_shingle", "_df", total)
-    shared = F.coalesce(F.col("_facts._df"), F.lit(1))
-    prefix = F.col("_n") - F.ceil(F.col("_n") * num / den) + 1
+    shared = join_groups(entries, durable(often), "_shingle", "_df", total).where("_facts IS NOT NULL")
+    # Sampled shingles of one set alone are the rarest and meet nobody: they only take up places.
     rare = (
-        ranked.groupBy("_set", "_n")
-        .agg(F.sort_array(F.collect_list(F.struct(shared.alias("df"), "_shingle"))).alias("_s"))
-        .select("_set", "_n", F.explode(F.slice("_s", F.lit(1), prefix.cast("int"))).alias("_e"))
-        .where("_e.df > 1")
+        shared.groupBy(*about)
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_facts._df").alias("df"), F.col("_shingle").alias("x")))).alias("_s"))
+        .withColumn("_places", F.greatest(F.lit(0), F.col("_prefix") - F.col("_sampled") + F.size("_s")))
+        .select("_no", "_power", F.explode(F.slice("_s", F.lit(1), F.col("_places"))["x"]).alias("_shingle"))
+    )
+    # The shingles are in hash order, so the first ones after the sample follow it.
+    beyond = described_sets.where("_prefix > _sampled").select(
+        "_no",
+        "_power",
+        F.explode(F.slice("_shingles", F.col("_sampled") + 1, F.col("_prefix") - F.col("_sampled"))).alias("_shingle"),
     )
-    power = F.floor(F.log(F.col("_n")) / float(np.log(den / num)) + 1e-9) if den > num else F.col("_n")
     joined = durable(
-        rare.select(
-            "_set",
-            F.explode(F.array(power, power + 1)).alias("_power"),
-            F.col("_e._shingle").alias("_shingle"),
-        ).select("_set", F.xxhash64("_shingle", "_power").alias("_group"))
+        rare.unionByName(beyond)
+        .select("_no", F.explode(F.array("_power", F.col("_power") + 1)).alias("_power"), "_shingle")
+        .select("_no", F.xxhash64("_shingle", "_power").alias("_group"))
     )
-    hubs = joined.groupBy("_group").agg(F.min("_set").alias("_hub"), F.count("*").alias("_size")).where("_size > 1")
+    hubs = joined.groupBy("_group").agg(F.min("_no").alias("_hub"), F.count("*").alias("_size")).where("_size > 1")
     members = join_groups(joined, durable(hubs), "_group", "_size", joined.count()).where("_facts IS NOT NULL")
-    edges = members.select(F.col("_set").alias("a"), F.col("_facts._hub").alias("b")).where("a != b")
+    edges = members.select(F.col("_no").alias("a"), F.col("_facts._hub").alias("b")).where("a != b")
     found = connected(edges)
-    return found.select(F.col("node").alias("_set"), F.col("label").alias("_family"))
+    return found.select(F.col("node").alias("_no"), F.col("label").alias("_family"))
 
 
 # --- signature trees ------------------------------------------------------------------------
@@ -409,7 +436,7 @@ def _stars(pairs: list[tuple[int, int, int]], names: list[str]) -> list[tuple[st
     return [(names[find(i)], names[i], 0) for i in range(len(names)) if find(i) != i]
 
 
-def set_links(sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def set_links(sets: DataFrame, num: int, den: int, every: bool, share: float = 1.0) -> DataFrame:
     """Links (a, b, common) between sets: all of them, or stars that connect what they connect.
 
     A family makes one signature tree; a large one is dealt into several by a hash.  Each
@@ -417,8 +444,8 @@ def set_links(sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     in tasks of their own.  Where connecting is enough, trees are first tied by one set of
     each, and two trees whose sets are all connected by then are left out.
     """
-    family = durable(families(sets, num, den))
-    sized = family.join(sets.select("_set", "_n"), "_set").groupBy("_family").agg(
+    family = durable(families(sets, num, den, share))
+    sized = family.join(sets.select("_no", "_n"), "_no").groupBy("_family").agg(
         F.count("*").alias("_m"), F.sum("_n").alias("_shingle_count")
     )
     # Families of one set have no rows here.
@@ -430,10 +457,11 @@ def set_links(sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     placed = durable(
         join_groups(family, known, "_family", "_m", total)
         .select(
-            "_set", "_family", F.col("_facts._trees").alias("_trees"),
-            F.pmod(F.xxhash64("_set"), F.col("_facts._trees")).alias("_tree"),
+            "_no", "_family", F.col("_facts._trees").alias("_trees"),
+            F.pmod(F.xxhash64("_no"), F.col("_facts._trees")).alias("_tree"),
         )
-        .join(sets.select("_set", "_shingles"), "_set")
+        .join(sets.select("_no", "_set", "_shingles"), "_no")
+        .drop("_no")
     )
     inner = durable(
         placed.groupBy("_family", "_tree").applyInPandas(_linker(num, den, every, False), SCHEMA)
@@ -501,8 +529,8 @@ def jaccard_join(
 
     A set with more shingles of its own than the threshold allows cannot link; a test on a
     hash range of all shingles, which errs on the safe side only, puts most sets aside.  The
-    rest is divided into families by their rarest shingles, and each family joined by
-    signature trees.
+    rest is divided into families by the rarest shingles of the same hash range, and each family
+    joined by signature trees.
 
     A null text counts as empty; a document without words has an empty set and no link, not
     even to others without words.  Rows without a key take no part.  Repeated rows are
@@ -521,8 +549,9 @@ def jaccard_join(
     joined = classes.join(lonely, "_set", "left")
     able = joined.where(F.coalesce("_lonely", F.lit(0)) * den <= F.col("_n") * (den - num))
     able = durable(able.select("_set", "_first"))
-    sets = durable(sets_of(docs, able, key, text, width))
-    return Join(documents, classes, set_links(sets, num, den, every))
+    twice = durable(documents.groupBy("_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_id"))
+    sets = sets_of(docs, able, twice, key, text, width).withColumn("_no", F.monotonically_increasing_id())
+    return Join(documents, classes, set_links(durable(sets), num, den, every, share))
 
 
 def jaccard_components(
