@@ -23,6 +23,8 @@ BUCKET_SHINGLES = 2_000_000
 #: A tree holds about so many sets, and so many shingles.
 TREE_SETS, TREE_SHINGLES = 4_000, 4_000_000
 LEAF, FAN = 16, 8
+#: 64-bit words of the filter by which texts of sets without a possible partner stay where they are.
+FILTER_WORDS = 1 << 19
 
 
 # --- shingle sets ---------------------------------------------------------------------------
@@ -181,13 +183,26 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
     return counted.groupBy("_place").applyInPandas(add, "_set string, _lonely long")
 
 
+def likely(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (_key, ...) whose key may be a ``_first`` of ``classes``: all that are, few others.
+
+    The filter is broadcast and has FILTER_WORDS words at every size.  Beyond some ten million
+    classes it lets more and more other rows pass, which the join that follows takes out.
+    """
+    word = lambda c: F.shiftright(F.xxhash64(c), 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST(xxhash64({c}) & 63 AS INT))")
+    words = classes.groupBy(word("_first").alias("_word")).agg(F.bit_or(bit("_first")).alias("_bits"))
+    found = docs.join(F.broadcast(words), word("_key") == F.col("_word"))
+    return found.where(F.col("_bits").bitwiseAND(bit("_key")) != 0).drop("_word", "_bits")
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, twice: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """_set, _n, _shingles of the classes (_set, _first): the set of the document ``_first``.
 
     Only keys in ``twice`` (_id) have more than one row; their rows alone are compared again.
     """
     chosen = (
-        docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+        likely(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), classes)
         .join(classes, F.col("_key") == F.col("_first"))
         .select("_set", "_first", "_text")
     )
