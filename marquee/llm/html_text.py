@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +21,15 @@ BLOCK = frozenset(
 )
 #: Elements whose content is no text of the page, read up to their end tag.
 RAW = frozenset("script style title textarea noscript template iframe svg select option button object".split())
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+#: Items whose start tag ends an open one, whatever of SOFT lies in between.
+ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
+SOFT = frozenset("address div p".split())
+#: Parts of a table whose start tag ends the parts of the same table that are open.
+TABLE_PARTS = {
+    "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "thead": ("thead", "tbody", "tfoot", "tr"),
+    "tbody": ("thead", "tbody", "tfoot", "tr"), "tfoot": ("thead", "tbody", "tfoot", "tr"),
+}
 #: Elements and class, id or role words of what surrounds an article.
 AROUND = frozenset("nav footer aside form menu dialog".split())
 AROUND_WORDS = frozenset(
@@ -30,11 +41,17 @@ AROUND_WORDS = frozenset(
 )
 #: A class such as "no-sidebar" describes a layout, not the element.
 LAYOUT_WORDS = frozenset("has no with without".split())
+SIDES = frozenset("left right layout".split())
 ARTICLE = frozenset("article main".split())
+#: What an article inside is part of; other surroundings, as a form over the whole page, may hold the article.
+APART = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments dialog aside footer menu modal nav popup promo "
+    "promotion recommended related reply respond sidebar sponsor sponsored teaser".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))
       | <(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
       | </?[a-zA-Z!?][^>]*+(?:>|\Z)
       | </[^>]*+(?:>|\Z)
@@ -173,6 +190,8 @@ class _Open(NamedTuple):
     around: bool
     article: bool
     hidden: bool
+    apart: bool = False
+    rigid: int = -1  # place of the nearest element, itself included, that is not SOFT
 
 
 def is_hidden(attributes: str) -> bool:
@@ -194,7 +213,9 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     """The flat text blocks of a page, in order, and whether it marks an article.
 
     Unclosed and misplaced tags are taken as browsers do: an end tag closes what is open
-    inside its element and is ignored without one; a paragraph ends where a block begins.
+    inside its element and is ignored without one; a paragraph ends where a block begins, a
+    list item, term, row or cell where the next one of its list or table does.  An article
+    inside a form, or inside an element whose class names its layout, is the page's article.
     """
     out: list[Block] = []
     stack: list[_Open] = []
@@ -202,6 +223,12 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     linked: list[str] = []
     links, has_article = 0, False
     heading = False
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    unclosed: set[str] = set()
+
+    def close_from(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop().name].pop()
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -229,8 +256,10 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         name = token["name"].lower()
         closing = bool(token["close"])
         if name in RAW:
-            if not closing and not token["attributes"].endswith("/"):
-                found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if not closing and not token["attributes"].endswith("/") and name not in unclosed:
+                found = RAW_END[name].search(page, at)
+                if found is None:
+                    unclosed.add(name)
                 at = found.end() if found else (end if name in ("script", "style", "title", "textarea") else at)
             continue
         if name == "a":
@@ -242,32 +271,52 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             links = 0
             heading = name in HEADINGS and not closing
             if closing:
-                if any(o.name == name for o in stack):
-                    while stack.pop().name != name:
-                        pass
+                if places[name]:
+                    close_from(places[name][-1])
                 continue
             while stack and stack[-1].name == "p":
-                stack.pop()
+                close_from(len(stack) - 1)
             if name in ("hr", "body", "html"):
                 continue
+            if name in ITEMS and stack and (rigid := stack[-1].rigid) >= 0 and stack[rigid].name in ITEMS[name]:
+                close_from(rigid)
+            elif name in TABLE_PARTS:
+                table = places["table"][-1] if places["table"] else -1
+                inside = [places[c][bisect_right(places[c], table) :][:1] for c in TABLE_PARTS[name]]
+                close_from(min((i[0] for i in inside if i), default=len(stack)))
             above = stack[-1] if stack else _Open("", False, False, False)
             words: set[str] = set()
+            plain: set[str] = set()
             for _, *values in ATTRIBUTE.findall(token["attributes"]):
                 for value in "".join(values).split():
-                    parts = {p.lower() for p in PIECE.findall(value)}
-                    if not parts & LAYOUT_WORDS:
-                        words |= parts
+                    pieces_of = [p.lower() for p in PIECE.findall(value)]
+                    if not LAYOUT_WORDS.intersection(pieces_of):
+                        words.update(pieces_of)
+                        # In sidebar-left the first word describes the second; an ad-slot is an ad.
+                        if not SIDES.intersection(pieces_of):
+                            plain.update(pieces_of)
             starts_article = name in ARTICLE or "main" in words and "article" in words
             around = (
                 name in AROUND
                 or name == "header" and not above.article
                 or name != "main" and bool(words & AROUND_WORDS) and not (name == "article" and not words & {"comment", "related", "promo", "teaser", "sponsored"})
             )
-            if starts_article and not around and not above.around:
+            # The article itself may lie in a form or a layout, but not in what stands beside articles.
+            surrounded = above.around and not (starts_article and not above.apart)
+            if starts_article and not around and not surrounded:
                 has_article = True
             hidden = above.hidden or is_hidden(token["attributes"])
+            apart = above.apart or around and (name in APART or bool(plain & APART) or bool(plain & AROUND_WORDS))
+            places[name].append(len(stack))
             stack.append(
-                _Open(name, above.around or around, above.article or starts_article and not around, hidden)
+                _Open(
+                    name,
+                    surrounded or around,
+                    above.article or starts_article and not around,
+                    hidden,
+                    apart,
+                    (above.rigid if name in SOFT else len(stack)),
+                )
             )
     flush()
     return out, has_article

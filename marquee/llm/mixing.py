@@ -28,11 +28,13 @@ class Mix(NamedTuple):
     sources: one row per source with size, target and shares.
     documents: one row per document with size, source facts and ``taken`` words.
     schedule: one row per slot: position, source, block, words and pass over the source.
+    spans: one row per slot and document in it: position, pass, block, key, first word, words.
     """
 
     sources: DataFrame
     documents: DataFrame
     schedule: DataFrame
+    spans: DataFrame
 
 
 def _source_key(source: Column) -> Column:
@@ -107,7 +109,7 @@ def _running(rows: DataFrame, by: list[str], bucket: str, order: list[str], amou
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Slots of the mix: _position, _no, _pass, _block, _words.
 
-    A source needs one slot per block it delivers.  With M slots in all, the 2^k >= 2M van der
+    A source needs one slot per block it delivers.  With M slots in all, the 2^k >= M van der
     Corput points visit 2^k equal cells once each; every source owns the cells of its interval
     of the cumulative weights, at least as many as it needs.  Its points, ranked in the order
     of the sequence, are its slots; the last block is cut at the target.
@@ -125,7 +127,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         + F.ceil((F.col("_t") - F.col("_whole") * F.col("_s")) / block_words).cast("bigint"),
     )
     slots = facts.agg(F.sum("_need")).first()[0] or 0
-    bits = max(1, (2 * slots - 1).bit_length()) if slots else 1
+    bits = max(1, (slots - 1).bit_length()) if slots else 1
     upto = F.sum(F.col("_need").cast("decimal(38,0)")).over(Window.orderBy("_no"))
     edge = lambda c: F.expr(f"CAST(({c}) * {1 << bits}BD div {max(slots, 1)} AS BIGINT)")
     cells = (
@@ -173,7 +175,7 @@ def _thin(docs: DataFrame, key: str, text: str, source: str, seed: int, *row: st
     )
 
 
-def _mix(thin: DataFrame, weights: Sequence[float], share: float, most: float, block_words: int) -> Mix:
+def _mix(thin: DataFrame, weights: Sequence[float], share: float, most: float, block_words: int) -> _Mixed:
     total = thin.count()
     sums = thin.groupBy("_name").agg(
         F.first("_source").alias("_source"),
@@ -192,24 +194,38 @@ def _mix(thin: DataFrame, weights: Sequence[float], share: float, most: float, b
     )
     placed = _running(shuffled, ["_no"], "_bucket", ["_order", "_key", "_row"], "_size", "_from")
     slots = durable(schedule(sources, block_words))
-    pieces = placed.select(
-        "_row", "_no", "_size", "_from",
-        F.explode(
-            F.sequence(F.expr(f"_from div {block_words}"), F.expr(f"(_from + _size - 1) div {block_words}"))
-        ).alias("_block"),
-    )
+    pieces = placed.select("_row", "_key", "_no", "_size", "_from", F.explode(_blocks(block_words)).alias("_block"))
     begin = F.col("_block") * block_words
+    first = F.greatest(F.col("_from"), begin)
     end = F.least(F.col("_from") + F.col("_size"), begin + F.col("_words"))
-    taken = (
+    spans = (
         pieces.join(slots, ["_no", "_block"])
-        .select("_row", F.greatest(end - F.greatest(F.col("_from"), begin), F.lit(0)).alias("_got"))
-        .groupBy("_row")
-        .agg(F.sum("_got").alias("_taken"))
+        .select(
+            "_position", "_no", "_pass", "_block", "_row", "_key", "_from",
+            (first - F.col("_from")).alias("_first"), (end - first).alias("_got"),
+        )
+        .where("_got > 0")
     )
+    taken = spans.groupBy("_row").agg(F.sum("_got").alias("_taken"))
     documents = known.join(taken, "_row", "left").withColumn(
         "_taken", F.coalesce("_taken", F.lit(0).cast("bigint"))
     )
-    return Mix(sources, documents, slots)
+    return _Mixed(sources, documents, slots, spans, placed)
+
+
+class _Mixed(NamedTuple):
+    """A mix under private names, and the words of a source before each of its documents."""
+
+    sources: DataFrame
+    documents: DataFrame
+    slots: DataFrame
+    spans: DataFrame
+    placed: DataFrame
+
+
+def _blocks(block_words: int) -> Column:
+    """The blocks of its source that a document with words lies in."""
+    return F.sequence(F.expr(f"_from div {block_words}"), F.expr(f"(_from + _size - 1) div {block_words}"))
 
 
 def mix(
@@ -247,7 +263,87 @@ def mix(
         F.col("_target").alias("target"),
         F.col("_taken").alias("taken"),
     )
-    return mixed._replace(documents=documents)
+    spans = mixed.spans.select(
+        F.col("_position").alias("position"),
+        F.col("_pass").alias("pass"),
+        F.col("_block").alias("block"),
+        F.col("_key").alias(key),
+        F.col("_first").alias("first_word"),
+        F.col("_got").alias("words"),
+    )
+    return Mix(mixed.sources, documents, mixed.slots, spans)
+
+
+def mixed_blocks(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    block_words: int = BLOCK_WORDS,
+    seed: int = 42,
+) -> DataFrame:
+    """The text of the mix in its order: position, source, pass, block, words, spans, text.
+
+    One row per slot of the schedule, sorted by ``position``, so that every beginning of the
+    result holds nearly the weighted share of each source.  A slot gives the words of its block
+    with the white space that follows each; where a document ends within the block a line feed
+    stands before the next one.  ``spans`` lists the key, first word and words of each document.
+
+    Texts meet their places once, are cut into blocks there, and only cut words travel on, once
+    for each pass over the source; a slot holds ``block_words`` words at most.  Cases as for
+    :func:`mix`; an empty table, or one without words, gives no rows.
+    """
+    kept = durable(
+        identified(docs, F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    )
+    thin = _thin(kept, "_key", "_text", "_source", seed, "_row")
+    mixed = _mix(durable(thin), weights, share, most, block_words)
+    parts = F.regexp_extract_all(F.col("_text"), F.lit(f"{WORD}{GAP}"), F.lit(0))
+    cut = F.transform(
+        _blocks(block_words),
+        lambda b: F.struct(
+            b.alias("_block"),
+            F.greatest(F.lit(0), b * block_words - F.col("_from")).alias("_first"),
+            F.slice(
+                "_parts",
+                (F.greatest(F.lit(0), b * block_words - F.col("_from")) + 1).cast("int"),
+                (
+                    F.least(F.col("_size"), (b + 1) * block_words - F.col("_from"))
+                    - F.greatest(F.lit(0), b * block_words - F.col("_from"))
+                ).cast("int"),
+            ).alias("_words_of"),
+        ),
+    )
+    pieces = (
+        mixed.placed.select("_row", "_key", "_source", "_no", "_size", "_from")
+        .join(kept.select("_row", "_text"), "_row")
+        .withColumn("_parts", parts)
+        .select("_row", "_key", "_source", "_no", "_from", F.inline(cut))
+    )
+    left = F.col("_words") - F.greatest(F.lit(0), F.col("_from") - F.col("_block") * block_words)
+    got = F.least(left, F.size("_words_of").cast("bigint"))
+    span = F.struct(
+        F.col("_from"), F.col("_row"), F.col("_key").alias(key), F.col("_first").alias("first_word"),
+        got.alias("words"), F.array_join(F.slice("_words_of", F.lit(1), got.cast("int")), "").alias("_piece"),
+    )
+    slots = (
+        pieces.join(mixed.slots, ["_no", "_block"])
+        .where(left > 0)
+        .groupBy("_position", "_no", "_pass", "_block", "_words")
+        .agg(F.first("_source").alias("_source"), F.sort_array(F.collect_list(span)).alias("_spans"))
+    )
+    return slots.select(
+        F.col("_position").alias("position"),
+        F.col("_source").alias("source"),
+        F.col("_pass").alias("pass"),
+        F.col("_block").alias("block"),
+        F.col("_words").alias("words"),
+        F.transform("_spans", lambda s: F.struct(s[key], s["first_word"], s["words"])).alias("spans"),
+        F.array_join(F.transform("_spans", lambda s: s["_piece"]), "\n").alias("text"),
+    ).orderBy("position")
 
 
 def mixed_documents(
@@ -263,7 +359,7 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row for each pass over a document.
 
-    Row order is free.  A pass that the target cuts short, at most one document per source,
+    Row order is free; :func:`mixed_blocks` gives the order of the mix.  A pass that the target cuts short, at most one document per source,
     gives the document's first words; every other pass gives its whole text.  ``n_chars``,
     where present, is counted anew.  Columns stay as they are; cases as for :func:`mix`.
     """

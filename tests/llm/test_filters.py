@@ -118,6 +118,17 @@ def test_keep_one_keeps_the_least_key_once(documents):
     ]
 
 
+def test_jaccard_of_columns_with_private_names(documents):
+    base = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 7 * i], *["y"] * (i % 3), *base[7 * i + i % 3 :]])) for i in range(9)]
+    rows += [(3, " ".join(base)), (20, None)]
+    docs = documents(rows)
+    clash = docs.selectExpr("*", *[f"'x' AS {c}" for c in ("_set", "_n", "_key", "_id", "_first", "_no", "_text", "label")])
+    found = sorted(map(tuple, jaccard.jaccard_components(clash, 1, 80, 100).collect()))
+    assert found == sorted(map(tuple, jaccard.jaccard_components(docs, 1, 80, 100).collect()))
+    assert jaccard.keep_one(clash, 1, 80, 100).columns == clash.columns
+
+
 def test_jaccard_edges(documents):
     assert jaccard.jaccard_components(documents([])).collect() == []
     rows = [(2, "a b"), (2, "a b"), (None, "a b"), (1, "A  B"), (4, ""), (5, None)]
@@ -245,8 +256,49 @@ def test_mixed_documents(documents, rows):
     assert {i: n for i, n in taken.items() if n} == dict(count)
 
 
+@pytest.mark.parametrize("block", [7, 128])
+def test_mixed_blocks(documents, rows, block):
+    texts = [(i, t) for i, t in rows if len(t or "") < 9_000]
+    source = [("hot", "hot", "hot", "b", None)[i * 7 % 5] for i, _ in texts]
+    docs = documents(texts, source)
+    mixed = mixing.mix(docs, block_words=block)
+    spans = sorted((r.position, r.doc_id, r.first_word, r.words) for r in mixed.spans.collect())
+    blocks = mixing.mixed_blocks(docs, block_words=block).collect()
+    # Same spans, and a text that is made of their words, in the order of the schedule.
+    assert spans == sorted((r.position, s.doc_id, s.first_word, s.words) for r in blocks for s in r.spans)
+    assert [r.position for r in blocks] == sorted({r.position for r in blocks})
+    split = {i: (t or "").encode().split() for i, t in texts}
+    for r in blocks:
+        wanted = [w for s in r.spans for w in split[s.doc_id][s.first_word : s.first_word + s.words]]
+        assert r.text.encode().split() == wanted and len(wanted) == r.words <= block
+    # The first pass of a source delivers every word of its documents, in one order.
+    at = Counter()
+    for r in sorted(blocks, key=lambda r: (str(r.source), r["pass"], r.block)):
+        for s in r.spans:
+            assert s.first_word == at[s.doc_id, r["pass"]]
+            at[s.doc_id, r["pass"]] += s.words
+    taken = Counter()
+    for (i, _), n in at.items():
+        taken[i] += n
+    assert {r.doc_id: r.taken for r in mixed.documents.collect() if r.taken} == dict(taken)
+    # Every beginning of the text holds nearly the share of each source.
+    words, seen = Counter(), Counter()
+    for r in blocks:
+        words[r.source] += r.words
+    total, so_far = sum(words.values()), 0
+    for r in blocks:
+        seen[r.source] += r.words
+        so_far += r.words
+        for s, n in words.items():
+            assert abs(seen[s] - so_far * n / total) <= 12 * block
+    assert mixing.mixed_blocks(documents([])).collect() == []
+    assert mixing.mixed_blocks(documents([(1, None), (2, " ")])).collect() == []
+
+
 def test_mix_edges(documents):
     assert mixing.mix(documents([])).documents.collect() == []
     assert mixing.mixed_documents(documents([])).collect() == []
     found = mixing.mix(documents([(1, None), (2, ""), (None, "a b"), (None, "a b")], [None] * 4)).documents.collect()
     assert sum(r.taken for r in found) == 6 and all(r.size == 0 or r.taken <= 4 for r in found)
+    half = mixing.mix(documents([(1, "a b c")])).documents.first()  # a target of 4.5 words: half a word counts
+    assert (half.target, half.taken) == (4.5, 5)

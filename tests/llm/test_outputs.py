@@ -103,6 +103,36 @@ PAGES = [
 ]
 
 
+LONG_LINE = "the river ran past the old mill and on towards the sea all day long"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><ul><li hidden>x<li>kept</ul>", "kept"),
+        ("<article><ul><li class=ad>x<li>kept <ul><li>inner<li>more</ul> tail<li>last</ul>", "kept\ninner\nmore\ntail\nlast"),
+        ("<article><ul><li hidden>x<div>y<li>kept</ul>", "kept"),
+        ("<article><ul><li hidden>x<section><li>y</section></ul>z", "z"),
+        ("<article><dl><dt hidden>x<dd>kept<dt class=ad>x<dd>also</dl>", "kept\nalso"),
+        ("<article><table><tr hidden><td>x<tr><td hidden>y<td>kept<tr><th>also</table>", "kept\nalso"),
+        ("<article><table><tr hidden><td>x<table><tr><td>y</table>z<tbody><tr><td>kept</table>", "kept"),
+        ("<article><!-->a<!--->b<!-- x --!>c<!-- - -->d<!-- -- > x -->e", "abcde"),
+        (f"<form id=aspnetForm><nav><a>m</a></nav><article><p>{LONG_LINE}</article><p>ok</form>", LONG_LINE),
+        (f'<div class="layout sidebar-left"><article><p>{LONG_LINE}</article></div>', LONG_LINE),
+        (f'<article><p>{LONG_LINE}</article><section class=comments><article><p>nice {LONG_LINE}</article></section>', LONG_LINE),
+        (f'<article><p>{LONG_LINE}</article><div class=sidebar><article><p>teaser {LONG_LINE}</article></div>', LONG_LINE),
+    ],
+)
+def test_html_of_implied_ends_and_wrappers(page, text):
+    assert html_text.main_text(page, html_text.train()) == text
+
+
+def test_html_time_grows_with_the_page():
+    tree = html_text.train()
+    for unit in ("<div>a</p>", "<button>", "<option>a", "<section><div><li>a</li>", "<table><tr><td>a", "<li><div>"):
+        html_text.main_text(unit * 30_000, tree)  # minutes, where each tag looked through all that are open
+
+
 def test_html_text(spark):
     rows = [(i, "u", h) for i, (h, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")
