@@ -306,7 +306,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             if starts_article and not around and not surrounded:
                 has_article = True
             hidden = above.hidden or is_hidden(token["attributes"])
-            apart = above.apart or around and (name in APART or bool(plain & APART) or bool(plain & AROUND_WORDS))
+            apart = above.apart or around and (name in APART or bool(plain & APART))
             places[name].append(len(stack))
             stack.append(
                 _Open(
