@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters that are worked on at once; a longer text makes a part of its own.
 PART = 1_000_000
 
 
+def give_back() -> None:
+    """Return memory that is free to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on the batches of a task, after which its worker gives memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def parts(texts: list[str], limit: int = PART) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters in all."""
     begin = total = 0

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrays import hash_runs, mix64, owners, parts, runs
+from marquee.llm.arrays import give_back, hash_runs, mix64, owners, parts, runs, tidy
 from marquee.llm.components import connected
 from marquee.llm.shared import join_groups
 from marquee.session import durable
@@ -23,6 +23,10 @@ BUCKET_SHINGLES = 2_000_000
 #: A tree holds about so many sets, and so many shingles.
 TREE_SETS, TREE_SHINGLES = 4_000, 4_000_000
 LEAF, FAN = 16, 8
+#: Characters of the texts whose shingles are held at once, and sets whose bitmaps are made at once.
+PORTION, BITMAPS = 8_000_000, 512
+#: A group of more shingles leaves enough behind to be given back.
+LARGE_GROUP = 500_000
 #: 64-bit words of the filter by which texts of sets without a possible partner stay where they are.
 FILTER_WORDS = 1 << 19
 
@@ -85,37 +89,31 @@ def described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return (
         docs.where(F.col(key).isNotNull())
         .select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-        .mapInPandas(describe, f"_id {kind}, _n long, _set string")
+        .mapInPandas(tidy(describe), f"_id {kind}, _n long, _set string")
     )
 
 
 # --- which sets can have a partner ----------------------------------------------------------
 
 
-def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, buckets: int) -> DataFrame:
-    """_set, _lonely: how many of the sampled shingles of a set occur in no other set.
-
-    Shingles whose hash lies in the lowest ``share`` of all values are sampled, alike in every
-    set.  A batch sends each of them, packed, to the bucket of its hash, with two of its sets at
-    most: a bucket need only know whether there is a second one.
-    """
+def _sender(width: int, share: float, buckets: int):
     limit = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
     low_bits = np.uint64(max(1, buckets))
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, picked, seen = [], [], set()
-            for shingles in shingle_sets([t or "" for t in batch["_text"]], width):
-                name = set_key(shingles)
-                if name not in seen:
-                    seen.add(name)
-                    picked.append(shingles[: np.searchsorted(shingles, limit)])
-                    names.append(bytes.fromhex(name))
-            sizes = [len(p) for p in picked]
-            if not sum(sizes):
-                continue
+    def portion(texts: list[str], seen: set[str]) -> pd.DataFrame:
+        names, picked = [], []
+        for shingles in shingle_sets(texts, width):
+            name = set_key(shingles)
+            if name not in seen:
+                seen.add(name)
+                picked.append(shingles[: np.searchsorted(shingles, limit)].copy())
+                names.append(bytes.fromhex(name))
+        sizes = [len(p) for p in picked]
+        rows: list[tuple[int, bytes, bytes, bytes]] = []
+        if sum(sizes):
             hashes, who = np.concatenate(picked), np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-            # Two sets of a batch settle a shingle for everybody, so no more are sent.
+            del picked
+            # Two sets of a portion settle a shingle for everybody, so no more are sent.
             order = np.argsort(hashes, kind="stable")
             hashes, who = hashes[order], who[order]
             third = np.zeros(len(hashes), dtype=bool)
@@ -124,7 +122,6 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
             bucket = (mix64(hashes) % low_bits).astype(np.int64)
             order = np.lexsort((who, bucket))
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            rows = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 mine = order[a:b]
                 present, local = np.unique(who[mine], return_inverse=True)
@@ -136,7 +133,25 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
                         hashes[mine].tobytes(),
                     )
                 )
-            yield pd.DataFrame(rows, columns=["_bucket", "_names", "_who", "_hashes"])
+        return pd.DataFrame(rows, columns=["_bucket", "_names", "_who", "_hashes"])
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, seen = [t or "" for t in batch["_text"]], set()
+            for a, b in parts(texts, PORTION):
+                yield portion(texts[a:b], seen)
+
+    return send
+
+
+def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, buckets: int) -> DataFrame:
+    """_set, _lonely: how many of the sampled shingles of a set occur in no other set.
+
+    Shingles whose hash lies in the lowest ``share`` of all values are sampled, alike in every
+    set.  A portion of a batch sends each of them, packed, to the bucket of its hash, with two of its
+    sets at most: a bucket need only know whether there is a second one.
+    """
+    low_bits = np.uint64(max(1, buckets))
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         names = [np.frombuffer(n, dtype="V16") for n in frame["_names"]]
@@ -167,6 +182,7 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
             (int(place[order[a]]), names[order[a:b]].tobytes(), totals[order[a:b]].astype("<u4").tobytes())
             for a, b in zip(edges[:-1], edges[1:], strict=True)
         ]
+        give_back()
         return pd.DataFrame(rows, columns=["_place", "_names", "_counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +193,7 @@ def lonely_shingles(docs: DataFrame, text: str, width: int, share: float, bucket
         return pd.DataFrame({"_set": [n.tobytes().hex() for n in known], "_lonely": totals})
 
     sent = docs.select(F.col(text).alias("_text")).mapInPandas(
-        send, "_bucket long, _names binary, _who binary, _hashes binary"
+        tidy(_sender(width, share, buckets)), "_bucket long, _names binary, _who binary, _hashes binary"
     )
     counted = sent.groupBy("_bucket").applyInPandas(count, "_place long, _names binary, _counts binary")
     return counted.groupBy("_place").applyInPandas(add, "_set string, _lonely long")
@@ -209,17 +225,17 @@ def sets_of(docs: DataFrame, classes: DataFrame, twice: DataFrame, key: str, tex
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (name, len(s), s.view(np.int64))
-                for name, s in zip(
-                    batch["_set"], shingle_sets([t or "" for t in batch["_text"]], width), strict=True
-                )
-                if set_key(s) == name
-            ]
-            yield pd.DataFrame(rows, columns=["_set", "_n", "_shingles"])
+            names, texts = batch["_set"].tolist(), [t or "" for t in batch["_text"]]
+            for a, b in parts(texts, PORTION):
+                rows = [
+                    (name, len(s), s.view(np.int64))
+                    for name, s in zip(names[a:b], shingle_sets(texts[a:b], width), strict=True)
+                    if set_key(s) == name
+                ]
+                yield pd.DataFrame(rows, columns=["_set", "_n", "_shingles"])
 
     def made(rows: DataFrame) -> DataFrame:
-        return rows.select("_set", "_text").mapInPandas(hashes, "_set string, _n long, _shingles array<long>")
+        return rows.select("_set", "_text").mapInPandas(tidy(hashes), "_set string, _n long, _shingles array<long>")
 
     if twice.isEmpty():
         return made(chosen)
@@ -322,6 +338,27 @@ def tree(bits: np.ndarray, sizes: np.ndarray) -> list[Level]:
             return levels
 
 
+def bitmaps(flat: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of ``width`` bits of each set, ``flat[start[i]:start[i + 1]]``: the low bits of its shingles."""
+    out = []
+    for a in range(0, len(start) - 1, BITMAPS):
+        bounds = start[a : a + BITMAPS + 1]
+        marks = np.zeros((len(bounds) - 1, width), dtype=bool)
+        low = (flat[bounds[0] : bounds[-1]] & np.uint64(width - 1)).astype(np.int64)
+        marks[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), low] = True
+        out.append(np.packbits(marks, axis=1).view(np.uint64))
+    return np.concatenate(out)
+
+
+def ranks(values: np.ndarray) -> np.ndarray:
+    """For each value how many smaller different ones there are; at most 2^31 values."""
+    order = np.argsort(values)
+    out = np.empty(len(values), dtype=np.int32)
+    fresh = np.diff(values[order], prepend=values[order[:1]]) != 0
+    out[order] = np.cumsum(fresh, dtype=np.int32)
+    return out
+
+
 def links(
     sets: list[np.ndarray], num: int, den: int, every: bool, side: np.ndarray | None = None
 ) -> list[tuple[int, int, int]]:
@@ -338,15 +375,12 @@ def links(
     sizes = sizes[order]
     flat = np.concatenate([sets[i] for i in order])
     start = np.concatenate(([0], np.cumsum(sizes)))
-    _, token = np.unique(flat, return_inverse=True)
-    token = token.ravel()
     width = 256
     while width < 4 * np.median(sizes) and width < 8192:
         width *= 2
-    marks = np.zeros((len(sizes), width), dtype=bool)
-    marks[np.repeat(np.arange(len(sizes)), sizes), (flat & np.uint64(width - 1)).astype(np.int64)] = True
-    bits = np.packbits(marks, axis=1).view(np.uint64)
-    del marks
+    bits = bitmaps(flat, start, width)
+    token = ranks(flat)
+    del flat
     slack = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     levels = tree(bits, sizes)
     group = np.arange(len(sizes))
@@ -425,6 +459,8 @@ def _linker(num: int, den: int, every: bool, across: bool):
             rows = [(min(names[i], names[j]), max(names[i], names[j]), n) for i, j, n in pairs]
         else:
             rows = _stars(pairs, names)
+        if sum(map(len, sets)) > LARGE_GROUP:
+            give_back()
         return pd.DataFrame(rows, columns=["a", "b", "common"])
 
     return link
