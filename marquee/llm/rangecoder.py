@@ -1,13 +1,15 @@
 """Range coding of token ids with mixed order-0 to order-2 predictions, many blocks in step.
 
 Blocks are reset and decoded independently of each other.  Since numpy works on whole arrays,
-the blocks of a group advance together, one id of each per step; a block's bytes are the same
-whatever group it is in.
+the blocks of a group advance together, one id of each per step; a block's bytes follow from its
+ids and the :class:`Odds` alone, whatever other blocks are coded with it.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -17,251 +19,275 @@ BLOCK = 4096
 SLOTS_1, SLOTS_2 = 512, 2048
 #: Confidence of a prediction: hits in a row, up to this.
 SURE = 7
-#: How fast the chance of a confident prediction follows its hits.
-RATE = 1.0 / 32
-#: Chance that another model's id would come up in order 0, and the share of weights that is
-#: dealt out anew in each step, so that no model's weight dies.
-OTHER, FORGET = 0.02, 0.02
-#: Frequencies grow by this and are halved at the limit.
-GAIN, LIMIT = 32, 1 << 13
-#: Bits after the leading one that order 0 models; the rest is guessed or stored.
-TOP = 3
-#: The coder keeps 48 bits and gives out 16 at a time.
-LOW_MASK = np.uint64((1 << 48) - 1)
-SETTLED, LEAST = np.uint64(1 << 32), np.uint64(1 << 24)
-SCALE = 1 << 15
+#: Confidences of orders 2 and 1, and whether both name the same id.
+STATES = 2 * (SURE + 1) ** 2
+#: Bits of the shares of the three orders in a state, and of the order-0 frequencies.
+WAY_BITS, ID_BITS = 12, 18
+ALL = 1 << (WAY_BITS + ID_BITS)
+#: Different ids that order 0 gives a frequency each; the rest share one and store their bits.
+NAMED = 1 << 16
+#: Ids below this are looked up in a table.
+SMALL = 1 << 20
+#: The coder keeps 48 bits and gives out 16 at a time once the range is below LEAST.
+FULL, LEAST, LOW_MASK = (1 << 48) - 1, 1 << 32, (1 << 32) - 1
 
 
 class CorruptBlock(ValueError):
     """A block whose ids do not match its checksum."""
 
 
-class _Encoder:
-    def __init__(self, lanes: int, room: int):
-        self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-        self.out = np.zeros((lanes, room), dtype=np.uint16)
-        self.at = np.zeros(lanes, dtype=np.int64)
-
-    def pick(self, lanes: np.ndarray, cum: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        row = np.arange(len(cum)) * cum.shape[1] + symbol
-        flat = cum.ravel()
-        begin = flat[row].astype(np.uint64)
-        size = flat[row + 1].astype(np.uint64) - begin
-        self._narrow(lanes, begin, size, cum[:, -1].astype(np.uint64))
-        return symbol
-
-    def uniform(self, lanes: np.ndarray, bits: np.ndarray, value: np.ndarray) -> np.ndarray:
-        self._narrow(lanes, value.astype(np.uint64), np.uint64(1), np.uint64(1) << bits.astype(np.uint64))
-        return value
-
-    def _narrow(self, lanes, begin, size, total) -> None:
-        unit = self.range[lanes] // total
-        low = self.low[lanes] + unit * begin
-        width = unit * size
-        self.low[lanes], self.range[lanes] = low, width
-        narrow = width < LEAST
-        if narrow.any():
-            self._renew(lanes[narrow], low[narrow], width[narrow])
-
-    def _renew(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
-        """Give out 16 bits; a range across their boundary is cut there first, so they are final."""
-        while len(lanes):
-            across = (low ^ (low + width)) >= SETTLED
-            width = np.where(across, (~low + np.uint64(1)) & (LEAST - np.uint64(1)), width)
-            self._shift(lanes, low)
-            low, width = (low << np.uint64(16)) & LOW_MASK, width << np.uint64(16)
-            self.low[lanes], self.range[lanes] = low, width
-            again = width < LEAST
-            lanes, low, width = lanes[again], low[again], width[again]
-
-    def _shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.at[lanes]] = (low >> np.uint64(32)).astype(np.uint16)
-        self.at[lanes] += 1
+def _shares(counts: np.ndarray, total: int) -> np.ndarray:
+    """Counts as whole frequencies that add up to ``total``; what was counted keeps one at least."""
+    seen = counts > 0
+    if not seen.any():
+        return np.zeros(len(counts), dtype=np.int64)
+    out = seen + (counts * ((total - int(seen.sum())) / counts.sum())).astype(np.int64)
+    out[np.argmax(out)] += total - int(out.sum())
+    return out
 
-    def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for _ in range(3):
-            self._shift(lanes, self.low)
-            self.low = (self.low << np.uint64(16)) & LOW_MASK
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in lanes]
 
+@dataclass
+class Odds:
+    """What a group of blocks shares: how often each id comes, and how far each order is to be trusted.
 
-class _Decoder(_Encoder):
-    def __init__(self, payloads: list[bytes]):
-        words = [np.frombuffer(p, dtype="<u2") for p in payloads]
-        super().__init__(len(words), 0)
-        longest = max((len(w) for w in words), default=0) + 4
-        self.words = np.zeros((len(words), longest), dtype=np.uint16)
-        for i, w in enumerate(words):
-            self.words[i, : len(w)] = w
-        self.code = np.zeros(len(words), dtype=np.uint64)
-        for k in range(3):
-            self.code = (self.code << np.uint64(16)) | self.words[:, k]
-        self.at += 3
-
-    def pick(self, lanes: np.ndarray, cum: np.ndarray, symbol: None = None) -> np.ndarray:
-        total = cum[:, -1].astype(np.uint64)
-        spot = np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] // total), total - np.uint64(1))
-        symbol = (cum[:, 1:-1] <= spot[:, None]).sum(axis=1)
-        return super().pick(lanes, cum, symbol)
-
-    def uniform(self, lanes: np.ndarray, bits: np.ndarray, value: None = None) -> np.ndarray:
-        total = np.uint64(1) << bits.astype(np.uint64)
-        spot = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] // total)
-        return super().uniform(lanes, bits, np.minimum(spot, total - np.uint64(1)))
-
-    def _shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        # A damaged block may run past its end; the checksum tells.
-        at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
-        self.code[lanes] = ((self.code[lanes] << np.uint64(16)) & LOW_MASK) | self.words[lanes, at]
-        self.at[lanes] += 1
-
-
-class _Table:
-    """Adaptive frequencies of ``ways`` symbols in each of a number of contexts."""
-
-    def __init__(self, contexts: int, ways: int):
-        self.count = np.ones((contexts, ways), dtype=np.int32)
-
-    def code(self, coder: _Encoder, lanes: np.ndarray, row: np.ndarray, symbol) -> np.ndarray:
-        count = self.count[row]
-        cum = np.empty((len(row), count.shape[1] + 1), dtype=np.int32)
-        cum[:, 0] = 0
-        np.cumsum(count, axis=1, out=cum[:, 1:])
-        symbol = coder.pick(lanes, cum, symbol)
-        self.count[row, symbol] += GAIN
-        full = cum[:, -1] >= LIMIT
-        if full.any():
-            row = row[full]
-            self.count[row] = (self.count[row] + 1) >> 1
-        return symbol
+    ``ways`` has a row per state with the shares of orders 2, 1 and 0; ``ids`` are ascending, ``counts``
+    their order-0 frequencies after that of all other ids, which stands first.
+    """
+
+    ways: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def even(cls) -> Odds:
+        """Nothing known: trust by hits in a row, and the same chance for every id."""
+        level = (2 * np.arange(SURE + 1) + 1) / (2 * SURE + 2)
+        state = np.arange(STATES)
+        two, one, agree = level[state >> 3 & SURE], level[state & SURE], state >> 6
+        rest = (1 - two) * one * (1 - agree)
+        ways = np.stack((two, rest, 1 - two - rest), axis=1)
+        return cls.fit(ways * (1 << WAY_BITS), np.zeros(0, dtype=np.int64), np.array([1]))
+
+    @classmethod
+    def fit(cls, ways: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> Odds:
+        """From numbers of times; order 0 is possible in every state."""
+        ways = ways.astype(np.int64) + np.array([0, 0, 1])
+        if len(ids) > NAMED:
+            kept = np.sort(np.argsort(-counts[1:], kind="stable")[:NAMED])
+            others = int(counts.sum()) - int(counts[1:][kept].sum())
+            ids, counts = ids[kept], np.concatenate(([others], counts[1:][kept]))
+        return cls(
+            np.array([_shares(w, 1 << WAY_BITS) for w in ways]),
+            ids.astype(np.int64),
+            _shares(counts, 1 << ID_BITS),
+        )
+
+    def pack(self) -> bytes:
+        gaps = np.diff(self.ids, prepend=0).astype("<u4")
+        parts = (self.ways.astype("<u2")[:, :2], gaps, self.counts.astype("<u4"))
+        # Bytes of equal rank side by side, as most of the high ones are zero.
+        planes = b"".join(np.ascontiguousarray(p).ravel().view("u1").reshape(-1, p.itemsize).T.tobytes() for p in parts)
+        return struct.pack("<I", len(self.ids)) + zlib.compress(planes, 1)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Odds:
+        (n,) = struct.unpack_from("<I", data)
+        planes = np.frombuffer(zlib.decompress(data[4:]), dtype="u1")
+        ends = np.cumsum([0, STATES * 4, n * 4, n * 4 + 4])
+        ways, gaps, counts = (
+            np.ascontiguousarray(planes[a:b].reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+            for a, b, width in zip(ends[:-1], ends[1:], (2, 4, 4), strict=True)
+        )
+        ways = ways.reshape(STATES, 2)
+        return cls(np.column_stack((ways, (1 << WAY_BITS) - ways.sum(axis=1))), np.cumsum(gaps), counts)
+
+
+class _Shares:
+    """The odds as the coders use them: where a choice begins in the range, and its size."""
+
+    def __init__(self, odds: Odds):
+        self.odds = odds
+        ways = odds.ways << ID_BITS
+        self.one, self.zero = ways[:, 0].copy(), ways[:, 0] + ways[:, 1]
+        self.unit = odds.ways[:, 2].copy()
+        # Order 2 begins at 0, order 1 after it; order 0 is a stretch of units dealt out by the frequencies.
+        self.way_begin = np.stack((np.zeros_like(self.one), self.one, self.zero), axis=1).ravel()
+        self.way_size = np.stack((ways[:, 0], ways[:, 1], self.unit), axis=1).ravel()
+        self.size = odds.counts
+        self.begin = np.cumsum(odds.counts) - odds.counts
+        self.others = bool(odds.counts[0])
+        #: The place of each id among the named ones, from 1, where ids are small.
+        self.place = None
+        if not len(odds.ids) or int(odds.ids[-1]) < SMALL:
+            self.place = np.zeros(SMALL + 1, dtype=np.int32)
+            self.place[odds.ids] = np.arange(1, len(odds.ids) + 1)
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Places of ids in ``size`` and ``begin``: 0 for those without a frequency of their own."""
+        if self.place is not None:
+            return self.place.take(ids, mode="clip")
+        at = np.searchsorted(self.odds.ids, ids)
+        return np.where(self.odds.ids.take(at, mode="clip") == ids, at + 1, 0)
 
 
 class _Context:
     """The last id seen after each context of one order, and how sure it is (the low 3 bits)."""
 
-    def __init__(self, lanes: int, slots: int):
+    #: By confidence and hit: how the packed entry changes.
+    CHANGE = np.array([d for c in range(SURE + 1) for d in ((c >> 1) - c, int(c < SURE))])
+
+    def __init__(self, lanes: int, slots: int, bits: int):
         self.first = np.arange(lanes) * slots
-        self.level_first = np.arange(lanes) * (SURE + 1)
-        self.id = np.zeros(lanes * slots, dtype=np.int64)
-        self.chances = np.full(lanes * (SURE + 1), 0.5)
+        self.entry = np.zeros(lanes * slots, dtype=np.int32 if bits <= 16 else np.int64)
+        self.change = self.CHANGE.astype(self.entry.dtype)
 
     def look(self, key: np.ndarray) -> np.ndarray:
-        n = len(key)
-        self.at = self.first[:n] + key
-        packed = self.id[self.at]
-        self.level = packed & SURE
-        self.seen = self.level_first[:n] + self.level
-        self.chance = self.chances[self.seen]
-        self.guess = packed >> 3
+        self.at = key
+        self.at += self.first[: len(key)]
+        self.packed = self.entry.take(self.at)
+        self.level = self.packed & SURE
+        self.guess = self.packed >> 3
         return self.guess
 
-    def learn(self, actual: np.ndarray) -> np.ndarray:
-        hit = self.guess == actual
-        self.chances[self.seen] = self.chance + (hit - self.chance) * RATE
-        level = np.where(hit, np.minimum(self.level + 1, SURE), self.level >> 1)
-        kept = np.where(self.level > 1, self.guess, actual)
-        self.id[self.at] = (kept << 3) | level
-        return hit
+    def learn(self, actual: np.ndarray, hit: np.ndarray) -> None:
+        kept = self.packed + self.change.take((self.level << 1) + hit)
+        np.copyto(kept, actual << 3, where=~hit & (self.level < 2), casting="unsafe")
+        self.entry[self.at] = kept
 
 
 class _Model:
-    """Predictions of orders 0 to 2 for a group of blocks; state starts anew for each block.
+    """Predictions of orders 1 and 2 for a group of blocks; state starts anew for each block.
 
-    Orders 1 and 2 predict the id that last followed the same one or two ids, order 0 a
-    distribution over all ids.  The three are mixed by weights that follow their success.
+    They predict the id that last followed the same one or two ids, order 0 a distribution over
+    all ids.  The three are mixed by shares that depend on how sure orders 1 and 2 are, as
+    :class:`Odds` has them.
     """
 
     def __init__(self, lanes: int, bits: int):
-        self.bits = bits
-        self.one, self.two = _Context(lanes, SLOTS_1), _Context(lanes, SLOTS_2)
-        self.weights = [np.full(lanes, 1.0 / 3) for _ in range(3)]
-        self.length = _Table(lanes, bits + 1)
-        self.top = _Table(lanes * (bits + 1), 1 << TOP)
-        self.favourite = np.zeros((lanes * (bits + 1)) << TOP, dtype=np.int64)
-        self.guessed = _Table(lanes * (SURE + 1), 2)
-        self.last = np.zeros(lanes, dtype=np.int64)
+        self.one, self.two = _Context(lanes, SLOTS_1, bits), _Context(lanes, SLOTS_2, bits)
+        self.mixed = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
 
-    def code(self, coder: _Encoder, lanes: np.ndarray, actual: np.ndarray | None) -> np.ndarray:
-        """Code one id of each lane; ``actual`` is None when decoding."""
-        n = len(lanes)
-        last, before = self.last[:n], self.before[:n]
-        mixed = last * 0x9E3779B1
-        two = self.two.look((mixed + before * 0x85EBCA6B >> 7) & (SLOTS_2 - 1))
+    def look(self, n: int) -> np.ndarray:
+        """The states of the first ``n`` lanes; the guesses are kept in the contexts."""
+        mixed = self.mixed[:n]
+        two = self.two.look((mixed + self.before[:n] >> 9) & (SLOTS_2 - 1))
         one = self.one.look((mixed >> 9) & (SLOTS_1 - 1))
-        w0, w1, w2 = (w[:n] for w in self.weights)
-        chance_1, chance_2 = self.one.chance, self.two.chance
-        first, second = w2 * chance_2, w1 * chance_1
         agree = one == two
-        # Orders 2 and 1 each stand for one id; order 0 for all, with what is left.
-        first = np.where(agree, first + second, first)
-        second = np.where(agree, 0.0, second)
-        cum = np.zeros((n, 4), dtype=np.int64)
-        cum[:, 1] = 1 + (first * (SCALE - 4)).astype(np.int64)
-        cum[:, 2] = cum[:, 1] + 1 + (second * (SCALE - 4)).astype(np.int64)
-        cum[:, 3] = SCALE
-        way = None
-        if actual is not None:
-            way = np.where(two == actual, 0, np.where(one == actual, 1, 2))
-        way = coder.pick(lanes, cum, way)
-        found = np.where(way == 0, two, one)
-        rest = np.flatnonzero(way == 2)
-        if len(rest):
-            found[rest] = self._order_0(coder, lanes[rest], None if actual is None else actual[rest])
-        # Bayes: a model's weight grows with the chance it gave to what came.
-        hit_two, hit_one = self.two.learn(found), self.one.learn(found)
-        gave_0 = w0 * OTHER
-        gave_1 = w1 * (hit_one * chance_1 + (1.0 - chance_1) * OTHER)
-        gave_2 = w2 * (hit_two * chance_2 + (1.0 - chance_2) * OTHER)
-        scale = (1.0 - FORGET) / (gave_0 + gave_1 + gave_2)
-        for weight, gave in zip((w0, w1, w2), (gave_0, gave_1, gave_2), strict=True):
-            weight[:] = gave * scale + FORGET / 3
-        self.before[:n] = last
-        self.last[:n] = found
-        return found
-
-    def _order_0(self, coder: _Encoder, lanes: np.ndarray, actual: np.ndarray | None) -> np.ndarray:
-        """Bit length, then up to TOP bits after the leading one, then the favourite id or the rest."""
-        length = top = None
-        if actual is not None:
-            length = np.frexp(actual.astype(np.float64))[1]
-            top = (actual >> np.maximum(length - 1 - TOP, 0)) & ((1 << TOP) - 1)
-        length = self.length.code(coder, lanes, lanes, length)
-        top = self.top.code(coder, lanes, lanes * (self.bits + 1) + length, top)
-        shift = np.maximum(length - 1 - TOP, 0)
-        # Up to TOP bits long, the top bits are the whole id, with its leading one.
-        found = np.where(length > TOP, (top | (1 << TOP)) << shift, top)
-        more = np.flatnonzero(shift > 0)
-        if len(more):
-            row = lanes[more] * (self.bits + 1) + length[more]
-            found[more] = self._rest(
-                coder, lanes[more], (row << TOP) + top[more], found[more], shift[more],
-                None if actual is None else actual[more],
-            )
-        return found
-
-    def _rest(self, coder: _Encoder, lanes, at, base, shift, actual: np.ndarray | None) -> np.ndarray:
-        """The id among those that start with the coded bits: the last one seen there, or its bits."""
-        packed = self.favourite[at]
-        guess, sure = packed >> 3, packed & SURE
-        right = None if actual is None else (guess == actual).astype(np.int64)
-        hit = self.guessed.code(coder, lanes, lanes * (SURE + 1) + sure, right) == 1
-        value = guess.copy()
-        wrong = np.flatnonzero(~hit)
-        if len(wrong):
-            shift, lane = shift[wrong], lanes[wrong]
-            rest = None if actual is None else actual[wrong] - base[wrong]
-            low = coder.uniform(lane, np.minimum(shift, 16), None if rest is None else rest & 0xFFFF)
-            tail = low.astype(np.int64)
-            if self.bits > 16 and len(high := np.flatnonzero(shift > 16)):
-                upper = None if rest is None else rest[high] >> 16
-                tail[high] |= coder.uniform(lane[high], shift[high] - 16, upper).astype(np.int64) << 16
-            value[wrong] = base[wrong] + tail
-        level = np.where(hit, np.minimum(sure + 1, SURE), sure >> 1)
-        self.favourite[at] = (np.where(hit | (sure > 1), guess, value) << 3) | level
-        return value
+        return (((agree.astype(np.int64) << 3) + self.two.level) << 3) + self.one.level
+
+    def learn(self, actual: np.ndarray) -> np.ndarray:
+        """Take the ids that came; the orders that predicted them: 0 for order 2, 1 for order 1, 2 for order 0."""
+        n = len(actual)
+        hit_two, hit_one = self.two.guess == actual, self.one.guess == actual
+        self.two.learn(actual, hit_two)
+        self.one.learn(actual, hit_one)
+        # Consecutive ids count differently: the one before last by another multiple.
+        np.right_shift(self.mixed[:n], 3, out=self.before[:n])
+        np.multiply(actual, 0x9E3779B1, out=self.mixed[:n])
+        return np.where(hit_two, 0, 2 - (hit_one & ~hit_two))
+
+
+class _Encoder:
+    """Low end and range of each lane in whole numbers; carries are settled at the end."""
+
+    def __init__(self, lanes: int, room: int):
+        self.lanes = np.arange(lanes)
+        self.low = np.zeros(lanes, dtype=np.int64)
+        self.range = np.full(lanes, FULL, dtype=np.int64)
+        self.out = np.zeros(room * lanes, dtype=np.uint32)  # step by step, all lanes side by side
+        self.at = np.arange(lanes)  # where the next 16 bits of a lane go
+
+    def narrow(self, n: int, begin: np.ndarray, size: np.ndarray) -> None:
+        """Go on to a part of the range, given in parts of ALL."""
+        unit = self.range[:n] >> (WAY_BITS + ID_BITS)
+        self.low[:n] += begin * unit
+        self.range[:n] = width = size * unit
+        small = width < LEAST
+        self._shift(slice(0, n), small)
+        few = np.flatnonzero(self.range[:n] < LEAST)
+        if len(few):  # at most 30 bits are taken at once
+            self._shift(few, True)
+
+    def plain(self, lanes: np.ndarray, value: np.ndarray) -> None:
+        """Code 16 bits as they are."""
+        unit = self.range[lanes] >> 16
+        self.low[lanes] += value * unit
+        self.range[lanes] = unit
+        self._shift(lanes, unit < LEAST)
+
+    def _shift(self, lanes, small) -> None:
+        low = self.low[lanes]
+        # What is no 16 bits yet is written over by what comes next.
+        self.out[self.at[lanes]] = low >> 32
+        self.at[lanes] += len(self.lanes) * (small | np.zeros(len(low), dtype=bool))
+        self.low[lanes] = np.where(small, (low & LOW_MASK) << 16, low)
+        self.range[lanes] <<= np.where(small, 16, 0)
+
+    def finish(self) -> list[bytes]:
+        count = len(self.lanes)
+        for _ in range(3):
+            self._shift(self.lanes, True)
+        lengths = self.at // count
+        words = self.out[: int(lengths.max()) * count].reshape(-1, count)
+        words[lengths.min() :][np.arange(lengths.min(), len(words))[:, None] >= lengths] = 0
+        for row in range(len(words) - 1, 0, -1):
+            words[row - 1] += words[row] >> 16
+        plain = words.T.astype("<u2")
+        return [plain[i, :n].tobytes() for i, n in enumerate(lengths)]
+
+
+class _Decoder:
+    """Distance of the code from the low end, and the range, as whole numbers below 2^53 in floats.
+
+    Every product is exact, and a quotient below 2^30 by less than 2^18 rounds down to the right number.
+    """
+
+    def __init__(self, payloads: list[bytes]):
+        count = len(payloads)
+        words = [np.frombuffer(p, dtype="<u2") for p in payloads]
+        longest = max((len(w) for w in words), default=0) + 4
+        rows = np.zeros((count, longest), dtype=np.uint16)
+        for i, w in enumerate(words):
+            rows[i, : len(w)] = w
+        self.words = rows.T.copy().ravel()
+        self.count = count
+        first = self.words[: 3 * count].reshape(3, count).astype(np.float64)
+        self.code = (first[0] * 65536 + first[1]) * 65536 + first[2]
+        self.range = np.full(count, float(FULL))
+        self.at = np.arange(count) + 3 * count
+
+    def spot(self, n: int) -> np.ndarray:
+        """Where the code lies in the range, in parts of ALL."""
+        self.unit = np.floor(self.range[:n] * (1.0 / ALL))
+        # A damaged block may lie beyond; the checksum tells.
+        return np.minimum(self.code[:n] / self.unit, ALL - 1).astype(np.int64)
+
+    def narrow(self, n: int, begin: np.ndarray, size: np.ndarray) -> None:
+        self.code[:n] -= begin * self.unit
+        self.range[:n] = size * self.unit
+        self._shift(slice(0, n))
+        few = np.flatnonzero(self.range[:n] < LEAST)
+        if len(few):
+            self._shift(few)
+
+    def plain(self, lanes: np.ndarray) -> np.ndarray:
+        unit = np.floor(self.range[lanes] * (1.0 / 65536))
+        value = np.minimum(np.floor(self.code[lanes] / unit), 65535)
+        self.code[lanes] -= value * unit
+        self.range[lanes] = unit
+        self._shift(lanes)
+        return value.astype(np.int64)
+
+    def _shift(self, lanes) -> None:
+        small = self.range[lanes] < LEAST
+        times = np.where(small, 65536.0, 1.0)
+        word = self.words.take(self.at[lanes], mode="clip")
+        word *= small
+        with np.errstate(over="ignore"):  # of a damaged block
+            self.code[lanes] = self.code[lanes] * times + word
+        self.range[lanes] *= times
+        self.at[lanes] += small * self.count
 
 
 def id_bits(ids: np.ndarray) -> int:
@@ -269,22 +295,74 @@ def id_bits(ids: np.ndarray) -> int:
     return 16 if not len(ids) or int(ids.max()) < 1 << 16 else 32
 
 
-def encode(ids: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
-    """Blocks of an id stream: number of ids, crc32 of the ids as 32-bit little endian, payload."""
+def _columns(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all blocks step by step, and the sizes of the blocks."""
     count = -(-len(ids) // BLOCK)
-    if not count:
-        return []
     sizes = np.full(count, BLOCK)
     sizes[-1] = len(ids) - BLOCK * (count - 1)
     stream = np.zeros(count * BLOCK, dtype=np.uint32)
     stream[: len(ids)] = ids
-    columns = stream.reshape(count, BLOCK).T.copy()
-    del stream
-    model, coder = _Model(count, bits), _Encoder(count, BLOCK * (1 + bits // 8) + 8)
-    lanes = np.arange(count)
+    return stream.reshape(count, BLOCK).T.copy(), sizes
+
+
+def _predicted(columns: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """For each id of ``columns``: three times the state, and the order that predicts it."""
+    out = np.zeros(columns.shape, dtype=np.int16)
+    model = _Model(len(sizes), bits)
+    for t in range(int(sizes.max())):
+        live = len(sizes) if t < sizes[-1] else len(sizes) - 1
+        state = model.look(live)
+        out[t, :live] = state * 3 + model.learn(columns[t, :live].astype(np.int64))
+    return out
+
+
+def _fitted(columns: np.ndarray, sizes: np.ndarray, ways: np.ndarray) -> Odds:
+    real = np.arange(len(columns))[:, None] < sizes
+    left = columns[real & (ways % 3 == 2)]
+    if len(left) and int(left.max()) < SMALL:
+        counts = np.bincount(left)
+        ids = np.flatnonzero(counts)
+        counts = counts[ids]
+    else:
+        ids, counts = np.unique(left, return_counts=True)
+    return Odds.fit(
+        np.bincount(ways[real], minlength=STATES * 3).reshape(STATES, 3), ids, np.concatenate(([0], counts))
+    )
+
+
+def encode_fitted(ids: np.ndarray, bits: int) -> tuple[Odds, list[tuple[int, int, bytes]]]:
+    """Odds made for an id stream, which decoding needs, and its blocks."""
+    if not len(ids):
+        return Odds.even(), []
+    columns, sizes = _columns(ids)
+    ways = _predicted(columns, sizes, bits)
+    odds = _fitted(columns, sizes, ways)
+    return odds, _coded(ids, columns, sizes, ways, bits, odds)
+
+
+def encode(ids: np.ndarray, bits: int, odds: Odds | None = None) -> list[tuple[int, int, bytes]]:
+    """Blocks of an id stream: number of ids, crc32 of the ids as 32-bit little endian, payload."""
+    if not len(ids):
+        return []
+    columns, sizes = _columns(ids)
+    return _coded(ids, columns, sizes, _predicted(columns, sizes, bits), bits, odds or Odds.even())
+
+
+def _coded(ids, columns, sizes, ways, bits: int, odds: Odds) -> list[tuple[int, int, bytes]]:
+    shares, count = _Shares(odds), len(sizes)
+    coder = _Encoder(count, BLOCK * (2 + bits // 16) + 8)
     for t in range(int(sizes.max())):
         live = count if t < sizes[-1] else count - 1
-        model.code(coder, lanes[:live], columns[t, :live].astype(np.int64))
+        way, actual = ways[t, :live].astype(np.int64), columns[t, :live].astype(np.int64)
+        begin, size = shares.way_begin.take(way), shares.way_size.take(way)
+        zero = way % 3 == 2
+        symbol = shares.find(actual)
+        begin += np.where(zero, shares.begin.take(symbol) * size, 0)
+        size *= np.where(zero, shares.size.take(symbol), 1)
+        coder.narrow(live, begin, size)
+        if shares.others and len(other := np.flatnonzero(zero & (symbol == 0))):
+            for low in range(0, bits, 16):
+                coder.plain(other, actual[other] >> low & 0xFFFF)
     payloads = coder.finish()
     plain = ids.astype("<u4")
     return [
@@ -293,22 +371,39 @@ def encode(ids: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
     ]
 
 
-def decode(blocks: list[tuple[int, int, bytes]], bits: int) -> np.ndarray:
+def decode(blocks: list[tuple[int, int, bytes]], bits: int, odds: Odds | None = None) -> np.ndarray:
     """The ids of blocks (any of them, in any order), checked against their checksums."""
     if not blocks:
         return np.zeros(0, dtype="<u4")
     sizes = np.array([b[0] for b in blocks])
     order = np.argsort(-sizes, kind="stable")
-    model, coder = _Model(len(blocks), bits), _Decoder([blocks[i][2] for i in order])
-    lanes, ranked = np.arange(len(blocks)), sizes[order]
-    columns = np.zeros((int(ranked[0]), len(blocks)), dtype="<u4")
-    for t in range(len(columns)):
-        live = int(np.searchsorted(-ranked, -t, side="left"))
-        columns[t, :live] = model.code(coder, lanes[:live], None)
+    odds = odds or Odds.even()
+    shares, model, coder = _Shares(odds), _Model(len(blocks), bits), _Decoder([blocks[i][2] for i in order])
+    ids = np.concatenate(([0], odds.ids))
+    symbols = np.repeat(np.arange(len(odds.counts), dtype=np.int32), odds.counts)
+    ranked = sizes[order]
+    lives = np.searchsorted(-ranked, -np.arange(int(ranked[0])), side="left")
+    columns = np.zeros((len(lives), len(blocks)), dtype="<u4")
+    for t, live in enumerate(lives.tolist()):
+        state = model.look(live)
+        spot = coder.spot(live)
+        one, zero, unit = shares.one.take(state), shares.zero.take(state), shares.unit.take(state)
+        by_zero = spot >= zero
+        by_two = spot < one
+        symbol = symbols.take(((spot - zero) / unit).astype(np.int64), mode="clip")
+        begin = np.where(by_zero, zero + shares.begin.take(symbol) * unit, np.where(by_two, 0, one))
+        size = np.where(by_zero, shares.size.take(symbol) * unit, np.where(by_two, one, zero - one))
+        coder.narrow(live, begin, size)
+        found = np.where(by_zero, ids.take(symbol), np.where(by_two, model.two.guess, model.one.guess))
+        if shares.others and len(other := np.flatnonzero(by_zero & (symbol == 0))):
+            found[other] = sum(coder.plain(other) << low for low in range(0, bits, 16))
+        model.learn(found)
+        columns[t, :live] = found
     out: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * len(blocks)
+    stream = columns.T.copy()
     for lane, i in enumerate(order):
-        ids = np.ascontiguousarray(columns[: sizes[i], lane])
-        if zlib.crc32(ids.tobytes()) != blocks[i][1]:
+        part = stream[lane, : sizes[i]]
+        if zlib.crc32(part.tobytes()) != blocks[i][1]:
             raise CorruptBlock(f"block {i} does not match its checksum")
-        out[i] = ids
+        out[i] = part
     return np.concatenate(out)

@@ -2,94 +2,30 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import rangecoder
 from marquee.llm.warc import files
+from marquee.llm.word_ids import WordEncoder, spans
 from marquee.session import durable, new_folder
 
 #: A file: MAGIC, groups of blocks, the document index, a footer that says where the index is.
-MAGIC = b"MQIDS01\n"
-GROUP = "<II"  # blocks, bits an id needs; (0, 0) ends the groups
+MAGIC = b"MQIDS02\n"
+GROUP = "<IIII"  # blocks, bits an id needs, bytes of the odds that follow, their crc32; zeros end the groups
 BLOCK = "<III"  # ids, crc32 of the ids, bytes of payload
 FOOTER = "<QQQI"  # offset of the index, documents, ids, crc32 of the index
 #: Blocks that are coded in step, and held in memory at once.
 GROUP_BLOCKS = 2048
-#: Different words a task remembers the ids of.
-CACHE = 400_000
-
-
-#: A letter or digit, then sentence marks up to the blank: the tokenizer splits between them too.
-MARKS = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?]+)(?=\s)")
-
-
-def units(text: str) -> list[bytes]:
-    """Parts of a text that a word tokenizer encodes each by itself; their ids make up the text's.
-
-    It ignores white space and case and cuts between letters and marks.  A text in which one of
-    the tokenizer's special tokens may stand keeps its case.
-    """
-    data = text.encode("utf-8", "surrogatepass")
-    if b"<|" not in data:
-        data = data.lower()
-    return MARKS.sub(rb" \1", data + b"\n").split()
-
-
-def word_tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """A function from texts to (ids of all texts, number of ids of each).
-
-    For a lower-casing tokenizer that splits at white space and drops it: the ids of a text are
-    those of its :func:`units`, so each different one need be encoded only once.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, int] = {}
-    flat, size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64)
-    start = np.zeros(1 << 16, dtype=np.int64)
-    used = 0
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal flat, start, size, used
-        words = [units(t) for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-            used = 0
-        new = [w for w in {w for ws in words for w in ws} if w not in known]
-        if new:
-            found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            first, last = len(known), len(known) + len(new)
-            known.update(zip(new, range(first, last), strict=True))
-            while last > len(size):
-                size, start = np.concatenate((size, size)), np.concatenate((start, start))
-            size[first:last] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            start[first:last] = used + np.cumsum(size[first:last]) - size[first:last]
-            more = int(size[first:last].sum())
-            while used + more > len(flat):
-                flat = np.concatenate((flat, flat))
-            flat[used : used + more] = np.fromiter((i for e in ids for i in e), dtype=np.uint32, count=more)
-            used += more
-        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        at = np.fromiter((known[w] for ws in words for w in ws), dtype=np.int64, count=int(counts.sum()))
-        sizes = size[at] if len(at) else at
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(start[at] if len(at) else at, sizes)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        lengths = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64) if len(texts) else counts
-        return flat[place], lengths
-
-    return encode
 
 
 class Writer:
@@ -122,8 +58,9 @@ class Writer:
 
     def _group(self, ids: np.ndarray) -> None:
         bits = rangecoder.id_bits(ids)
-        blocks = rangecoder.encode(ids, bits)
-        self._write(struct.pack(GROUP, len(blocks), bits))
+        odds, blocks = rangecoder.encode_fitted(ids, bits)
+        shared = odds.pack()
+        self._write(struct.pack(GROUP, len(blocks), bits, len(shared), zlib.crc32(shared)) + shared)
         self._write(b"".join(struct.pack(BLOCK, n, crc, len(payload)) for n, crc, payload in blocks))
         for *_, payload in blocks:
             self._write(payload)
@@ -131,7 +68,7 @@ class Writer:
     def close(self) -> None:
         if self.waiting:
             self._group(np.concatenate(self.held))
-        self._write(struct.pack(GROUP, 0, 0))
+        self._write(struct.pack(GROUP, 0, 0, 0, 0))
         at = self.offset
         sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, dtype="<u8")
         index = b"".join(k.tobytes() for k in self.keys) + sizes.tobytes()
@@ -158,11 +95,15 @@ def read_file(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raise rangecoder.CorruptBlock("no file of token ids")
     seen = 0
     while True:
-        count, bits = struct.unpack(GROUP, stream.read(struct.calcsize(GROUP)))
+        count, bits, size, crc = struct.unpack(GROUP, stream.read(struct.calcsize(GROUP)))
         if not count:
             break
+        shared = stream.read(size)
+        if zlib.crc32(shared) != crc:
+            raise rangecoder.CorruptBlock("the odds of a group do not match their checksum")
+        odds = rangecoder.Odds.unpack(shared)
         heads = [struct.unpack(BLOCK, stream.read(struct.calcsize(BLOCK))) for _ in range(count)]
-        part = rangecoder.decode([(n, check, stream.read(size)) for n, check, size in heads], bits)
+        part = rangecoder.decode([(n, check, stream.read(size)) for n, check, size in heads], bits, odds)
         seen += len(part)
         yield none, none, part
     if seen != ids:
@@ -174,8 +115,8 @@ def write_tokens(
 ) -> DataFrame:
     """Encode whole texts and write files in key order: folder, path, part, start, ids, documents, bytes.
 
-    ``tokenizer`` is the path of a tokenizer file, reachable from the executors, of the kind
-    :func:`word_tokenizer` describes.  ``end_id`` follows each document.  A null text is empty;
+    ``tokenizer`` is the path of a tokenizer file, reachable from the executors; see
+    :class:`WordEncoder`.  ``end_id`` follows each document.  A null text is empty;
     rows without a key stand first, under the key -2^63; repeated rows are written each, those of
     one key in the order of their texts.  Files are ranges of keys; ``start`` counts the ids in
     the files before.  Names are new for each attempt of a task and only those of successful
@@ -187,34 +128,33 @@ def write_tokens(
     # Nulls come first in an ascending order.
     placed = rows.repartitionByRange("_key").sortWithinPartitions("_key", "_text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = word_tokenizer(tokenizer)
+        encoder = WordEncoder(tokenizer)
         system, root = files(folder)
         system.create_dir(root, recursive=True)
         out, documents, first = None, 0, None
         path = f"{root}/{uuid.uuid4().hex}.ids"
         for batch in batches:
-            texts = batch["_text"].tolist()
-            keys = batch["_key"].astype("Int64").fillna(-(1 << 63)).to_numpy(dtype=np.int64)
-            for a in range(0, len(texts), 256):
-                ids, sizes = encode(texts[a : a + 256])
+            keys, texts = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy(zero_copy_only=False), batch.column(1)
+            for a, b in spans(texts):
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 if out is None:
                     out = Writer(system.open_output_stream(path, compression=None))
                     first = int(keys[0])
-                out.add(keys[a : a + 256], sizes + 1, ids)
+                out.add(keys[a:b], sizes + 1, ids)
                 documents += len(sizes)
         if out is not None:
             out.close()
-            yield pd.DataFrame(
+            yield pa.RecordBatch.from_pydict(
                 {"path": [path], "_first": [first], "ids": [out.ids], "documents": [documents], "bytes": [out.offset]}
             )
 
     # Rows of one key share a partition, so the first keys of the files order them.
-    written = durable(placed.mapInPandas(write, "path string, _first long, ids long, documents long, bytes long"))
+    written = durable(placed.mapInArrow(write, "path string, _first long, ids long, documents long, bytes long"))
     before = Window.orderBy("_first")  # one row per file
     return durable(
         written.select(
