@@ -26,6 +26,8 @@ WAY_BITS, ID_BITS = 12, 18
 ALL = 1 << (WAY_BITS + ID_BITS)
 #: Different ids that order 0 gives a frequency each; the rest share one and store their bits.
 NAMED = 1 << 16
+#: Steps of a group whose shares are looked up at once.
+CHUNK = 8
 #: Ids below this are looked up in a table.
 SMALL = 1 << 20
 #: The coder keeps 48 bits and gives out 16 at a time once the range is below LEAST.
@@ -76,6 +78,8 @@ class Odds:
             kept = np.sort(np.argsort(-counts[1:], kind="stable")[:NAMED])
             others = int(counts.sum()) - int(counts[1:][kept].sum())
             ids, counts = ids[kept], np.concatenate(([others], counts[1:][kept]))
+        if not counts.any():
+            counts = np.array([1])
         return cls(
             np.array([_shares(w, 1 << WAY_BITS) for w in ways]),
             ids.astype(np.int64),
@@ -111,10 +115,12 @@ class _Shares:
         self.one, self.zero = ways[:, 0].copy(), ways[:, 0] + ways[:, 1]
         self.unit = odds.ways[:, 2].copy()
         # Order 2 begins at 0, order 1 after it; order 0 is a stretch of units dealt out by the frequencies.
-        self.way_begin = np.stack((np.zeros_like(self.one), self.one, self.zero), axis=1).ravel()
-        self.way_size = np.stack((ways[:, 0], ways[:, 1], self.unit), axis=1).ravel()
-        self.size = odds.counts
-        self.begin = np.cumsum(odds.counts) - odds.counts
+        none = np.zeros_like(self.one)
+        self.way_begin = np.stack((self.zero, self.one, none, none), axis=1).ravel()
+        self.way_size = np.stack((self.unit, ways[:, 1], ways[:, 0], ways[:, 0]), axis=1).ravel()
+        # The last symbol stands for an id that order 0 need not name.
+        self.size = np.concatenate((odds.counts, [1]))
+        self.begin = np.concatenate((np.cumsum(odds.counts) - odds.counts, [0]))
         self.others = bool(odds.counts[0])
         #: The place of each id among the named ones, from 1, where ids are small.
         self.place = None
@@ -151,7 +157,9 @@ class _Context:
 
     def learn(self, actual: np.ndarray, hit: np.ndarray) -> None:
         kept = self.packed + self.change.take((self.level << 1) + hit)
-        np.copyto(kept, actual << 3, where=~hit & (self.level < 2), casting="unsafe")
+        new = actual.astype(kept.dtype)
+        new <<= 3
+        np.copyto(kept, new, where=(self.level < 2) > hit)
         self.entry[self.at] = kept
 
 
@@ -177,7 +185,7 @@ class _Model:
         return (((agree.astype(np.int64) << 3) + self.two.level) << 3) + self.one.level
 
     def learn(self, actual: np.ndarray) -> np.ndarray:
-        """Take the ids that came; the orders that predicted them: 0 for order 2, 1 for order 1, 2 for order 0."""
+        """Take the ids that came; who predicted them: 1 for order 1 alone, 2 or 3 for order 2, 0 for neither."""
         n = len(actual)
         hit_two, hit_one = self.two.guess == actual, self.one.guess == actual
         self.two.learn(actual, hit_two)
@@ -185,7 +193,7 @@ class _Model:
         # Consecutive ids count differently: the one before last by another multiple.
         np.right_shift(self.mixed[:n], 3, out=self.before[:n])
         np.multiply(actual, 0x9E3779B1, out=self.mixed[:n])
-        return np.where(hit_two, 0, 2 - (hit_one & ~hit_two))
+        return (hit_two.view(np.int8) << 1) + hit_one
 
 
 class _Encoder:
@@ -200,14 +208,15 @@ class _Encoder:
 
     def narrow(self, n: int, begin: np.ndarray, size: np.ndarray) -> None:
         """Go on to a part of the range, given in parts of ALL."""
-        unit = self.range[:n] >> (WAY_BITS + ID_BITS)
+        width = self.range[:n]
+        unit = width >> (WAY_BITS + ID_BITS)
         self.low[:n] += begin * unit
-        self.range[:n] = width = size * unit
-        small = width < LEAST
-        self._shift(slice(0, n), small)
-        few = np.flatnonzero(self.range[:n] < LEAST)
-        if len(few):  # at most 30 bits are taken at once
-            self._shift(few, True)
+        np.multiply(size, unit, out=width)
+        self._shift(slice(0, n), width < LEAST)
+        again = width < LEAST
+        if again.any():  # at most 30 bits are taken at once
+            few = np.flatnonzero(again)
+            self._shift(few, again[few])
 
     def plain(self, lanes: np.ndarray, value: np.ndarray) -> None:
         """Code 16 bits as they are."""
@@ -216,18 +225,18 @@ class _Encoder:
         self.range[lanes] = unit
         self._shift(lanes, unit < LEAST)
 
-    def _shift(self, lanes, small) -> None:
+    def _shift(self, lanes, small: np.ndarray) -> None:
         low = self.low[lanes]
         # What is no 16 bits yet is written over by what comes next.
         self.out[self.at[lanes]] = low >> 32
-        self.at[lanes] += len(self.lanes) * (small | np.zeros(len(low), dtype=bool))
+        self.at[lanes] += small * len(self.lanes)
         self.low[lanes] = np.where(small, (low & LOW_MASK) << 16, low)
-        self.range[lanes] <<= np.where(small, 16, 0)
+        self.range[lanes] <<= small.astype(np.int64) << 4
 
     def finish(self) -> list[bytes]:
         count = len(self.lanes)
         for _ in range(3):
-            self._shift(self.lanes, True)
+            self._shift(self.lanes, np.ones(count, dtype=bool))
         lengths = self.at // count
         words = self.out[: int(lengths.max()) * count].reshape(-1, count)
         words[lengths.min() :][np.arange(lengths.min(), len(words))[:, None] >= lengths] = 0
@@ -267,9 +276,9 @@ class _Decoder:
         self.code[:n] -= begin * self.unit
         self.range[:n] = size * self.unit
         self._shift(slice(0, n))
-        few = np.flatnonzero(self.range[:n] < LEAST)
-        if len(few):
-            self._shift(few)
+        again = self.range[:n] < LEAST
+        if again.any():
+            self._shift(np.flatnonzero(again))
 
     def plain(self, lanes: np.ndarray) -> np.ndarray:
         unit = np.floor(self.range[lanes] * (1.0 / 65536))
@@ -284,8 +293,7 @@ class _Decoder:
         times = np.where(small, 65536.0, 1.0)
         word = self.words.take(self.at[lanes], mode="clip")
         word *= small
-        with np.errstate(over="ignore"):  # of a damaged block
-            self.code[lanes] = self.code[lanes] * times + word
+        self.code[lanes] = self.code[lanes] * times + word
         self.range[lanes] *= times
         self.at[lanes] += small * self.count
 
@@ -306,28 +314,27 @@ def _columns(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _predicted(columns: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
-    """For each id of ``columns``: three times the state, and the order that predicts it."""
+    """For each id of ``columns``: four times the state, and who predicts it."""
     out = np.zeros(columns.shape, dtype=np.int16)
     model = _Model(len(sizes), bits)
     for t in range(int(sizes.max())):
         live = len(sizes) if t < sizes[-1] else len(sizes) - 1
         state = model.look(live)
-        out[t, :live] = state * 3 + model.learn(columns[t, :live].astype(np.int64))
+        out[t, :live] = (state << 2) + model.learn(columns[t, :live].astype(np.int64))
     return out
 
 
 def _fitted(columns: np.ndarray, sizes: np.ndarray, ways: np.ndarray) -> Odds:
     real = np.arange(len(columns))[:, None] < sizes
-    left = columns[real & (ways % 3 == 2)]
+    left = columns[real & (ways & 3 == 0)]
     if len(left) and int(left.max()) < SMALL:
         counts = np.bincount(left)
         ids = np.flatnonzero(counts)
         counts = counts[ids]
     else:
         ids, counts = np.unique(left, return_counts=True)
-    return Odds.fit(
-        np.bincount(ways[real], minlength=STATES * 3).reshape(STATES, 3), ids, np.concatenate(([0], counts))
-    )
+    zero, one, two, both = np.bincount(ways[real], minlength=STATES * 4).reshape(STATES, 4).T
+    return Odds.fit(np.stack((two + both, one, zero), axis=1), ids, np.concatenate(([0], counts)))
 
 
 def encode_fitted(ids: np.ndarray, bits: int) -> tuple[Odds, list[tuple[int, int, bytes]]]:
@@ -352,17 +359,17 @@ def _coded(ids, columns, sizes, ways, bits: int, odds: Odds) -> list[tuple[int,
     shares, count = _Shares(odds), len(sizes)
     coder = _Encoder(count, BLOCK * (2 + bits // 16) + 8)
     for t in range(int(sizes.max())):
-        live = count if t < sizes[-1] else count - 1
-        way, actual = ways[t, :live].astype(np.int64), columns[t, :live].astype(np.int64)
-        begin, size = shares.way_begin.take(way), shares.way_size.take(way)
-        zero = way % 3 == 2
-        symbol = shares.find(actual)
-        begin += np.where(zero, shares.begin.take(symbol) * size, 0)
-        size *= np.where(zero, shares.size.take(symbol), 1)
-        coder.narrow(live, begin, size)
-        if shares.others and len(other := np.flatnonzero(zero & (symbol == 0))):
+        if t % CHUNK == 0:  # what needs no coder, for some steps at once
+            way, actual = ways[t : t + CHUNK], columns[t : t + CHUNK]
+            begins, widths = shares.way_begin.take(way), shares.way_size.take(way)
+            symbols = np.where(way & 3, len(shares.size) - 1, shares.find(actual))
+            begins += shares.begin.take(symbols) * widths
+            widths *= shares.size.take(symbols)
+        live, row = count if t < sizes[-1] else count - 1, t % CHUNK
+        coder.narrow(live, begins[row, :live], widths[row, :live])
+        if shares.others and len(other := np.flatnonzero(symbols[row, :live] == 0)):
             for low in range(0, bits, 16):
-                coder.plain(other, actual[other] >> low & 0xFFFF)
+                coder.plain(other, actual[row, other].astype(np.int64) >> low & 0xFFFF)
     payloads = coder.finish()
     plain = ids.astype("<u4")
     return [
@@ -384,21 +391,22 @@ def decode(blocks: list[tuple[int, int, bytes]], bits: int, odds: Odds | None =
     ranked = sizes[order]
     lives = np.searchsorted(-ranked, -np.arange(int(ranked[0])), side="left")
     columns = np.zeros((len(lives), len(blocks)), dtype="<u4")
-    for t, live in enumerate(lives.tolist()):
-        state = model.look(live)
-        spot = coder.spot(live)
-        one, zero, unit = shares.one.take(state), shares.zero.take(state), shares.unit.take(state)
-        by_zero = spot >= zero
-        by_two = spot < one
-        symbol = symbols.take(((spot - zero) / unit).astype(np.int64), mode="clip")
-        begin = np.where(by_zero, zero + shares.begin.take(symbol) * unit, np.where(by_two, 0, one))
-        size = np.where(by_zero, shares.size.take(symbol) * unit, np.where(by_two, one, zero - one))
-        coder.narrow(live, begin, size)
-        found = np.where(by_zero, ids.take(symbol), np.where(by_two, model.two.guess, model.one.guess))
-        if shares.others and len(other := np.flatnonzero(by_zero & (symbol == 0))):
-            found[other] = sum(coder.plain(other) << low for low in range(0, bits, 16))
-        model.learn(found)
-        columns[t, :live] = found
+    with np.errstate(over="ignore"):  # a damaged block may run away
+        for t, live in enumerate(lives.tolist()):
+            state = model.look(live)
+            spot = coder.spot(live)
+            one, zero, unit = shares.one.take(state), shares.zero.take(state), shares.unit.take(state)
+            by_zero = spot >= zero
+            by_two = spot < one
+            symbol = symbols.take(((spot - zero) / unit).astype(np.int64), mode="clip")
+            begin = np.where(by_zero, zero + shares.begin.take(symbol) * unit, np.where(by_two, 0, one))
+            size = np.where(by_zero, shares.size.take(symbol) * unit, np.where(by_two, one, zero - one))
+            coder.narrow(live, begin, size)
+            found = np.where(by_zero, ids.take(symbol), np.where(by_two, model.two.guess, model.one.guess))
+            if shares.others and len(other := np.flatnonzero(by_zero & (symbol == 0))):
+                found[other] = sum(coder.plain(other) << low for low in range(0, bits, 16))
+            model.learn(found)
+            columns[t, :live] = found
     out: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * len(blocks)
     stream = columns.T.copy()
     for lane, i in enumerate(order):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -26,6 +27,14 @@ BLOCK = "<III"  # ids, crc32 of the ids, bytes of payload
 FOOTER = "<QQQI"  # offset of the index, documents, ids, crc32 of the index
 #: Blocks that are coded in step, and held in memory at once.
 GROUP_BLOCKS = 2048
+#: Different pieces of words that a Python worker remembers the ids of, and bytes of text it works on at once.
+REMEMBERED, PART = 800_000, 8_000_000
+
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that a task need not learn the common words anew."""
+    return WordEncoder(path, REMEMBERED)
 
 
 class Writer:
@@ -116,7 +125,7 @@ def write_tokens(
     """Encode whole texts and write files in key order: folder, path, part, start, ids, documents, bytes.
 
     ``tokenizer`` is the path of a tokenizer file, reachable from the executors; see
-    :class:`WordEncoder`.  ``end_id`` follows each document.  A null text is empty;
+    :func:`word_encoder`.  ``end_id`` follows each document.  A null text is empty;
     rows without a key stand first, under the key -2^63; repeated rows are written each, those of
     one key in the order of their texts.  Files are ranges of keys; ``start`` counts the ids in
     the files before.  Names are new for each attempt of a task and only those of successful
@@ -132,14 +141,14 @@ def write_tokens(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         system, root = files(folder)
         system.create_dir(root, recursive=True)
         out, documents, first = None, 0, None
         path = f"{root}/{uuid.uuid4().hex}.ids"
         for batch in batches:
             keys, texts = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy(zero_copy_only=False), batch.column(1)
-            for a, b in spans(texts):
+            for a, b in spans(texts, PART):
                 ids, sizes = encoder.encode(texts.slice(a, b - a))
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 if out is None:

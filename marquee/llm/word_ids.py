@@ -77,12 +77,12 @@ class WordEncoder:
     tokenizer, each different one once a part.  Any other tokenizer encodes each text whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as stream:
             config = json.load(stream)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         self.by_word = (
             (config.get("normalizer") or {}).get("normalizers") == NORMALIZERS
             and (config.get("pre_tokenizer") or {}).get("pretokenizers") == PRE_TOKENIZERS
@@ -130,7 +130,7 @@ class WordEncoder:
     def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        if len(self.known) > CACHE:
+        if len(self.known) > self.remember:
             self._forget()
         every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         found = self.pieces.findall(pc.binary_join(every, "\n")[0].as_py().lower())
