@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import rangecoder
+from marquee.llm.arrays import tidy
 from marquee.llm.warc import files
 from marquee.llm.word_ids import WordEncoder, spans
 from marquee.session import durable, new_folder
@@ -27,14 +28,14 @@ BLOCK = "<III"  # ids, crc32 of the ids, bytes of payload
 FOOTER = "<QQQI"  # offset of the index, documents, ids, crc32 of the index
 #: Blocks that are coded in step, and held in memory at once.
 GROUP_BLOCKS = 2048
-#: Different pieces of words that a Python worker remembers the ids of, and bytes of text it works on at once.
-REMEMBERED, PART = 800_000, 8_000_000
+#: Bytes of text that are encoded at once: more makes fewer words anew, and takes more memory.
+PART = 6_000_000
 
 
 @functools.cache
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a Python worker, so that a task need not learn the common words anew."""
-    return WordEncoder(path, REMEMBERED)
+    return WordEncoder(path)
 
 
 class Writer:
@@ -163,7 +164,7 @@ def write_tokens(
             )
 
     # Rows of one key share a partition, so the first keys of the files order them.
-    written = durable(placed.mapInArrow(write, "path string, _first long, ids long, documents long, bytes long"))
+    written = durable(placed.mapInArrow(tidy(write), "path string, _first long, ids long, documents long, bytes long"))
     before = Window.orderBy("_first")  # one row per file
     return durable(
         written.select(
@@ -221,4 +222,4 @@ def read_tokens(written: DataFrame, with_ids: bool = True, key: str = "doc_id")
     schema = "_key long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     count = max(1, written.count())
     rows = written.select("folder", "path", "start").repartition(count)
-    return rows.mapInPandas(read, schema).withColumnRenamed("_key", key)
+    return rows.mapInPandas(tidy(read), schema).withColumnRenamed("_key", key)

@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ PRE_TOKENIZERS = [
 #: Words of these characters alone are in normal form, keep it in lower case, and hold no white space.
 PLAIN_WORD = r"^[\x{21}-\x{7E}\x{A1}-\x{12F}\x{131}-\x{17F}]*$"
 PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180))]
-#: Different pieces a task remembers, and bytes of text it works on at once.
+#: Different pieces an encoder remembers before it keeps those of the latest part alone, and bytes of text a part has.
 CACHE, PART = 400_000, 4_000_000
 
 
@@ -64,7 +65,17 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarr
     taken = sizes[at]
     ends = np.cumsum(taken)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts[at] - (ends - taken), taken)], taken
+    places = np.repeat(starts[at] - (ends - taken), taken)
+    places += np.arange(total)
+    return flat.take(places), taken
+
+
+class Numbers(dict):
+    """Pieces numbered in the order in which they were first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
 
 
 class WordEncoder:
@@ -93,8 +104,17 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"\n": 0}  # stands between words and has no ids
+        self.known = Numbers({"\n": 0})  # stands between words and has no ids
         self.flat, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.latest = np.zeros(1, dtype=np.int64)
+
+    def _keep_latest(self) -> None:
+        """Forget the pieces that the latest part had no use for."""
+        kept = np.unique(np.append(self.latest, 0))
+        pieces = list(self.known)
+        self.known = Numbers((pieces[i], n) for n, i in enumerate(kept.tolist()))
+        self.flat, self.sizes = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, kept)
+        self.latest = np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); a null text has none."""
@@ -130,19 +150,22 @@ class WordEncoder:
     def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        if len(self.known) > self.remember:
+        if len(self.known) != len(self.sizes):  # an error left pieces without ids
             self._forget()
+        if len(self.known) > self.remember:
+            self._keep_latest()
         every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         found = self.pieces.findall(pc.binary_join(every, "\n")[0].as_py().lower())
-        new = [p for p in dict.fromkeys(found) if p not in self.known]
-        if new:
+        at = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        del found
+        if count := len(self.known) - len(self.sizes):
+            new = list(islice(reversed(self.known), count))[::-1]
             spelled = "\n".join(new).encode().decode("latin-1").translate(self.letters).split("\n")
             ids = [[t.id for t in self.model.tokenize(p)] for p in spelled]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=count)
             more = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))
             self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, more))
-        at = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        self.latest = at
         flat, taken = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, at)
         word = np.cumsum(at == 0)
         return flat, np.bincount(word, weights=taken, minlength=len(words)).astype(np.int64)
