@@ -26,12 +26,14 @@ WAY_BITS, ID_BITS = 12, 18
 ALL = 1 << (WAY_BITS + ID_BITS)
 #: Different ids that order 0 gives a frequency each; the rest share one and store their bits.
 NAMED = 1 << 16
-#: Steps of a group whose shares are looked up at once.
+#: What ids are multiplied by to find their contexts.
+MIX = 0x9E3779B1
+#: Steps of a group whose contexts or shares are looked up at once.
 CHUNK = 8
 #: Ids below this are looked up in a table.
 SMALL = 1 << 20
 #: The coder keeps 48 bits and gives out 16 at a time once the range is below LEAST.
-FULL, LEAST, LOW_MASK = (1 << 48) - 1, 1 << 32, (1 << 32) - 1
+FULL, LEAST = (1 << 48) - 1, 1 << 32
 
 
 class CorruptBlock(ValueError):
@@ -136,64 +138,95 @@ class _Shares:
         return np.where(self.odds.ids.take(at, mode="clip") == ids, at + 1, 0)
 
 
-class _Context:
-    """The last id seen after each context of one order, and how sure it is (the low 3 bits)."""
-
-    #: By confidence and hit: how the packed entry changes.
-    CHANGE = np.array([d for c in range(SURE + 1) for d in ((c >> 1) - c, int(c < SURE))])
-
-    def __init__(self, lanes: int, slots: int, bits: int):
-        self.first = np.arange(lanes) * slots
-        self.entry = np.zeros(lanes * slots, dtype=np.int32 if bits <= 16 else np.int64)
-        self.change = self.CHANGE.astype(self.entry.dtype)
-
-    def look(self, key: np.ndarray) -> np.ndarray:
-        self.at = key
-        self.at += self.first[: len(key)]
-        self.packed = self.entry.take(self.at)
-        self.level = self.packed & SURE
-        self.guess = self.packed >> 3
-        return self.guess
-
-    def learn(self, actual: np.ndarray, hit: np.ndarray) -> None:
-        kept = self.packed + self.change.take((self.level << 1) + hit)
-        new = actual.astype(kept.dtype)
-        new <<= 3
-        np.copyto(kept, new, where=(self.level < 2) > hit)
-        self.entry[self.at] = kept
-
-
 class _Model:
-    """Predictions of orders 1 and 2 for a group of blocks; state starts anew for each block.
+    """Predictions of orders 2 and 1 for a group of blocks; state starts anew for each block.
 
-    They predict the id that last followed the same one or two ids, order 0 a distribution over
-    all ids.  The three are mixed by shares that depend on how sure orders 1 and 2 are, as
-    :class:`Odds` has them.
+    They predict the id that last followed the same two ids or the same one, order 0 a distribution
+    over all ids.  The three are mixed by shares that depend on how sure orders 2 and 1 are, as
+    :class:`Odds` has them.  Both orders are looked up and learn side by side, in rows 0 and 1.
     """
 
     def __init__(self, lanes: int, bits: int):
-        self.one, self.two = _Context(lanes, SLOTS_1, bits), _Context(lanes, SLOTS_2, bits)
+        lane = np.arange(lanes)
+        self.first = np.stack((lane * SLOTS_2, lanes * SLOTS_2 + lane * SLOTS_1))
+        self.mask = np.array([[SLOTS_2 - 1], [SLOTS_1 - 1]])
+        #: The last id seen after each context, and how sure it is (the low 3 bits).
+        self.entry = np.zeros(lanes * (SLOTS_1 + SLOTS_2), dtype=np.int32 if bits <= 16 else np.int64)
         self.mixed = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
 
     def look(self, n: int) -> np.ndarray:
-        """The states of the first ``n`` lanes; the guesses are kept in the contexts."""
+        """The states of the first ``n`` lanes; the guesses are kept."""
         mixed = self.mixed[:n]
-        two = self.two.look((mixed + self.before[:n] >> 9) & (SLOTS_2 - 1))
-        one = self.one.look((mixed >> 9) & (SLOTS_1 - 1))
-        agree = one == two
-        return (((agree.astype(np.int64) << 3) + self.two.level) << 3) + self.one.level
-
-    def learn(self, actual: np.ndarray) -> np.ndarray:
-        """Take the ids that came; who predicted them: 1 for order 1 alone, 2 or 3 for order 2, 0 for neither."""
+        at = np.empty((2, n), dtype=np.int64)
+        np.add(mixed, self.before[:n], out=at[0])
+        at[1] = mixed
+        at >>= 9
+        at &= self.mask
+        at += self.first[:, :n]
+        return self._states(*self._see(at))
+
+    def learn(self, actual: np.ndarray) -> None:
+        """Take the ids that came."""
         n = len(actual)
-        hit_two, hit_one = self.two.guess == actual, self.one.guess == actual
-        self.two.learn(actual, hit_two)
-        self.one.learn(actual, hit_one)
+        self._hits(actual.astype(self.entry.dtype))
         # Consecutive ids count differently: the one before last by another multiple.
         np.right_shift(self.mixed[:n], 3, out=self.before[:n])
-        np.multiply(actual, 0x9E3779B1, out=self.mixed[:n])
-        return (hit_two.view(np.int8) << 1) + hit_one
+        np.multiply(actual, MIX, out=self.mixed[:n])
+
+    def ways(self, actual: np.ndarray) -> np.ndarray:
+        """Take the ids of some steps, all lanes each: four times the state, and who predicts the id.
+
+        That is 1 for order 1 alone, 2 or 3 for order 2, 0 for neither.
+        """
+        steps = len(actual)
+        mixed = np.concatenate((self.mixed[None], actual * np.int64(MIX)))
+        at = np.empty((steps, *self.first.shape), dtype=np.int64)
+        at[:, 0] = at[:, 1] = mixed[:-1]
+        at[0, 0] += self.before
+        at[1:, 0] += mixed[:-2] >> 3
+        at >>= 9
+        at &= self.mask
+        at += self.first
+        self.before, self.mixed = mixed[-2] >> 3, mixed[-1]
+        new = actual.astype(self.entry.dtype)
+        seen = [(*self._see(at[t]), self._hits(new[t])) for t in range(steps)]
+        guess, level, hit = (np.stack(part, axis=1) for part in zip(*seen, strict=True))
+        ways = self._states(guess, level).astype(np.int16) << 2
+        ways += (hit[0] << 1) + hit[1]
+        return ways
+
+    def _see(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        packed = self.entry.take(at)
+        self.at, self.guess, self.level = at, packed >> 3, (packed & SURE).astype(np.int8)
+        return self.guess, self.level
+
+    @staticmethod
+    def _states(guess: np.ndarray, level: np.ndarray) -> np.ndarray:
+        state = (guess[0] == guess[1]).view(np.int8) << 6
+        state += level[0] << 3
+        state += level[1]
+        return state
+
+    def _hits(self, new: np.ndarray) -> np.ndarray:
+        """A hit raises the confidence by one and a miss halves it; an unsure guess that missed gives way.
+
+        Products with 0 or 1 choose, as numpy is slower at choosing by a mask.
+        """
+        missed = self.guess != new
+        hit = (~missed).view(np.int8)
+        low = self.level >> 1
+        level = self.level + (self.level < SURE)
+        level -= low
+        level *= hit
+        level += low
+        kept = new - self.guess
+        kept *= (self.level < 2) & missed
+        kept += self.guess
+        kept <<= 3
+        kept += level
+        self.entry[self.at] = kept
+        return hit
 
 
 class _Encoder:
@@ -226,12 +259,16 @@ class _Encoder:
         self._shift(lanes, unit < LEAST)
 
     def _shift(self, lanes, small: np.ndarray) -> None:
-        low = self.low[lanes]
+        low, given = self.low[lanes], small.astype(np.int64)
+        top = low >> 32
         # What is no 16 bits yet is written over by what comes next.
-        self.out[self.at[lanes]] = low >> 32
-        self.at[lanes] += small * len(self.lanes)
-        self.low[lanes] = np.where(small, (low & LOW_MASK) << 16, low)
-        self.range[lanes] <<= small.astype(np.int64) << 4
+        self.out[self.at[lanes]] = top
+        self.at[lanes] += given * len(self.lanes)
+        top *= given
+        top <<= 32
+        given <<= 4
+        self.low[lanes] = (low - top) << given
+        self.range[lanes] <<= given
 
     def finish(self) -> list[bytes]:
         count = len(self.lanes)
@@ -249,7 +286,8 @@ class _Encoder:
 class _Decoder:
     """Distance of the code from the low end, and the range, as whole numbers below 2^53 in floats.
 
-    Every product is exact, and a quotient below 2^30 by less than 2^18 rounds down to the right number.
+    Every product is exact, and a quotient below 2^30 by less than 2^18 rounds down to the right number,
+    also once less a whole number and divided by one below 2^12.
     """
 
     def __init__(self, payloads: list[bytes]):
@@ -270,7 +308,7 @@ class _Decoder:
         """Where the code lies in the range, in parts of ALL."""
         self.unit = np.floor(self.range[:n] * (1.0 / ALL))
         # A damaged block may lie beyond; the checksum tells.
-        return np.minimum(self.code[:n] / self.unit, ALL - 1).astype(np.int64)
+        return np.minimum(self.code[:n] / self.unit, ALL - 1)
 
     def narrow(self, n: int, begin: np.ndarray, size: np.ndarray) -> None:
         self.code[:n] -= begin * self.unit
@@ -290,7 +328,8 @@ class _Decoder:
 
     def _shift(self, lanes) -> None:
         small = self.range[lanes] < LEAST
-        times = np.where(small, 65536.0, 1.0)
+        times = small * 65535.0
+        times += 1.0
         word = self.words.take(self.at[lanes], mode="clip")
         word *= small
         self.code[lanes] = self.code[lanes] * times + word
@@ -317,10 +356,9 @@ def _predicted(columns: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
     """For each id of ``columns``: four times the state, and who predicts it."""
     out = np.zeros(columns.shape, dtype=np.int16)
     model = _Model(len(sizes), bits)
-    for t in range(int(sizes.max())):
-        live = len(sizes) if t < sizes[-1] else len(sizes) - 1
-        state = model.look(live)
-        out[t, :live] = (state << 2) + model.learn(columns[t, :live].astype(np.int64))
+    steps = int(sizes.max())
+    for t in range(0, steps, CHUNK):  # what follows the end of a lane is of no matter
+        out[t : min(t + CHUNK, steps)] = model.ways(columns[t : min(t + CHUNK, steps)])
     return out
 
 
@@ -388,22 +426,31 @@ def decode(blocks: list[tuple[int, int, bytes]], bits: int, odds: Odds | None =
     shares, model, coder = _Shares(odds), _Model(len(blocks), bits), _Decoder([blocks[i][2] for i in order])
     ids = np.concatenate(([0], odds.ids))
     symbols = np.repeat(np.arange(len(odds.counts), dtype=np.int32), odds.counts)
+    # In floats, as the decoder's numbers are.
+    begins, widths = shares.begin.astype(np.float64), shares.size.astype(np.float64)
+    ones, zeros, units = (a.astype(np.float64) for a in (shares.one, shares.zero, shares.unit))
     ranked = sizes[order]
     lives = np.searchsorted(-ranked, -np.arange(int(ranked[0])), side="left")
     columns = np.zeros((len(lives), len(blocks)), dtype="<u4")
     with np.errstate(over="ignore"):  # a damaged block may run away
         for t, live in enumerate(lives.tolist()):
-            state = model.look(live)
+            state = model.look(live).astype(np.int64)
             spot = coder.spot(live)
-            one, zero, unit = shares.one.take(state), shares.zero.take(state), shares.unit.take(state)
-            by_zero = spot >= zero
-            by_two = spot < one
-            symbol = symbols.take(((spot - zero) / unit).astype(np.int64), mode="clip")
-            begin = np.where(by_zero, zero + shares.begin.take(symbol) * unit, np.where(by_two, 0, one))
-            size = np.where(by_zero, shares.size.take(symbol) * unit, np.where(by_two, one, zero - one))
+            one, zero, unit = ones.take(state), zeros.take(state), units.take(state)
+            not_zero, by_two = spot < zero, spot < one
+            spot -= zero
+            spot /= unit
+            symbol = symbols.take(spot.astype(np.int64), mode="clip").astype(np.int64)
+            begin, size, found = begins.take(symbol), widths.take(symbol), ids.take(symbol)
+            begin *= unit
+            begin += zero
+            size *= unit
+            few = np.flatnonzero(not_zero)
+            begin[few], size[few], found[few] = one[few], zero[few] - one[few], model.guess[1][few]
+            few = np.flatnonzero(by_two)
+            begin[few], size[few], found[few] = 0.0, one[few], model.guess[0][few]
             coder.narrow(live, begin, size)
-            found = np.where(by_zero, ids.take(symbol), np.where(by_two, model.two.guess, model.one.guess))
-            if shares.others and len(other := np.flatnonzero(by_zero & (symbol == 0))):
+            if shares.others and len(other := np.flatnonzero((symbol == 0) > not_zero)):
                 found[other] = sum(coder.plain(other) << low for low in range(0, bits, 16))
             model.learn(found)
             columns[t, :live] = found
